@@ -104,6 +104,15 @@ def group_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return summed[bounds[1:]] - summed[bounds[:-1]]
 
 
+def vocab_file(name: str) -> str:
+    """The place of a public vocabulary on this machine; a path is taken as it is."""
+    if "/" in name:
+        return name
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 class WordMemo:
     """Distinct words met by a Python worker, with the ids that a tokenizer gave each.
 
@@ -122,10 +131,10 @@ class WordMemo:
         self.ids = np.zeros(0, np.int32)
 
     def codes(self, words: list) -> np.ndarray:
-        """A row of the memo for each word."""
+        """A row of the memo for each word; rows hold until the next call."""
         if len(self.index) > self.most:
             self.clear()
-        new = [w for w in words if w not in self.index]
+        new = list(dict.fromkeys(w for w in words if w not in self.index))
         if new:
             got = self.encode(new)
             lengths = np.fromiter(map(len, got), np.int64, len(got))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from tillwork.llm.byte_bpe import op7_byte_bpe
 from tillwork.llm.chat import OP9_SQL, op9_chat_formatting
+from tillwork.llm.fertility import op2_quality_rules
+from tillwork.llm.packing import op3_packing
 from tillwork.llm.secret_scan import op8_secret_scans
 from tillwork.llm.token_counts import OP1_SQL, op1_token_counts
 
@@ -10,6 +13,9 @@ from tillwork.llm.token_counts import OP1_SQL, op1_token_counts
 def queries() -> dict:
     return {
         "op1_token_counts": op1_token_counts,
+        "op2_quality_rules": op2_quality_rules,
+        "op3_packing": op3_packing,
+        "op7_byte_bpe": op7_byte_bpe,
         "op8_secret_scans": op8_secret_scans,
         "op9_chat_formatting": op9_chat_formatting,
     }
