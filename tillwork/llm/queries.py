@@ -7,6 +7,7 @@ from tillwork.llm.chat import OP9_SQL, op9_chat_formatting
 from tillwork.llm.fertility import op2_quality_rules
 from tillwork.llm.packing import op3_packing
 from tillwork.llm.secret_scan import op8_secret_scans
+from tillwork.llm.simhash import op6_simhash
 from tillwork.llm.token_counts import OP1_SQL, op1_token_counts
 
 
@@ -15,6 +16,7 @@ def queries() -> dict:
         "op1_token_counts": op1_token_counts,
         "op2_quality_rules": op2_quality_rules,
         "op3_packing": op3_packing,
+        "op6_simhash": op6_simhash,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_secret_scans": op8_secret_scans,
         "op9_chat_formatting": op9_chat_formatting,
