@@ -8,6 +8,7 @@ from tillwork.llm.fertility import op2_quality_rules
 from tillwork.llm.packing import op3_packing
 from tillwork.llm.secret_scan import op8_secret_scans
 from tillwork.llm.simhash import op6_simhash
+from tillwork.llm.suffix_dedup import op5_suffix_dedup
 from tillwork.llm.token_counts import OP1_SQL, op1_token_counts
 
 
@@ -16,6 +17,7 @@ def queries() -> dict:
         "op1_token_counts": op1_token_counts,
         "op2_quality_rules": op2_quality_rules,
         "op3_packing": op3_packing,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op6_simhash": op6_simhash,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_secret_scans": op8_secret_scans,
