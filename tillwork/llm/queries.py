@@ -5,6 +5,7 @@ from __future__ import annotations
 from tillwork.llm.byte_bpe import op7_byte_bpe
 from tillwork.llm.chat import OP9_SQL, op9_chat_formatting
 from tillwork.llm.fertility import op2_quality_rules
+from tillwork.llm.lm import op10_lm_scoring
 from tillwork.llm.packing import op3_packing
 from tillwork.llm.secret_scan import op8_secret_scans
 from tillwork.llm.simhash import op6_simhash
@@ -22,6 +23,7 @@ def queries() -> dict:
         "op7_byte_bpe": op7_byte_bpe,
         "op8_secret_scans": op8_secret_scans,
         "op9_chat_formatting": op9_chat_formatting,
+        "op10_lm_scoring": op10_lm_scoring,
     }
 
 
