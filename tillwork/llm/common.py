@@ -64,8 +64,9 @@ def slices(batches, column: str = "text", most: int = SLICE_BYTES):
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
-    """The text column as large strings, null as the empty text."""
-    return pc.fill_null(batch.column(column).cast(pa.large_string()), "")
+    """The text column as large strings, null as the empty text; copied, as some kernels misread a slice's bounds."""
+    text = pc.fill_null(batch.column(column).cast(pa.large_string()), "")
+    return pa.concat_arrays([text, pa.array([], pa.large_string())])
 
 
 def split_words(text: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -120,7 +121,7 @@ class WordMemo:
     beyond ``most`` words, which bounds its memory; results don't depend on it.
     """
 
-    def __init__(self, encode, most: int = 400_000):
+    def __init__(self, encode, most: int = 800_000):
         self.encode, self.most = encode, most
         self.clear()
 
