@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tillwork.llm.ann import op4_nearest
 from tillwork.llm.byte_bpe import op7_byte_bpe
 from tillwork.llm.chat import OP9_SQL, op9_chat_formatting
 from tillwork.llm.fertility import op2_quality_rules
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op1_token_counts": op1_token_counts,
         "op2_quality_rules": op2_quality_rules,
         "op3_packing": op3_packing,
+        "op4_nearest": op4_nearest,
         "op5_suffix_dedup": op5_suffix_dedup,
         "op6_simhash": op6_simhash,
         "op7_byte_bpe": op7_byte_bpe,
