@@ -1,6 +1,69 @@
-STAGES = []
+"""A corpus pipeline: quality rules, near-duplicates, repeated passages, secrets, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
+kept; what it returns is written as Parquet and read again as the next one's docs.
+All but the last return the columns of ``documents``; n_chars follows the text.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tillwork.llm.common import table, written
+from tillwork.llm.fertility import quality
+from tillwork.llm.packing import pack_documents
+from tillwork.llm.secret_scan import redact
+from tillwork.llm.simhash import near_duplicates
+from tillwork.llm.suffix_dedup import remove_repeats
+
+#: SQL has no tokenizers, multiway differencing or transitive links at this size; tests/llm checks run() by brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or a fertility band reject go."""
+    return quality(docs).where("kept").select(docs.columns)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least doc_id of each class stays, once if its row is repeated; without ids, every row of a class that has none stays."""
+    found = near_duplicates(docs)
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
+    kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["__kept"]), "left_semi")
+    return kept.withColumn("__hash", F.xxhash64("text")).dropDuplicates(["doc_id", "__hash"]).select(docs.columns)
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes that repeat an earlier document's go, and with them characters cut in two; a document goes if nothing but blanks is left."""
+    done = remove_repeats(docs)
+    cut = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")
+    text = F.when(F.size("removed") > 0, cut).otherwise(F.col("kept").cast("string"))
+    left = done.withColumn("text", text).where((F.size("removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by their kind in brackets; documents stay."""
+    return redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences, with their ids (little-endian unsigned 32-bit)."""
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("suffix_array_dedup", suffix_array_dedup),
+    ("secret_scans", secret_scans),
+    ("packing", packing),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
