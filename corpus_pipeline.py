@@ -29,9 +29,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least doc_id of each class stays, once if its row is repeated; without ids, every row of a class that has none stays."""
     found = near_duplicates(docs)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["__kept"]), "left_semi")
-    return kept.withColumn("__hash", F.xxhash64("text")).dropDuplicates(["doc_id", "__hash"]).select(docs.columns)
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept"), F.col("text_hash").alias("__kept_hash")).distinct()
+    hashed = docs.withColumn("__hash", F.xxhash64("text"))
+    kept = hashed.join(stay, hashed["doc_id"].eqNullSafe(stay["__kept"]) & (hashed["__hash"] == stay["__kept_hash"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__hash"]).select(docs.columns)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

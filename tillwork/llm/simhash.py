@@ -191,8 +191,8 @@ def links(distinct: DataFrame, blocks: int, bits: int = BITS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """doc_id, fingerprint and component_id (least doc_id of the class) of every row."""
-    named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    """doc_id, fingerprint, component_id (least doc_id of the class) and text_hash (xxhash64 of the text, to tell rows of equal doc_id) of every row."""
+    named = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     marked = written(fingerprints(named, shingle=shingle), "fingerprints")
     distinct = written(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     blocks = bits + 2 if distinct.count() <= MANY else bits + 3
@@ -201,7 +201,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rooted = written(rooted, "simhash-roots")
     classes = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(classes, "root").select("fingerprint", "component_id")
-    return marked.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    return marked.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id", "text_hash")
 
 
 def hexed(fingerprint: Column) -> Column:
