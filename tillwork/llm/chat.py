@@ -83,7 +83,7 @@ def format_chats(events: DataFrame) -> DataFrame:
     piece = (
         F.when(F.col("role") == "user", F.struct(F.lit("[INST] ").alias("head"), body.alias("body"), F.lit(" [/INST]").alias("tail"), F.lit(False).alias("loss")))
         .when(F.col("role") == "assistant", F.struct(F.lit(" ").alias("head"), body.alias("body"), F.lit(" </s>").alias("tail"), F.lit(True).alias("loss")))
-        .otherwise(F.struct(F.concat(F.lit("[ROLE] "), escape(F.regexp_replace("role", r"([\\n])", r"\\$1")).alias("role"), F.lit("\n")).alias("head"), body.alias("body"), F.lit(" [/ROLE]").alias("tail"), F.lit(False).alias("loss")))
+        .otherwise(F.struct(F.concat(F.lit("[ROLE] "), escape(F.regexp_replace("role", r"([\\\n])", r"\\$1")).alias("role"), F.lit("\n")).alias("head"), body.alias("body"), F.lit(" [/ROLE]").alias("tail"), F.lit(False).alias("loss")))
     )
     turns = fold(events).select("conv_id", "position", "role", "text", piece.alias("piece"))
     chats = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("position", "role", "text", "piece"))).alias("turns"))

@@ -10,8 +10,8 @@ Rejection bands come from the corpus: for each language and size class (power
 of two of the token count) a band is the median of all documents of that class
 plus and minus ``width`` robust deviations (quartile distance / 1.349, at least
 the measure's floor). A class of under ``least`` documents takes the band of
-its script instead; if that is as rare, there is no demand and its documents
-stay. Quartiles come from histograms of fixed bin width, so they are exact to
+its script's size class instead, then that of its language or script over all
+sizes; if even that is as rare, there is no demand and its documents stay. Quartiles come from histograms of fixed bin width, so they are exact to
 the bin, the same in every run, and pre-aggregated before any shuffle.
 
 Null texts count as empty and fail the base rules; null languages are a group
@@ -87,7 +87,7 @@ def duplicate_lines(text: str) -> int:
 
 def scripts(words: pa.Array) -> np.ndarray:
     """Script of each word's first character, as an index of _SCRIPTS."""
-    first = "".join(pc.utf8_slice_codeunits(words, 0, 1).to_pylist())
+    first = "".join(c or " " for c in pc.utf8_slice_codeunits(words, 0, 1).to_pylist())
     return _SCRIPT_OF[np.searchsorted(_STARTS, np.frombuffer(first.encode("utf-32-le"), np.uint32), side="right") - 1]
 
 
@@ -162,16 +162,17 @@ def _size():
 
 
 def bands(measured: DataFrame, lang: str = "lang", width: float = WIDTH, least: int = LEAST) -> DataFrame:
-    """One row per level ("lang", "script"), name and size class: lowest and highest value of each measure.
+    """One row per level ("lang", "script"), name and size class (-1: all): lowest and highest value of each measure.
 
     Its rows are a few for each language, as it drops classes of under ``least`` documents.
     """
+    level = lambda name, column, size: F.struct(F.lit(name).alias("level"), F.col(column).alias("name"), size.alias("size"))
+    groups = [level(name, column, size) for name, column in (("lang", lang), ("script", "script")) for size in (_size(), F.lit(-1))]
     fit = measured.where(~_base_failed()).select(
-        F.explode(F.array(F.struct(F.lit("lang").alias("level"), F.col(lang).alias("name")), F.struct(F.lit("script").alias("level"), F.col("script").alias("name")))).alias("g"),
-        _size().alias("size"),
+        F.explode(F.array(*groups)).alias("g"),
         *[F.round(F.col(m) / step).cast("int").alias(m) for m, step, _ in MEASURES],
     )
-    long = fit.select("g.level", "g.name", "size", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("bin")) for m, _, _ in MEASURES])).alias("x"))
+    long = fit.select("g.*", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("bin")) for m, _, _ in MEASURES])).alias("x"))
     counts = long.groupBy("level", "name", "size", "x.measure", "x.bin").agg(F.count("*").alias("n"))
     group = Window.partitionBy("level", "name", "size", "measure")
     ranked = counts.withColumn("below", F.sum("n").over(group.orderBy("bin"))).withColumn("all", F.sum("n").over(group))
@@ -186,13 +187,16 @@ def bands(measured: DataFrame, lang: str = "lang", width: float = WIDTH, least:
 
 
 def judge(measured: DataFrame, found: DataFrame, lang: str = "lang") -> DataFrame:
-    """measured with base_failed and kept. ``found`` are bands, as read from a table, so that Spark knows how small they are."""
+    """measured with base_failed and kept. Bands are joined as tables, a row for each language or script, so that Spark knows how small they are."""
     edges = [f"{m}_{e}" for m, _, _ in MEASURES for e in ("low", "high")]
     out = measured.withColumn("base_failed", _base_failed()).withColumn("__size", _size())
     for level, column in (("lang", lang), ("script", "script")):
-        side = found.where(F.col("level") == level).select(F.col("name").alias(f"__{level}"), F.col("size").alias(f"__{level}_size"), F.struct(*edges).alias(f"__{level}_band"))
-        out = out.join(side, out[column].eqNullSafe(side[f"__{level}"]) & (out["__size"] == side[f"__{level}_size"]), "left")
-    band = F.coalesce("__lang_band", "__script_band")
+        whole = F.max(F.when(F.col("size") == -1, F.struct(*edges)))
+        by_size = F.map_from_entries(F.collect_list(F.struct("size", F.struct(*edges))))  # as many as there are powers of two
+        side = found.where(F.col("level") == level).groupBy(F.col("name").alias(f"__{level}")).agg(by_size.alias(f"__{level}_bands"), whole.alias(f"__{level}_whole"))
+        side = written(side, "bands")
+        out = out.join(side, out[column].eqNullSafe(side[f"__{level}"]), "left")
+    band = F.coalesce(F.col("__lang_bands")[F.col("__size")], F.col("__script_bands")[F.col("__size")], "__lang_whole", "__script_whole")
     inside = F.lit(True)
     for m, _, _ in MEASURES:
         inside &= F.col(m).between(band[f"{m}_low"], band[f"{m}_high"])
