@@ -21,6 +21,7 @@ gives no rows.
 from __future__ import annotations
 
 import heapq
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -64,20 +65,37 @@ def pack(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 def _word_encoder(path: str):
+    """Ids of words by the tokenizer. Words of printable ASCII are cut as its pattern cuts them and each part is
+    given to its model once, which spares them the tokenizer's normalising; all others go through the whole tokenizer."""
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(path)
     own.encode_special_tokens = True  # their strings in a text are ordinary text
+    cut, model = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+").findall, own.model
+    parts: dict[str, list[int]] = {}
 
     def encode(words: list[str]) -> list:
-        out = []
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            got = own.encode(part, is_pretokenized=True, add_special_tokens=False)
-            lists: list = [[] for _ in part]
-            for i, w in zip(got.ids, got.word_ids):
-                lists[w].append(i)
-            out += lists
+        if len(parts) > 500_000:
+            parts.clear()
+        out: list = [None] * len(words)
+        rest = []
+        for i, word in enumerate(words):
+            if not (word.isascii() and word.isprintable()) or "'" in word:
+                rest.append(i)
+                continue
+            ids: list[int] = []
+            for part in cut(word.lower()):
+                if (known := parts.get(part)) is None:
+                    known = parts[part] = [t.id for t in model.tokenize(part)]
+                ids += known
+            out[i] = ids
+        for at in range(0, len(rest), 4096):
+            some = rest[at : at + 4096]
+            for i in some:
+                out[i] = []
+            got = own.encode([words[i] for i in some], is_pretokenized=True, add_special_tokens=False)
+            for x, w in zip(got.ids, got.word_ids):
+                out[some[w]].append(x)
         return out
 
     return encode
