@@ -1,0 +1 @@
+"""Receipt and spend analytics as Spark DataFrame jobs."""
