@@ -18,7 +18,7 @@ a whole; they are dealt into buckets that are refined where they can matter:
    owner is smaller than their own.
 
 Spark shuffles the texts once, into chunks of bounded size (the exchange is
-reused by all three passes over the text), and buckets by q-gram hash. A
+reused by all passes over the text), and buckets by q-gram hash. A
 bucket of over ``HOT`` different runs is dealt by window instead, so no task
 gathers an unbounded group; rows are reduced within a chunk before each shuffle.
 
@@ -103,7 +103,8 @@ class Windows:
             inner = ragged(np.zeros(len(size), np.int64), pieces) * wide
             begin = np.repeat(begin, pieces) + inner
             size = np.minimum(np.repeat(size, pieces) - inner, wide)
-        self.start, self.count, self.bucket = at[begin], size, least[begin]
+        # 48 bits name a bucket in every shuffle; buckets that share a name are refined apart
+        self.start, self.count, self.bucket = at[begin], size, least[begin] >> _U(16)
         self.doc = np.searchsorted(self.bounds, self.start, side="right") - 1
 
     def hashes(self, start: np.ndarray, size) -> np.ndarray:
@@ -189,7 +190,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     by_chunk = source.groupBy("__chunk")
 
     def buckets(t: pa.Table) -> pa.Table:
-        """Each bucket of a chunk, its different runs, and whether two rows hold it."""
+        """Each bucket of a chunk and the number of its different runs, negative if two rows hold it."""
         found = []
         for n, (_, _, w) in enumerate(_views(t, text, length, q)):
             found.append((w.bucket, w.runs(), w.doc + (n << 32)))
@@ -201,17 +202,17 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         runs = np.add.reduceat(fresh.astype(np.int32), first) if len(first) else np.zeros(0, np.int32)
         several = np.minimum.reduceat(row, first) < np.maximum.reduceat(row, first) if len(first) else np.zeros(0, bool)
         chunk = np.full(len(first), t.column("__chunk")[0].as_py(), np.int32)
-        return pa.table({"bucket": bucket[first].view(np.int64), "chunk": chunk, "runs": runs.astype(np.int32), "several": several})
+        return pa.table({"bucket": bucket[first].view(np.int64), "chunk": chunk, "runs": np.where(several, -runs, runs).astype(np.int32)})
 
     def shared(batches):
         """The buckets that two rows hold, for each chunk that has them."""
 
         def work(t):
-            bucket, several = _np(t, "bucket"), np.asarray(t.column("several").combine_chunks().to_numpy(zero_copy_only=False))
+            bucket, runs = _np(t, "bucket"), _np(t, "runs").astype(np.int64)
             first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
             size = np.diff(np.append(first, len(bucket)))
-            good = (size > 1) | np.logical_or.reduceat(several, first)
-            many = np.add.reduceat(_np(t, "runs").astype(np.int64), first) > hot
+            good = (size > 1) | (runs[first] < 0)
+            many = np.add.reduceat(np.abs(runs), first) > hot
             rows = np.repeat(good, size)
             if rows.any():
                 yield pa.RecordBatch.from_arrays([pa.array(_np(t, "chunk")[rows]), pa.array(bucket[rows]), pa.array(np.repeat(many, size)[rows])], names=["chunk", "bucket", "hot"])
@@ -219,8 +220,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         yield from _carried(batches, "bucket", work)
 
     def runs(t: pa.Table, mine: pa.Table) -> pa.Table:
-        """The different runs of a chunk's shared buckets, or their windows in hot ones, with the least and greatest document of each."""
-        schema = pa.schema([("key", pa.int64()), ("run", pa.int64()), ("hot", pa.bool_()), ("least", pa.int64()), ("most", pa.int64()), ("chunk", pa.int32()), ("body", pa.binary())])
+        """The different runs of a chunk's shared buckets, or their windows in hot ones, with the least document of each, and the greatest if it is another."""
+        schema = pa.schema([("key", pa.int64()), ("run", pa.int64()), ("hot", pa.bool_()), ("least", pa.int64()), ("most", pa.int64()), ("chunk", pa.int32())])
         if not t.num_rows or not mine.num_rows:
             return schema.empty_table()
         wanted = _np(mine, "bucket").view(_U)
@@ -235,44 +236,71 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 chosen = np.flatnonzero(hit & (heat[at] == warm))
                 if not len(chosen):
                     continue
-                start, count, bucket = w.start[chosen], w.count[chosen], w.bucket[chosen]
-                size = count + length - 1
-                doc = ids[w.doc[chosen]]
+                start, count, key, doc = w.start[chosen], w.count[chosen], w.bucket[chosen], ids[w.doc[chosen]]
+                value = w.runs(chosen)
                 if warm:
-                    start, doc = ragged(start, count), np.repeat(doc, count)
-                    size = np.full(len(start), length)
-                value = w.hashes(start, size)
-                key = value if warm else bucket
+                    doc = np.repeat(doc, count)
+                    key = value = w.hashes(ragged(start, count), length)
                 by = np.lexsort((doc, value, key))
-                key, value, doc, start, size = key[by], value[by], doc[by], start[by], size[by]
+                key, value, doc = key[by], value[by], doc[by]
                 fresh = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (value[1:] != value[:-1])]))
-                made.append(pa.table([
-                    key[fresh].view(np.int64), value[fresh].view(np.int64), np.full(len(fresh), warm), doc[fresh],
-                    np.maximum.reduceat(doc, fresh), np.full(len(fresh), chunk, np.int32), _binary(w.raw, start[fresh], size[fresh]),
-                ], schema=schema))
+                least, most = doc[fresh], np.maximum.reduceat(doc, fresh)
+                most = pa.array(most, mask=most == least)
+                made.append(pa.table([key[fresh].view(np.int64), value[fresh].view(np.int64), np.full(len(fresh), warm), least, most, np.full(len(fresh), chunk, np.int32)], schema=schema))
         return pa.concat_tables(made) if made else schema.empty_table()
 
     def owners(batches):
-        """For each chunk that has to know: run, its owner, and the windows that go even there."""
+        """For each chunk that has to know: run and its owner; and, of buckets with several runs, which chunk has to show an owner's bytes."""
 
         def work(t):
-            key, run, least, most, chunk = (_np(t, c) for c in ("key", "run", "least", "most", "chunk"))
+            key, run, least, chunk = (_np(t, c) for c in ("key", "run", "least", "chunk"))
+            most = np.asarray(pc.fill_null(t.column("most").combine_chunks(), t.column("least").combine_chunks()))
             heat = t.column("hot").combine_chunks().to_numpy(zero_copy_only=False)
-            fresh = np.concatenate([[True], (run[1:] != run[:-1]) | (key[1:] != key[:-1]) | (heat[1:] != heat[:-1])])
-            first = np.flatnonzero(fresh)
+            first = np.flatnonzero(np.concatenate([[True], (run[1:] != run[:-1]) | (key[1:] != key[:-1]) | (heat[1:] != heat[:-1])]))
             size = np.diff(np.append(first, len(run)))
-            owner = np.minimum.reduceat(least, first)
+            owner = np.repeat(np.minimum.reduceat(least, first), size)
+            group = np.cumsum(np.concatenate([[True], key[first][1:] != key[first][:-1]])) - 1
+            mixed = np.repeat((np.bincount(group)[group] > 1) & ~heat[first], size)
+            for show, say in ((False, most > owner), (True, mixed & (least == owner))):
+                if say.any():
+                    named = pa.array(key[say]) if show else pa.nulls(int(say.sum()), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(chunk[say]), named, *(pa.array(x[say]) for x in (run, heat, owner)), pa.array(np.full(int(say.sum()), show))], names=["chunk", "key", "run", "hot", "owner", "show"])
+
+        yield from _carried(batches, "key", work)
+
+    def bodies(t: pa.Table, asked: pa.Table) -> pa.Table:
+        """The bytes of the runs that are asked for."""
+        schema = pa.schema([("key", pa.int64()), ("run", pa.int64()), ("owner", pa.int64()), ("chunk", pa.int32()), ("body", pa.binary())])
+        if not t.num_rows or not asked.num_rows:
+            return schema.empty_table()
+        run = _np(asked, "run").view(_U)
+        order = np.argsort(run)
+        run, key, owner = run[order], _np(asked, "key")[order], _np(asked, "owner")[order]
+        chunk, shown, made = asked.column("chunk")[0].as_py(), np.zeros(len(run), bool), []
+        for _, ids, w in _views(t, text, length, q):
+            value = w.runs()
+            at = np.minimum(np.searchsorted(run, value), len(run) - 1)
+            hit = np.flatnonzero((run[at] == value) & (ids[w.doc] == owner[at]) & ~shown[at])
+            one, where = np.unique(at[hit], return_index=True)
+            hit = hit[where]
+            shown[one] = True
+            made.append(pa.table([key[one], run[one].view(np.int64), owner[one], np.full(len(one), chunk, np.int32), _binary(w.raw, w.start[hit], w.count[hit] + length - 1)], schema=schema))
+        return pa.concat_tables(made) if made else schema.empty_table()
+
+    def refined(batches):
+        """Of runs that differ within a bucket, the windows that a run of a smaller owner holds too."""
+
+        def work(t):
+            key, run, owner, chunk = (_np(t, c) for c in ("key", "run", "owner", "chunk"))
+            first = np.flatnonzero(np.concatenate([[True], (run[1:] != run[:-1]) | (key[1:] != key[:-1])]))
             gone = np.zeros(len(first), np.int64)
-            opening = np.concatenate([[True], key[first][1:] != key[first][:-1]])
-            group = np.cumsum(opening) - 1
-            mixed = np.flatnonzero((np.bincount(group)[group] > 1) & ~heat[first])
-            for some in _blocks(mixed, group[mixed]):
-                bodies = t.column("body").combine_chunks().take(pa.array(first[some]))
-                gone[some] = _overlaps(bodies, owner[some], length)
-            rows_owner, rows_gone = np.repeat(owner, size), np.repeat(gone, size)
-            say = (most > rows_owner) | ((least == rows_owner) & (rows_gone != 0))
+            shown = t.column("body").combine_chunks().take(pa.array(first))
+            for some in _blocks(np.arange(len(first)), key[first]):
+                gone[some] = _overlaps(shown.take(pa.array(some)), owner[first][some], length)
+            gone = np.repeat(gone, np.diff(np.append(first, len(run))))
+            say = gone != 0
             if say.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[say]) for x in (chunk, run, heat, rows_owner, rows_gone)], names=["chunk", "run", "hot", "owner", "gone"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[say]) for x in (chunk, run, np.zeros(len(run), bool), owner, gone)], names=["chunk", "run", "hot", "owner", "gone"])
 
         yield from _carried(batches, "key", work)
 
@@ -286,7 +314,11 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             rows = told.filter(pc.equal(told.column("hot"), warm)) if told.num_rows else told
             run = _np(rows, "run").view(_U) if rows.num_rows else np.zeros(0, _U)
             order = np.argsort(run)
-            known[warm] = run[order], *(_np(rows, c)[order] if rows.num_rows else run for c in ("owner", "gone"))
+            run, owner, gone = run[order], *(_np(rows, c)[order] if rows.num_rows else run.view(np.int64) for c in ("owner", "gone"))
+            if len(run):  # a run may have a row for its owner and one for the windows that go
+                first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+                run, owner, gone = run[first], owner[first], np.bitwise_or.reduceat(gone, first)
+            known[warm] = run, owner, gone
         span = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
         made = []
         for part, ids, w in _views(t, text, length, q):
@@ -335,11 +367,15 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             return pa.concat_tables(made)
         return t.select(keep).append_column("n_bytes", pa.array([], pa.int64())).append_column("removed", pa.array([], span)).append_column("kept", pa.array([], pa.binary()))
 
-    held = by_chunk.applyInArrow(buckets, "bucket bigint, chunk int, runs int, several boolean")
+    held = by_chunk.applyInArrow(buckets, "bucket bigint, chunk int, runs int")
     mine = held.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(shared, "chunk int, bucket bigint, hot boolean")
-    told = by_chunk.cogroup(mine.groupBy("chunk")).applyInArrow(runs, "key bigint, run bigint, hot boolean, least bigint, most bigint, chunk int, body binary")
-    owned = told.repartition("key").sortWithinPartitions("key", "hot", "run").mapInArrow(owners, "chunk int, run bigint, hot boolean, owner bigint, gone bigint")
-    return by_chunk.cogroup(owned.groupBy("chunk")).applyInArrow(cut, result)
+    told = by_chunk.cogroup(mine.groupBy("chunk")).applyInArrow(runs, "key bigint, run bigint, hot boolean, least bigint, most bigint, chunk int")
+    owned = told.repartition("key").sortWithinPartitions("key", "hot", "run").mapInArrow(owners, "chunk int, key bigint, run bigint, hot boolean, owner bigint, show boolean")
+    asked = owned.where("show").select("chunk", "key", "run", "owner")
+    shown = by_chunk.cogroup(asked.groupBy("chunk")).applyInArrow(bodies, "key bigint, run bigint, owner bigint, chunk int, body binary")
+    partly = shown.repartition("key").sortWithinPartitions("key", "run").mapInArrow(refined, "chunk int, run bigint, hot boolean, owner bigint, gone bigint")
+    whole = owned.where("not show").select("chunk", "run", "hot", "owner", F.lit(0).cast("long").alias("gone"))
+    return by_chunk.cogroup(whole.union(partly).groupBy("chunk")).applyInArrow(cut, result)
 
 
 def _blocks(which: np.ndarray, group: np.ndarray, most: int = 20_000):
