@@ -137,6 +137,8 @@ _COLUMNS = {
     "part": "p_partkey:numeric p_name:other p_brand:other p_type:other p_size:numeric p_retailprice:double",
     "orders": "o_orderkey:numeric o_custkey:numeric o_orderstatus:other o_totalprice:double o_orderpriority:other",
     "labels": "doc_id:numeric quality:numeric toxic:numeric",
+    "lineitem": "l_orderkey:numeric l_partkey:numeric l_suppkey:numeric l_linenumber:numeric l_quantity:double l_extendedprice:double l_discount:double l_tax:double l_returnflag:other l_linestatus:other",
+    "events": "event_id:numeric user_id:numeric event_type:other value:double props:other",
 }
 
 
@@ -234,6 +236,8 @@ def oracle_sql() -> dict[str, str]:
     sql["e15_distinct"] = "SELECT DISTINCT c_mktsegment AS value FROM customer WHERE c_mktsegment IS NOT NULL"
     sql["g03_preview"] = "SELECT o_orderkey, (SELECT count(*) FROM orders) AS total FROM orders ORDER BY 1 LIMIT 30"
     sql |= {f"e11_profile_{t}": _profile(t, [tuple(c.split(":")) for c in cs.split()]) for t, cs in _COLUMNS.items()}
+    line = lambda c, kind, edge: f"SELECT '{c}' AS \"column\", '  - {c} ({kind})' || {edge} || ' | e.g. ' || (SELECT string_agg(v, ', ' ORDER BY v) FROM (SELECT DISTINCT {c}::VARCHAR AS v FROM nation ORDER BY v LIMIT 3)) AS line FROM (SELECT min(n_nationkey) AS a, max(n_nationkey) AS b, min(n_regionkey) AS c, max(n_regionkey) AS d FROM nation)"
+    sql["i23_profile_lines"] = " UNION ALL ".join(line(c, k, e) for c, k, e in (("n_nationkey", "INT", "' | range: ' || a || ' → ' || b"), ("n_name", "STRING", "''"), ("n_regionkey", "INT", "' | range: ' || c || ' → ' || d")))
     sql["e17_category_month"] = f"WITH {_ITEMS} SELECT grocery_category, strftime(invoice_date, '%Y-%m') AS month, sum(item_price)::DOUBLE AS spend, count(*) AS n FROM items GROUP BY 1, 2"
     sql["e17_bill_month"] = f"WITH {_ITEMS} SELECT strftime(invoice_date, '%Y-%m') AS month, sum(total)::DOUBLE AS spend, count(*) AS n FROM bills WHERE invoice_date >= '1996-01-01' AND invoice_date < '1998-01-01' GROUP BY 1"
     sql["e17_last_month"] = f"WITH {_ITEMS} SELECT sum(total)::DOUBLE AS spend, count(*) AS bills FROM bills WHERE invoice_date >= '1997-02-01' AND invoice_date < '1997-03-01'"

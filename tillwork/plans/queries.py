@@ -431,8 +431,7 @@ def j07_ingest(spark, sf):
 
 
 def _trained(spark, sf):
-    rows = X.labelled(spark, sf).select("doc_id", F.substring("text", 1, 2000).alias("text"), "label")
-    return prep.stratified_split(rows, "label", "doc_id")
+    return prep.stratified_split(X.labelled(spark, sf).select("doc_id", "text", "label"), "label", "doc_id")
 
 
 def j02_classifier(spark, sf):
