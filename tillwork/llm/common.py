@@ -118,14 +118,19 @@ class WordMemo:
     """Distinct words met by a Python worker, with the ids that a tokenizer gave each.
 
     ``encode`` maps a list of new words to lists of ids. The memo starts anew
-    beyond ``most`` words, which bounds its memory; results don't depend on it.
+    beyond ``most`` words or once another one was in use, which bounds the memory
+    of a worker; results don't depend on it. ``forget`` is called then, too.
     """
 
-    def __init__(self, encode, most: int = 800_000):
-        self.encode, self.most = encode, most
+    used = None
+
+    def __init__(self, encode, most: int = 600_000, forget=None):
+        self.encode, self.most, self.forget = encode, most, forget
         self.clear()
 
     def clear(self) -> None:
+        if self.forget:
+            self.forget()
         self.index: dict = {}
         self.starts = np.zeros(0, np.int64)
         self.lengths = np.zeros(0, np.int64)
@@ -135,6 +140,9 @@ class WordMemo:
         """A row of the memo for each word; rows hold until the next call."""
         if len(self.index) > self.most:
             self.clear()
+        if WordMemo.used not in (None, self):
+            WordMemo.used.clear()
+        WordMemo.used = self
         new = list(dict.fromkeys(w for w in words if w not in self.index))
         if new:
             got = self.encode(new)

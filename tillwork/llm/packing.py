@@ -64,7 +64,7 @@ def pack(sizes: list[int], capacity: int) -> list[list[int]]:
         k = max(k + 1, k * sums[0] // capacity)
 
 
-def _word_encoder(path: str):
+def _word_encoder(path: str, parts: dict[str, list[int]]):
     """Ids of words by the tokenizer. Words of printable ASCII are cut as its pattern cuts them and each part is
     given to its model once, which spares them the tokenizer's normalising; all others go through the whole tokenizer."""
     from tokenizers import Tokenizer
@@ -72,10 +72,9 @@ def _word_encoder(path: str):
     own = Tokenizer.from_file(path)
     own.encode_special_tokens = True  # their strings in a text are ordinary text
     cut, model = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+").findall, own.model
-    parts: dict[str, list[int]] = {}
 
     def encode(words: list[str]) -> list:
-        if len(parts) > 500_000:
+        if len(parts) > 400_000:
             parts.clear()
         out: list = [None] * len(words)
         rest = []
@@ -107,7 +106,8 @@ _memos: dict[str, WordMemo] = {}
 def memo(vocabulary: str) -> WordMemo:
     path = vocab_file(vocabulary)
     if path not in _memos:
-        _memos[path] = WordMemo(_word_encoder(path))
+        parts: dict[str, list[int]] = {}
+        _memos[path] = WordMemo(_word_encoder(path, parts), forget=parts.clear)
     return _memos[path]
 
 
