@@ -21,17 +21,22 @@ from tillwork.llm.suffix_dedup import remove_repeats
 ORACLE_SQL = None
 
 
+def _staying(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id and text hash are among the keys (doc_id, text_hash)."""
+    stay = keys.select(F.col("doc_id").alias("__kept"), F.col("text_hash").alias("__kept_hash")).distinct()
+    hashed = docs.withColumn("__hash", F.xxhash64("text"))
+    return hashed.join(stay, hashed["doc_id"].eqNullSafe(stay["__kept"]) & (hashed["__hash"] == stay["__kept_hash"]), "left_semi")
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or a fertility band reject go."""
-    return quality(docs).where("kept").select(docs.columns)
+    return _staying(docs, quality(docs).where("kept")).select(docs.columns)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each class stays, once if its row is repeated; without ids, every row of a class that has none stays."""
+    """The document of least doc_id of each class stays, once if its row is repeated; without ids, every text of a class that has none stays."""
     found = near_duplicates(docs)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept"), F.col("text_hash").alias("__kept_hash")).distinct()
-    hashed = docs.withColumn("__hash", F.xxhash64("text"))
-    kept = hashed.join(stay, hashed["doc_id"].eqNullSafe(stay["__kept"]) & (hashed["__hash"] == stay["__kept_hash"]), "left_semi")
+    kept = _staying(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
     return kept.dropDuplicates(["doc_id", "__hash"]).select(docs.columns)
 
 

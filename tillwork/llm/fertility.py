@@ -204,17 +204,15 @@ def judge(measured: DataFrame, found: DataFrame, lang: str = "lang") -> DataFram
     return out.withColumn("kept", kept).select(*measured.columns, "base_failed", "kept")
 
 
-def quality(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """docs with measures, base_failed and kept. Measures are written to the shared folder once and read twice."""
-    measured = written(measure(docs, text), "fertility")
-    return judge(measured, written(bands(measured, lang), "bands"), lang)
+def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """doc_id, text_hash (xxhash64 of the text, to tell rows of equal doc_id), measures, base_failed and kept. Measures are written once and read twice; texts aren't."""
+    named = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    measured = written(measure(named).drop("text"), "fertility")
+    return judge(measured, written(bands(measured), "bands"))
 
 
 def op2_quality_rules(spark, sf_dir) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    measured = written(measure(docs).drop("text"), "fertility")
-    done = judge(measured, written(bands(measured), "bands"))
-    return done.select(
+    return quality(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "n_tokens", "chars_per_token", "byte_share", "token_entropy", "script",
     )
