@@ -75,6 +75,36 @@ def test_quality_bands_reject_odd_text_and_keep_the_rest(spark):
     assert all(got[i].kept for i in range(120))
 
 
+_TONGUES = {
+    "en": "river stone walked slowly under bright morning clouds while children played near old bridge and water moved past quiet fields of corn".split(),
+    "es": "el río corre despacio bajo las nubes claras mientras los niños juegan cerca del puente viejo y la gente camina por campos tranquilos".split(),
+    "fr": "la rivière coule lentement sous les nuages clairs pendant que des enfants jouent près du vieux pont et les gens marchent dans la plaine".split(),
+    "de": "der Fluss fließt langsam unter hellen Wolken während die Kinder nahe der alten Brücke spielen und Leute durch stille Felder gehen".split(),
+}
+
+
+def _prose(rng, lang, n):
+    return [rng.choice(_TONGUES[lang]) for _ in range(n)]
+
+
+def test_quality_rejects_each_kind_of_junk_in_every_language(spark):
+    import random
+
+    from tillwork.llm.fertility import quality
+
+    rng = random.Random(4)
+    rows, junk = [], []
+    for at, lang in enumerate(_TONGUES):
+        rows += [(1000 * at + i, " ".join(_prose(rng, lang, rng.randint(150, 180))), lang) for i in range(150)]
+        for i in range(3):
+            noise = " ".join(w + rng.choice(["***", "%%%", "&&&", "$$$", "###"]) for w in _prose(rng, lang, 160))
+            debris = " | ".join(_prose(rng, lang, 110))
+            junk += [(1000 * at + 500 + i, noise, lang), (1000 * at + 600 + i, debris, lang)]
+    got = {r.doc_id: r.kept for r in quality(spark.createDataFrame(rows + junk, "doc_id bigint, text string, lang string")).collect()}
+    assert [d for d, _, _ in junk if got[d]] == []
+    assert sum(not got[d] for d, _, _ in rows) <= 2
+
+
 def test_repeated_words_survive_hash_ties():
     from tillwork.llm.fertility import repeated_words
 

@@ -1,18 +1,22 @@
 """Quality rules by tokeniser fertility.
 
-A public vocabulary with byte fallback cuts every word; a document's measures
-are characters per token, the share of byte-fallback tokens and the entropy of
-its tokens (bits). Text that is unlike its language, as symbol noise, repeated
-lines, capitals or table debris, is cut into more, other or fewer kinds of
-tokens.
+Two public vocabularies cut every word, one of pieces with byte fallback and one
+of merged bytes; a document's measures by each are characters per token, the
+share of byte tokens and the entropy of its tokens (bits). Text that is unlike
+its language, as symbol noise, repeated lines, capitals or table debris, is cut
+into more, other or fewer kinds of tokens. Entropy grows with length, so what is
+judged is its excess over what so many draws from one fixed rank distribution
+give.
 
 Rejection bands come from the corpus: for each language and size class (power
 of two of the token count) a band is the median of all documents of that class
 plus and minus ``width`` robust deviations (quartile distance / 1.349, at least
-the measure's floor). A class of under ``least`` documents takes the band of
-its script's size class instead, then that of its language or script over all
-sizes; if even that is as rare, there is no demand and its documents stay. Quartiles come from histograms of fixed bin width, so they are exact to
-the bin, the same in every run, and pre-aggregated before any shuffle.
+the measure's floor, about a histogram bin or two). A class of under ``least``
+documents borrows from as many neighbouring size classes on both sides as it
+takes. A language of fewer takes its script's bands, made likewise; where the
+script is as rare, FIXED bands hold, which are wide and known for Latin only.
+Quartiles come from histograms of fixed bin width, so they are exact to the
+bin, the same in every run, and pre-aggregated before any shuffle.
 
 Null texts count as empty and fail the base rules; null languages are a group
 of their own; repeated rows are measured each; columns that bear an output's
@@ -29,11 +33,18 @@ from pyspark.sql import functions as F
 
 from tillwork.llm.common import WordMemo, group_sums, ragged, slices, split_words, table, texts, vocab_file, written
 
-VOCABULARY = "piece_bpe_32k.model"
+VOCABULARY, SECOND = "piece_bpe_32k.model", "byte_bpe_50k.json"
 SYMBOLS = "#*$%&|<>"
 SHINGLE = 8
 #: Measure, bin width of its histogram, least robust deviation.
-MEASURES = (("chars_per_token", 0.01, 0.03), ("byte_share", 0.005, 0.02), ("token_entropy", 0.02, 0.15))
+MEASURES = (
+    ("chars_per_token", 0.01, 0.01), ("byte_share", 0.005, 0.005), ("entropy_excess", 0.02, 0.05),
+    ("second_chars_per_token", 0.01, 0.01), ("second_byte_share", 0.005, 0.005), ("second_entropy_excess", 0.02, 0.05),
+)
+#: Bands of scripts that the corpus has too few documents of, lowest and highest in the order of MEASURES: natural prose takes 3 to 6 characters a token, the invented one of the test tables about 2.
+FIXED = {"latin": ((1.2, 8.0), (0.0, 0.1), (-4.0, 3.0), (1.2, 8.0), (0.0, 0.35), (-4.0, 3.0))}
+#: Mean entropy of 8, 16, ... 131,072 draws from 500 ranks r of weight 1 / (r + 5).
+EXPECTED = (2.95, 3.87, 4.76, 5.55, 6.25, 6.79, 7.22, 7.53, 7.70, 7.81, 7.85, 7.87, 7.89, 7.89, 7.89)
 WIDTH, LEAST = 5.0, 50
 
 #: First code point of each range, and its script; letters only, "" for the rest. Fixed values.
@@ -47,7 +58,7 @@ _STARTS = np.array([r[0] for r in _RANGES])
 _SCRIPTS = sorted({r[1] for r in _RANGES})
 _SCRIPT_OF = np.array([_SCRIPTS.index(r[1]) for r in _RANGES])
 
-COLUMNS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_tokens bigint, chars_per_token double, byte_share double, token_entropy double, script string"
+COLUMNS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_tokens bigint, chars_per_token double, byte_share double, token_entropy double, script string, entropy_excess double, second_tokens bigint, second_chars_per_token double, second_byte_share double, second_token_entropy double, second_entropy_excess double"
 
 
 def repeated_words(codes: np.ndarray, bounds: np.ndarray, width: int = SHINGLE) -> np.ndarray:
@@ -91,50 +102,74 @@ def scripts(words: pa.Array) -> np.ndarray:
     return _SCRIPT_OF[np.searchsorted(_STARTS, np.frombuffer(first.encode("utf-32-le"), np.uint32), side="right") - 1]
 
 
+def entropy_excess(entropy: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Entropy over what is expected at that token count; beyond the ends of EXPECTED its first and last values hold."""
+    return entropy - np.interp(np.log2(np.maximum(tokens, 1)), np.arange(3, 3 + len(EXPECTED)), EXPECTED)
+
+
 class _Fertility:
-    def __init__(self, path: str):
+    def __init__(self, path: str, second: str):
+        import os
+
         import sentencepiece
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
         self.own = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.size = self.own.vocab_size()
-        self.bytes = np.array([self.own.is_byte(i) for i in range(self.size)])
-        self.memo = WordMemo(lambda words: self.own.encode(words, num_threads=1))
+        self.other = Tokenizer.from_file(second)
+        kinds = self.other.get_vocab()
+        self.sizes = (self.own.vocab_size(), max(kinds.values()) + 1)
+        single = np.zeros(self.sizes[1], bool)
+        single[[i for token, i in kinds.items() if len(token) == 1]] = True  # a character of the vocabulary's alphabet is a byte
+        self.bytes = (np.array([self.own.is_byte(i) for i in range(self.sizes[0])]), single)
+        self.memo = WordMemo(self._both)
+
+    def _both(self, words: list) -> list:
+        """Ids of each word by the first vocabulary, and after them those by the second, which begin where the first's end."""
+        first, shift = self.own.encode(words, num_threads=1), self.sizes[0]
+        second = self.other.encode_batch_fast([f" {w}" for w in words], add_special_tokens=False)
+        return [[*a, *(i + shift for i in b.ids)] for a, b in zip(first, second)]
 
     def measure(self, known: np.ndarray, bounds: np.ndarray):
-        """n_tokens, byte tokens and entropy of each text, whose words are rows of the memo."""
+        """For each vocabulary n_tokens, byte tokens and entropy of each text, whose words are rows of the memo."""
         lengths = self.memo.lengths[known]
-        ids = self.memo.ids[ragged(self.memo.starts[known], lengths)]
+        both = self.memo.ids[ragged(self.memo.starts[known], lengths)]
         ends = np.concatenate([[0], np.cumsum(lengths)])[bounds]
-        tokens = np.diff(ends)
-        doc = np.repeat(np.arange(len(tokens)), tokens)
-        keys, count = np.unique(doc * self.size + ids, return_counts=True)
-        share = count / tokens[keys // self.size]
-        entropy = np.bincount(keys // self.size, weights=-share * np.log2(share), minlength=len(tokens))
-        return tokens, group_sums(self.bytes[ids].astype(np.int64), ends), entropy
+        where = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+        second = both >= self.sizes[0]
+        for turn, (size, single) in enumerate(zip(self.sizes, self.bytes)):
+            mine = second == bool(turn)
+            ids, doc = both[mine] - turn * self.sizes[0], where[mine]
+            tokens = np.bincount(doc, minlength=len(ends) - 1)
+            keys, count = np.unique(doc * size + ids, return_counts=True)
+            share = count / tokens[keys // size]
+            entropy = np.bincount(keys // size, weights=-share * np.log2(share), minlength=len(tokens))
+            yield tokens, np.bincount(doc[single[ids]], minlength=len(tokens)), np.abs(entropy)
 
 
-_loaded: dict[str, _Fertility] = {}
+_loaded: dict[tuple[str, str], _Fertility] = {}
 
 
-def _fertility(vocabulary: str) -> _Fertility:
-    path = vocab_file(vocabulary)
-    if path not in _loaded:
-        _loaded[path] = _Fertility(path)
-    return _loaded[path]
+def _fertility(vocabulary: str, second: str) -> _Fertility:
+    key = vocab_file(vocabulary), vocab_file(second)
+    if key not in _loaded:
+        _loaded[key] = _Fertility(*key)
+    return _loaded[key]
 
 
-def measure(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+def measure(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, second: str = SECOND) -> DataFrame:
     """docs with the columns of COLUMNS, over whole texts."""
     names = [c.split()[0] for c in COLUMNS.split(", ")]
     keep = [c for c in docs.columns if c not in names]
 
     def work(batches):
-        own = _fertility(vocabulary)
+        own = _fertility(vocabulary, second)
         for part in slices(batches, text):
             block = texts(part, text)
             codes, bounds, words = split_words(block)
             known = own.memo.codes(words.to_pylist())[codes] if len(codes) else codes.astype(np.int64)
-            tokens, fallback, entropy = own.measure(known, bounds)
+            (tokens, fallback, entropy), (tokens2, single, entropy2) = own.measure(known, bounds)
             chars = group_sums(np.asarray(pc.utf8_length(words), np.int64)[codes] if len(codes) else codes, bounds)
             symbols = sum(np.asarray(pc.count_substring(block, s), np.int64) for s in SYMBOLS)
             votes = np.zeros((len(block), len(_SCRIPTS)), np.int64)
@@ -142,10 +177,11 @@ def measure(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -
                 np.add.at(votes, (np.repeat(np.arange(len(block)), np.diff(bounds)), scripts(words)[codes]), 1)
             votes[:, _SCRIPTS.index("")] = 0
             script = np.array(_SCRIPTS, object)[votes.argmax(1)]
-            some = np.maximum(tokens, 1)
+            some, some2 = np.maximum(tokens, 1), np.maximum(tokens2, 1)
             made = [
                 np.diff(bounds), chars, symbols, np.array([duplicate_lines(x.as_py()) for x in block], np.int64),
-                repeated_words(codes, bounds), tokens, chars / some, fallback / some, np.abs(entropy), script,
+                repeated_words(codes, bounds), tokens, chars / some, fallback / some, entropy, script, entropy_excess(entropy, tokens),
+                tokens2, chars / some2, single / some2, entropy2, entropy_excess(entropy2, tokens2),
             ]
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], *map(pa.array, made)], names=[*keep, *names])
 
@@ -161,23 +197,37 @@ def _size():
     return F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int")
 
 
+def _borrowed(counts: DataFrame, least: int) -> DataFrame:
+    """counts with those of the nearest size classes added to each class until it has ``least`` documents; names of fewer go."""
+    sizes = counts.where(F.col("measure") == MEASURES[0][0]).groupBy("level", "name", "size").agg(F.sum("n").alias("docs"))
+    others = sizes.select(*[F.col(c).alias(f"__{c}") for c in ("level", "name", "size", "docs")])
+    same = (F.col("level") == F.col("__level")) & F.col("name").eqNullSafe(F.col("__name"))
+    away = F.abs(F.col("size") - F.col("__size"))
+    group = Window.partitionBy("level", "name", "size").orderBy("away")  # by value: classes as far on either side come together
+    reach = sizes.join(others, same).withColumn("away", away).withColumn("sum", F.sum("__docs").over(group)).where(F.col("sum") >= least)
+    reach = reach.groupBy("level", "name", "size").agg(F.min("away").alias("reach")).select(F.col("level").alias("__level"), F.col("name").alias("__name"), F.col("size").alias("__size"), "reach")
+    near = counts.join(reach, same).where(away <= F.col("reach"))
+    return near.select("level", "name", F.col("__size").alias("size"), "measure", "bin", "n")
+
+
 def bands(measured: DataFrame, lang: str = "lang", width: float = WIDTH, least: int = LEAST) -> DataFrame:
-    """One row per level ("lang", "script"), name and size class (-1: all): lowest and highest value of each measure.
+    """One row per level ("lang", "script"), name and size class that has documents: lowest and highest value of each measure.
 
-    Its rows are a few for each language, as it drops classes of under ``least`` documents.
+    Its rows are a few for each language, as it drops names of under ``least`` documents.
     """
-    level = lambda name, column, size: F.struct(F.lit(name).alias("level"), F.col(column).alias("name"), size.alias("size"))
-    groups = [level(name, column, size) for name, column in (("lang", lang), ("script", "script")) for size in (_size(), F.lit(-1))]
+    level = lambda name, column: F.struct(F.lit(name).alias("level"), F.col(column).alias("name"), _size().alias("size"))
     fit = measured.where(~_base_failed()).select(
-        F.explode(F.array(*groups)).alias("g"),
+        F.explode(F.array(level("lang", lang), level("script", "script"))).alias("g"),
         *[F.round(F.col(m) / step).cast("int").alias(m) for m, step, _ in MEASURES],
     )
     long = fit.select("g.*", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("bin")) for m, _, _ in MEASURES])).alias("x"))
     counts = long.groupBy("level", "name", "size", "x.measure", "x.bin").agg(F.count("*").alias("n"))
+    counts = written(counts.select("level", "name", "size", "measure", F.col("bin").alias("bin"), "n"), "histograms")  # as long as there are bins
+    counts = _borrowed(counts, least).groupBy("level", "name", "size", "measure", "bin").agg(F.sum("n").alias("n"))
     group = Window.partitionBy("level", "name", "size", "measure")
     ranked = counts.withColumn("below", F.sum("n").over(group.orderBy("bin"))).withColumn("all", F.sum("n").over(group))
     at = lambda q: F.min(F.when(F.col("below") >= q * F.col("all"), F.col("bin")))
-    quartiles = ranked.where(F.col("all") >= least).groupBy("level", "name", "size", "measure").agg(at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3"))
+    quartiles = ranked.groupBy("level", "name", "size", "measure").agg(at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3"))
     edges = []
     for m, step, floor in MEASURES:
         mid = F.max(F.when(F.col("measure") == m, F.col("q2"))) * step
@@ -191,12 +241,14 @@ def judge(measured: DataFrame, found: DataFrame, lang: str = "lang") -> DataFram
     edges = [f"{m}_{e}" for m, _, _ in MEASURES for e in ("low", "high")]
     out = measured.withColumn("base_failed", _base_failed()).withColumn("__size", _size())
     for level, column in (("lang", lang), ("script", "script")):
-        whole = F.max(F.when(F.col("size") == -1, F.struct(*edges)))
         by_size = F.map_from_entries(F.collect_list(F.struct("size", F.struct(*edges))))  # as many as there are powers of two
-        side = found.where(F.col("level") == level).groupBy(F.col("name").alias(f"__{level}")).agg(by_size.alias(f"__{level}_bands"), whole.alias(f"__{level}_whole"))
+        side = found.where(F.col("level") == level).groupBy(F.col("name").alias(f"__{level}")).agg(by_size.alias(f"__{level}_bands"))
         side = written(side, "bands")
         out = out.join(side, out[column].eqNullSafe(side[f"__{level}"]), "left")
-    band = F.coalesce(F.col("__lang_bands")[F.col("__size")], F.col("__script_bands")[F.col("__size")], "__lang_whole", "__script_whole")
+    fixed = F.lit(None)
+    for script, limits in FIXED.items():
+        fixed = F.when(F.col("script") == script, F.struct(*[F.lit(x).alias(e) for e, x in zip(edges, (x for pair in limits for x in pair))])).otherwise(fixed)
+    band = F.coalesce(F.col("__lang_bands")[F.col("__size")], F.col("__script_bands")[F.col("__size")], fixed)
     inside = F.lit(True)
     for m, _, _ in MEASURES:
         inside &= F.col(m).between(band[f"{m}_low"], band[f"{m}_high"])
