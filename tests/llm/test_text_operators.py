@@ -105,6 +105,23 @@ def test_quality_rejects_each_kind_of_junk_in_every_language(spark):
     assert sum(not got[d] for d, _, _ in rows) <= 2
 
 
+def test_quality_holds_at_sizes_that_are_rare(spark):
+    import random
+
+    from tillwork.llm.fertility import quality
+
+    rng = random.Random(6)
+    rows = [(i, " ".join(_prose(rng, "en", rng.choice([300, 400, 1500]))), "en") for i in range(150)]
+    rows += [(1000 + i, " ".join(_prose(rng, "en", rng.randint(70, 100))), "en") for i in range(30)]
+    rows += [(2000 + i, " ".join(_prose(rng, "en", rng.randint(22, 28))), "en") for i in range(25)]
+    short = [(3000, " ".join(w + "%%%&&&" for w in _prose(rng, "en", 25)), "en")]
+    found = lambda some: {r.doc_id: r.kept for r in quality(spark.createDataFrame(some, "doc_id bigint, text string, lang string")).collect()}
+    got = found(rows + short)
+    assert sum(not got[d] for d, _, _ in rows if d >= 2000) <= 1 and not got[3000]
+    few = found([rows[0], (9, " ".join("☃☄" for _ in range(10)) + " a" * 12, "en")])
+    assert few[rows[0][0]] and not few[9], "where no class has enough documents, fixed bands hold"
+
+
 def test_repeated_words_survive_hash_ties():
     from tillwork.llm.fertility import repeated_words
 
