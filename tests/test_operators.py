@@ -218,3 +218,19 @@ def test_stream_equals_batch(spark, tmp_path):
     last = df.where("bill_id >= 20")
     jobs.ingest_batch(last, 2, path)  # a replay
     assert sorted(r.bill_id for r in jobs.stored_bills(spark, path).collect()) == want
+
+
+def test_known_and_repeated_images_are_dropped_from_all_submissions(spark):
+    import duckdb
+
+    from tillwork.plans import fixtures, oracles, queries
+
+    sf = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    for name in ("orders", "lineitem", "part", "supplier"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
+    want = sorted(r[0] for r in db.execute(oracles.oracle_sql()["d01_all_images"]).fetchall())
+    got = sorted(r.bill_id for r in queries.queries()["d01_all_images"](spark, sf).collect())
+    assert got == want
+    kinds = {r["v"]: r["count"] for r in fixtures.submissions(spark, sf).selectExpr("bill_id % 10 AS v").groupBy("v").count().collect()}
+    assert kinds[1] > 0 and kinds[3] > 0 and len(got) == kinds[2] + kinds[3], "the anti-join drops every resubmitted image, the window every copy"

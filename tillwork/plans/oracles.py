@@ -162,6 +162,9 @@ def oracle_sql() -> dict[str, str]:
     sql["c07_label_check"] = f"WITH {_LABELLED} SELECT count(DISTINCT label) AS classes, count(DISTINCT label) = 4 AS ok FROM labelled"
     sql["c10_date_range"] = "SELECT count(*) AS bills FROM orders WHERE o_orderdate >= DATE '1997-02-01' AND o_orderdate < DATE '1997-03-01'"
     sql["d01_known_images"] = f"WITH {_SUBMISSIONS} SELECT bill_id FROM versions WHERE bill_id % 20 >= 10 AND v <> 1 "
+    sql["d01_all_images"] = f"""WITH {_SUBMISSIONS}, images AS (
+      SELECT bill_id, v, md5(CASE v WHEN 2 THEN 'x' WHEN 3 THEN 'y' ELSE '' END || k) AS image FROM versions UNION ALL SELECT bill_id + 1, 4, md5('y' || k) FROM versions WHERE v = 3
+    ) SELECT bill_id FROM images WHERE v > 0 AND image NOT IN (SELECT image FROM images WHERE v = 0) QUALIFY row_number() OVER (PARTITION BY image ORDER BY bill_id) = 1"""
     sql["d02_find_duplicates"] = f"WITH {_SUBMISSIONS} SELECT bill_id, k * 10 AS dup_of, CASE v WHEN 1 THEN 'hash' ELSE 'content' END AS layer FROM versions WHERE v IN (1, 2)"
     sql["d04_resolve_batch"] = f"WITH {_SUBMISSIONS} SELECT bill_id, v IN (0, 3) AS accepted, CASE WHEN v IN (1, 2) THEN k * 10 END AS dup_of, CASE v WHEN 1 THEN 'hash' WHEN 2 THEN 'content' END AS layer FROM versions"
     sql["e02_serials"] = f"WITH {_SUBMISSIONS} SELECT bill_id, (SELECT max(k) * 10 FROM versions) + row_number() OVER (ORDER BY bill_id) AS serial_no FROM versions WHERE v > 0"

@@ -133,6 +133,13 @@ def d01_known_images(spark, sf):
     return dedup.drop_known_hashes(rows.where("bill_id % 20 >= 10"), rows.where("bill_id % 20 < 10 and bill_id % 70 = 0")).select("bill_id")
 
 
+def d01_all_images(spark, sf):
+    """Originals are history and all other submissions new, with second copies of images that history hasn't."""
+    rows = X.submissions(spark, sf)
+    again = rows.where("bill_id % 10 = 3").withColumn("bill_id", F.col("bill_id") + 1)
+    return dedup.drop_known_hashes(rows.where("bill_id % 10 <> 0").unionByName(again), rows.where("bill_id % 10 = 0")).select("bill_id")
+
+
 def d02_find_duplicates(spark, sf):
     rows = X.submissions(spark, sf)
     return dedup.find_duplicates(rows.where("bill_id % 10 <> 0"), rows.where("bill_id % 10 = 0"))
