@@ -178,6 +178,31 @@ def test_nearest_neighbours(spark):
     assert nearest(df.limit(0), F.lit(True)).collect() == []
 
 
+def test_nearest_neighbours_over_several_leaves(spark):
+    from tillwork.llm.ann import LEAF, nearest
+
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(4 * LEAF, 48)).astype(np.float32)
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id bigint, embedding array<float>").repartition(3)
+    got = {}
+    for r in nearest(df, F.col("vec_id") % 64 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    y = x.astype(float)
+    want = {q: set(np.argsort(((y - y[q]) ** 2).sum(axis=1), kind="stable")[1:11].tolist()) for q in range(0, len(x), 64)}
+    assert sum(len(got[q] & want[q]) for q in want) / (10 * len(want)) >= 0.9
+
+
+def test_the_beam_follows_measured_recall(spark):
+    from tillwork.llm.ann import safe_beam
+
+    x = np.random.default_rng(3).normal(size=(60, 8)).tolist()
+    nodes = spark.createDataFrame(list(enumerate(x)), "node bigint, embedding array<double>")
+    queries = nodes.where("node < 10").withColumnRenamed("node", "query_id")
+    links = spark.createDataFrame([(i, j) for i in range(60) for j in range(60) if i != j], "u bigint, w bigint")
+    assert safe_beam(queries, nodes, links, 5, beam=8) == 8
+    assert safe_beam(queries, nodes, links.where("u = w"), 5, beam=8) == 64, "without edges only a beam over all nodes is left"
+
+
 def test_fixture_has_every_case():
     rows = edge_rows()
     assert any(r[0] is None for r in rows) and any(r[1] is None for r in rows) and len(rows) > len(set(rows))
