@@ -193,14 +193,50 @@ def test_nearest_neighbours_over_several_leaves(spark):
 
 
 def test_the_beam_follows_measured_recall(spark):
-    from tillwork.llm.ann import safe_beam
+    from tillwork.llm.ann import exact, measured_recall
 
     x = np.random.default_rng(3).normal(size=(60, 8)).tolist()
-    nodes = spark.createDataFrame(list(enumerate(x)), "node bigint, embedding array<double>")
-    queries = nodes.where("node < 10").withColumnRenamed("node", "query_id")
-    links = spark.createDataFrame([(i, j) for i in range(60) for j in range(60) if i != j], "u bigint, w bigint")
-    assert safe_beam(queries, nodes, links, 5, beam=8) == 8
-    assert safe_beam(queries, nodes, links.where("u = w"), 5, beam=8) == 64, "without edges only a beam over all nodes is left"
+    nodes = spark.createDataFrame([(i, v, [j for j in range(60) if j != i]) for i, v in enumerate(x)], "node bigint, embedding array<double>, links array<bigint>")
+    queries = nodes.where("node < 10").select(F.col("node").alias("query_id"), "embedding", F.col("node").alias("own"))
+    true = exact(queries, nodes, 5).select("query_id", "node")
+    assert measured_recall(queries, nodes, true, 5, beam=8) == (1.0, 8)
+    chain = nodes.withColumn("links", F.expr("transform(sequence(0, 3), x -> pmod(node + x * x + 1, 60))"))
+    shares = [measured_recall(queries, chain, true, 5, beam=b) for b in (5, 60)]
+    assert shares[0][1] > 5 and shares[0][0] <= shares[1][0] == 1.0
+    share, beam = measured_recall(queries, nodes.withColumn("links", F.expr("array(node)")), true, 5, beam=8)
+    assert share == 0.2 and beam == 16, "without edges a wider beam gains nothing"
+
+
+@pytest.mark.parametrize("size", [1e6, 1e-6])
+def test_nearest_neighbours_of_any_size_are_complete(spark, size):
+    from tillwork.llm.ann import nearest
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 8)) * size
+    x[200:] = x[200] + rng.normal(size=(100, 8)) * size * 1e-5  # a dense ball of near copies
+    x[299] = size * 1e8  # far away
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id bigint, embedding array<double>").repartition(2)
+    got = {}
+    for r in nearest(df, F.col("vec_id") % 13 == 0).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
+    for q in range(0, 300, 13):
+        want = np.lexsort((np.arange(300), np.sqrt(((x - x[q]) ** 2).sum(axis=1))))
+        assert [got[q][k] for k in range(1, 11)] == [i for i in want if i != q][:10]
+
+
+def test_short_queries_are_held_against_all_nodes(spark):
+    from tillwork.llm.ann import exact
+
+    x = np.random.default_rng(6).normal(size=(50, 4))
+    nodes = spark.createDataFrame(list(enumerate(x.tolist())), "node bigint, embedding array<double>")
+    queries = nodes.where("node % 3 = 0").withColumnRenamed("node", "query_id")
+    got = {}
+    for r in exact(queries, nodes, 4, block=7).collect():
+        got.setdefault(r.query_id, []).append((r.score, r.node))
+    for q, found in got.items():
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        assert [n for _, n in sorted(found)] == np.argsort(d, kind="stable")[:4].tolist()
+    assert set(got) == set(range(0, 50, 3))
 
 
 def test_fixture_has_every_case():
