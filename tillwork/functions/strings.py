@@ -100,10 +100,18 @@ def can_reach(a, b, ratio: float) -> Column:
     return F.least(x, y) >= F.greatest(x, y) * F.lit(ratio / (2 - ratio) - 1e-9)
 
 
+def _sorted_tokens(text) -> Column:
+    return F.array_join(F.array_sort(words(F.lower(F.coalesce(col(text), F.lit(""))))), " ")
+
+
+def sorted_length(text) -> Column:
+    """Length of the sorted tokens, as token_sort_ratio compares them."""
+    return F.length(F.upper(_sorted_tokens(text)))
+
+
 def token_sort_ratio(a, b) -> Column:
     """lcs_ratio of the sorted tokens, in percent."""
-    x, y = (F.array_join(F.array_sort(words(F.lower(F.coalesce(col(c), F.lit(""))))), " ") for c in (a, b))
-    return 100 * lcs_ratio(x, y)
+    return 100 * lcs_ratio(_sorted_tokens(a), _sorted_tokens(b))
 
 
 def looks_like_abbreviation(token) -> Column:

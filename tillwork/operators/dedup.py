@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillwork.functions.folders import saved
 from tillwork.functions.strings import can_reach, lcs_ratio, strip
 
 THRESHOLD = 0.85
@@ -18,13 +16,32 @@ def _keyed(bills: DataFrame) -> DataFrame:
     return bills.select("bill_id", F.nullif("image_hash", F.lit("")).alias("image_hash"), "date", "total", store.alias("store"))
 
 
+def _contents(a: DataFrame) -> DataFrame:
+    return a.where("date is not null and total is not null").select("date", "total", "store").distinct()
+
+
+def _alike(threshold: float) -> Column:
+    """Whether the stores of x and y are alike enough; equal ones that aren't empty are, without a look at their letters."""
+    same = (F.col("x.store") == F.col("y.store")) & (F.col("x.store") != "")
+    return F.when(same, True).when(can_reach("x.store", "y.store", threshold), lcs_ratio("x.store", "y.store") >= threshold).otherwise(False)
+
+
 def _similar(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of different (date, total, store) with equal date and total and stores alike enough. Bills that share all three are one row each, so copies make no pairs."""
-    x = a.where("date is not null and total is not null").select("date", "total", "store").distinct().alias("x")
-    y = b.where("date is not null and total is not null").select("date", "total", "store").distinct().alias("y")
+    """Pairs of (date, total, store) with equal date and total and stores alike enough. Bills that share all three are one row each, so copies make no pairs."""
+    x, y = _contents(a).alias("x"), _contents(b).alias("y")
     pairs = x.join(y, (F.col("x.date") == F.col("y.date")) & (F.col("x.total") == F.col("y.total")))
-    near = pairs.where(can_reach("x.store", "y.store", threshold)).where(lcs_ratio("x.store", "y.store") >= threshold)
-    return near.select("x.date", "x.total", "x.store", F.col("y.store").alias("other"))
+    return pairs.where(_alike(threshold)).select("x.date", "x.total", "x.store", F.col("y.store").alias("other"))
+
+
+def _similar_within(a: DataFrame, threshold: float) -> DataFrame:
+    """_similar of a table with itself: every two different stores are compared once and count both ways."""
+    one = _contents(a)
+    x, y = one.alias("x"), one.alias("y")
+    pairs = x.join(y, (F.col("x.date") == F.col("y.date")) & (F.col("x.total") == F.col("y.total")) & (F.col("x.store") < F.col("y.store")))
+    near = pairs.where(_alike(threshold)).select("x.date", "x.total", F.col("x.store").alias("a"), F.col("y.store").alias("b"))
+    both = F.explode(F.array(F.struct(F.col("a").alias("store"), F.col("b").alias("other")), F.struct(F.col("b").alias("store"), F.col("a").alias("other"))))
+    own = one.where("store <> ''").select("date", "total", "store", F.col("store").alias("other"))
+    return near.select("date", "total", both.alias("p")).select("date", "total", "p.store", "p.other").union(own)
 
 
 def _least(*columns) -> Column:
@@ -42,18 +59,6 @@ def find_duplicates(new: DataFrame, history: DataFrame, threshold: float = THRES
     return both.where(dup.isNotNull()).select("bill_id", dup.alias("dup_of"), F.when(F.col("by_hash") == dup, "hash").otherwise("content").alias("layer"))
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df written to the session's shared folder and read again."""
-    spark = df.sparkSession
-    held = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not held:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
-        held = spark.sparkContext.getCheckpointDir()
-    path = f"{held.rstrip('/')}/bills-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def resolve_batch(bills: DataFrame, history: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """(bill_id, accepted, dup_of, layer): bills in order, each compared with history and with accepted earlier bills only.
 
@@ -62,43 +67,56 @@ def resolve_batch(bills: DataFrame, history: DataFrame | None = None, threshold:
     first open one; a bill whose first accepted match comes before any open one is
     rejected, and one without earlier matches of either sort is accepted. There are
     as many rounds as the longest chain of duplicates; groups of any size are
-    reduced to two numbers a round.
+    reduced to two numbers a round, and a round reads and writes open bills only.
     """
-    keyed = saved(_keyed(bills))
-    similar = saved(_similar(keyed, keyed, threshold))
+    keyed = saved(_keyed(bills).withColumn("bill_id", F.col("bill_id").cast("bigint")))
+    similar = saved(_similar_within(keyed, threshold))
     none = [F.lit(None).cast("bigint").alias("dup_of"), F.lit(None).cast("string").alias("layer")]
-    state = keyed.select("*", F.lit(None).cast("boolean").alias("accepted"), *none)
+    ended = []
+    state = keyed.select("*", *none)
     if history is not None:
-        old = find_duplicates(bills, history, threshold)
-        state = keyed.join(old, "bill_id", "left").withColumn("accepted", F.when(F.col("dup_of").isNotNull(), F.lit(False)))
-    state = saved(state.select(*keyed.columns, "accepted", "dup_of", "layer"))
-    while state.where("accepted is null").take(1):
-        two = [F.min(F.when(F.col("accepted"), F.col("bill_id"))).alias("hit"), F.min(F.when(F.col("accepted").isNull(), F.col("bill_id"))).alias("wait")]
-        by_hash = state.where("image_hash is not null").groupBy("image_hash").agg(*two).select("image_hash", F.col("hit").alias("h_hit"), F.col("wait").alias("h_wait"))
-        groups = state.groupBy("date", "total", F.col("store").alias("other")).agg(*two)
+        state = saved(keyed.join(find_duplicates(bills, history, threshold), "bill_id", "left"))
+        ended.append(state.where("dup_of is not null").select("bill_id", F.lit(False).alias("accepted"), "dup_of", "layer"))
+        state = state.where("dup_of is null")
+    # the first accepted bill of each hash and of each (date, total, store)
+    hashes = keyed.select("image_hash", F.col("bill_id").alias("hit")).limit(0)
+    contents = keyed.select("date", "total", F.col("store").alias("other"), F.col("bill_id").alias("hit")).limit(0)
+    while state.take(1):
+        wait = F.min("bill_id").alias("wait")
+        by_hash = state.where("image_hash is not null").groupBy("image_hash").agg(wait).join(hashes, "image_hash", "left").select("image_hash", F.col("hit").alias("h_hit"), F.col("wait").alias("h_wait"))
+        groups = state.groupBy("date", "total", F.col("store").alias("other")).agg(wait).join(contents, ["date", "total", "other"], "full")
         by_content = similar.join(groups, ["date", "total", "other"]).groupBy("date", "total", "store").agg(F.min("hit").alias("c_hit"), F.min("wait").alias("c_wait"))
         seen = state.join(by_hash, "image_hash", "left").join(by_content, ["date", "total", "store"], "left")
         earlier = lambda c: F.when(F.col(c) < F.col("bill_id"), F.col(c))
         hit, wait = _least(earlier("h_hit"), earlier("c_hit")), _least(earlier("h_wait"), earlier("c_wait"))
         judged = seen.withColumn("__hit", hit).withColumn("__wait", wait)
-        open_ = F.col("accepted").isNull()
-        lost = open_ & F.col("__hit").isNotNull() & (F.col("__wait").isNull() | (F.col("__wait") > F.col("__hit")))
-        won = open_ & F.col("__hit").isNull() & F.col("__wait").isNull()
+        lost = F.col("__hit").isNotNull() & (F.col("__wait").isNull() | (F.col("__wait") > F.col("__hit")))
+        won = F.col("__hit").isNull() & F.col("__wait").isNull()
         state = saved(judged.select(
             *keyed.columns,
-            F.when(lost, False).when(won, True).otherwise(F.col("accepted")).alias("accepted"),
-            F.when(lost, F.col("__hit")).otherwise(F.col("dup_of")).alias("dup_of"),
-            F.when(lost, F.when(F.col("h_hit") == F.col("__hit"), "hash").otherwise("content")).otherwise(F.col("layer")).alias("layer"),
+            F.when(lost, False).when(won, True).alias("accepted"),
+            F.when(lost, F.col("__hit")).alias("dup_of"),
+            F.when(lost, F.when(F.col("h_hit") == F.col("__hit"), "hash").otherwise("content")).alias("layer"),
         ))
-    return state.select("bill_id", "accepted", "dup_of", "layer")
+        ended.append(state.where("accepted is not null").select("bill_id", "accepted", "dup_of", "layer"))
+        kept = state.where("accepted")
+        hit = F.min("hit").alias("hit")
+        hashes = saved(hashes.unionByName(kept.where("image_hash is not null").select("image_hash", F.col("bill_id").alias("hit"))).groupBy("image_hash").agg(hit))
+        contents = saved(contents.unionByName(kept.select("date", "total", F.col("store").alias("other"), F.col("bill_id").alias("hit"))).groupBy("date", "total", "other").agg(hit))
+        state = state.where("accepted is null").select(*keyed.columns, *none)
+    out = bills.sparkSession.createDataFrame([], "bill_id bigint, accepted boolean, dup_of bigint, layer string")
+    for part in ended:
+        out = out.unionByName(part)
+    return out
 
 
 def drop_known_hashes(new: DataFrame, history: DataFrame) -> DataFrame:
-    """New bills whose image is not in history, the first of each image."""
+    """New bills whose image is not in history, the first of each image. Bills without one all stay and take no part in the shuffle."""
+    blank = F.coalesce("image_hash", F.lit("")) == ""
     first = Window.partitionBy("image_hash").orderBy("bill_id")
-    fresh = new.join(history.where("image_hash <> ''").select("image_hash").distinct(), "image_hash", "left_anti")
-    keyed = fresh.withColumn("__n", F.when(F.coalesce("image_hash", F.lit("")) != "", F.row_number().over(first)).otherwise(1))
-    return keyed.where("__n = 1").drop("__n").select(new.columns)
+    fresh = new.where(~blank).join(history.where("image_hash <> ''").select("image_hash").distinct(), "image_hash", "left_anti")
+    one = fresh.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+    return new.where(blank).unionByName(one.select(new.columns))
 
 
 def next_serial(history: DataFrame, column: str = "serial_no") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillwork.functions.folders import saved
+
 #: The 16 classes, in alphabetical order. Fixed values.
 LABELS = (
     "Bakery & Flour", "Beverages", "Dairy", "Frozen / Processed", "Fruits", "Grains & Staples", "Herbs", "Meat", "Oils & Fats",
@@ -27,12 +29,25 @@ def seeded_order(key: str, seed: int = 42) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
 
 
+def _placed(df: DataFrame, groups: list[str], key: str, seed: int) -> DataFrame:
+    """df with __place (from 0, in seeded order) and __n within its group, by counts of range partitions; no task takes a whole group."""
+    order = seeded_order(key, seed)
+    dealt = saved(df.withColumn("__order", order).repartitionByRange(*groups, "__order", key).withColumn("__p", F.spark_partition_id()), "places")
+    counts = dealt.groupBy(*groups, "__p").agg(F.count("*").alias("__m"))  # a row for each group and partition
+    group = Window.partitionBy(*groups)
+    before = F.coalesce(F.sum("__m").over(group.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*groups, "__p", before.alias("__before"), F.sum("__m").over(group).alias("__n"))
+    here = dealt.withColumn("__row", F.row_number().over(Window.partitionBy(*groups, "__p").orderBy("__order", key)))
+    same = (here["__p"] == counts["__p"]) & here[groups[0]].eqNullSafe(counts[groups[0]])
+    for g in groups[1:]:
+        same &= here[g].eqNullSafe(counts[g])
+    placed = here.join(counts, same).select(*[here[c] for c in df.columns], (F.col("__row") + F.col("__before") - 1).alias("__place"), counts["__n"])
+    return placed
+
+
 def stratified_split(df: DataFrame, label: str, key: str, ratios=(0.8, 0.1, 0.1), seed: int = 42) -> DataFrame:
     """df with split (train, val, test) by shares within each label, in seeded order."""
-    group = Window.partitionBy(label)
-    place = F.row_number().over(group.orderBy(seeded_order(key, seed), key)) - 1
-    n = F.count("*").over(group)
-    marked = df.withColumn("__place", place).withColumn("__n", n)
+    marked = _placed(df, [label], key, seed)
     train = F.floor(F.col("__n") * F.lit(ratios[0]) + 1e-9)
     val = F.floor(F.col("__n") * F.lit(ratios[0] + ratios[1]) + 1e-9)
     split = F.when(F.col("__place") < train, "train").when(F.col("__place") < val, "val").otherwise("test")
@@ -85,5 +100,5 @@ def label_ids(df: DataFrame, label: str) -> DataFrame:
 def prepare(df: DataFrame, label: str, text: str, key: str, cap: int = 8000, seed: int = 42, **filters) -> DataFrame:
     """Filtered rows with split, and downsampled: whether a training row is among its class's first ``cap``."""
     split = stratified_split(filter_training_rows(df, label, text, **filters), label, key, seed=seed)
-    w = Window.partitionBy(label, "split").orderBy(seeded_order(key, seed), key)
-    return split.withColumn("downsampled", (F.col("split") == "train") & (F.row_number().over(w) <= cap))
+    placed = _placed(split, [label, "split"], key, seed)
+    return placed.withColumn("downsampled", (F.col("split") == "train") & (F.col("__place") < cap)).drop("__place", "__n")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
@@ -16,10 +16,10 @@ def kind_of(spark_type: str) -> str:
 
 
 def profile(df: DataFrame, samples: int = 4) -> DataFrame:
-    """One row per column: type, kind, the first samples in sorted order, min and max of numbers and dates, and row_count. One pass for the aggregates.
+    """One row per column: type, kind, the first samples in sorted order, min and max of numbers and dates, and row_count.
 
-    The samples of a column are its least distinct values as text, found by a
-    bounded top-k of each task, so no task holds all distinct values.
+    One pass gives the aggregates and another the samples: rows become (column, value)
+    rows, and every task keeps the least values of each column before any shuffle.
     """
     kinds = [(f.name, f.dataType.simpleString(), kind_of(f.dataType.simpleString())) for f in df.schema]
     text = lambda c: F.col(f"`{c}`").cast("string")
@@ -30,10 +30,10 @@ def profile(df: DataFrame, samples: int = 4) -> DataFrame:
     one = df.agg(*made)
     entries = F.array(*[F.struct(F.lit(n).alias("column"), F.lit(t).alias("type"), F.lit(k).alias("kind"), F.col(f"`{n}|min`").alias("min"), F.col(f"`{n}|max`").alias("max"), F.col("rows").alias("row_count")) for n, t, k in kinds])
     base = one.select(F.explode(entries).alias("e")).select("e.*")
-    firsts = None
-    for name, _, _ in kinds:
-        best = df.select(text(name).alias("value")).where("value is not null").distinct().orderBy("value").limit(samples).select(F.lit(name).alias("column"), "value")
-        firsts = best if firsts is None else firsts.union(best)
+    named = F.array(*[F.struct(F.lit(n).alias("column"), text(n).alias("value")) for n, _, _ in kinds])
+    values = df.select(F.explode(named).alias("v")).select("v.*").where("value is not null").distinct()
+    order = F.row_number().over(Window.partitionBy("column").orderBy("value"))
+    firsts = values.withColumn("n", order).where(F.col("n") <= samples)
     lists = firsts.groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("samples"))  # at most ``samples`` values a column
     return base.join(lists, "column", "left").withColumn("samples", F.coalesce("samples", F.array().cast("array<string>")))
 

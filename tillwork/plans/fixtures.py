@@ -41,8 +41,8 @@ def money(cents: str) -> F.Column:
     return F.concat(F.floor(c / 100).cast("string"), F.lit("."), F.lpad((c % 100).cast("string"), 2, "0"))
 
 
-def receipts(spark: SparkSession, sf: str) -> DataFrame:
-    """(receipt_id, text) and the truth: store, day, hour, items, subtotal, tax, total (cents), paid."""
+def receipt_truth(spark: SparkSession, sf: str) -> DataFrame:
+    """What receipts are printed from: receipt_id, store, day, hour, names (array), lines, subtotal, tax and total (cents), card."""
     orders, lines, parts, suppliers = tables(spark, sf, "orders", "lineitem", "part", "supplier")
     rows = lines.join(parts, lines["l_partkey"] == parts["p_partkey"]).join(suppliers, lines["l_suppkey"] == suppliers["s_suppkey"])
     priced = rows.withColumn("cents", _cents("l_extendedprice"))
@@ -51,19 +51,29 @@ def receipts(spark: SparkSession, sf: str) -> DataFrame:
     bills = bills.withColumn("tax", F.floor(F.col("subtotal") * 7 / 100)).withColumn("total", F.col("subtotal") + F.col("tax"))
     both = bills.join(orders, bills["l_orderkey"] == orders["o_orderkey"])
     k = F.col("o_orderkey")
-    day = F.col("o_orderdate").cast("date")
+    return both.select(
+        k.alias("receipt_id"), F.upper(F.col("lines")[0]["s_name"]).alias("store"), F.col("o_orderdate").cast("date").alias("day"),
+        F.format_string("%02d:%02d:%02d", (k % 24).cast("int"), (k % 60).cast("int"), (k % 59).cast("int")).alias("hour"),
+        F.transform("lines", lambda x: F.upper(x["p_name"])).alias("names"), "lines", "subtotal", "tax", "total",
+        F.when(k % 5 != 0, F.lpad((k % 10000).cast("string"), 4, "0")).alias("card"),
+    )
+
+
+def receipts(spark: SparkSession, sf: str) -> DataFrame:
+    """(receipt_id, text) of receipts as they are printed: dates in several forms, some without date or time."""
+    both = receipt_truth(spark, sf)
+    k, day = F.col("receipt_id"), F.col("day")
     styles = ("MM/dd/yyyy", "MM-dd-yyyy", "yyyy-MM-dd", "MMM dd yyyy")
     shown = F.coalesce(*[F.when(k % 4 == i, F.date_format(day, p)) for i, p in enumerate(styles)])
-    hour = F.format_string("%02d:%02d:%02d", (k % 24).cast("int"), (k % 60).cast("int"), (k % 59).cast("int"))
     item_line = lambda x: F.concat(F.upper(x["p_name"]), F.lit("  "), F.floor(x["cents"] / 100).cast("string"), F.lit("."), F.lpad((x["cents"] % 100).cast("string"), 2, "0"))
     text = F.concat_ws(
         "\n",
-        F.upper(F.col("lines")[0]["s_name"]), F.when(k % 10 != 7, shown), F.when(k % 3 == 0, hour), F.lit(""), F.array_join(F.transform("lines", item_line), "\n"),
+        F.col("store"), F.when(k % 10 != 7, shown), F.when(k % 3 == 0, F.col("hour")), F.lit(""), F.array_join(F.transform("lines", item_line), "\n"),
         F.concat(F.lit("SUBTOTAL "), money("subtotal")), F.concat(F.lit("TAX "), money("tax")), F.concat(F.lit("TOTAL "), money("total")),
-        F.when(k % 5 == 0, F.lit("CASH")).otherwise(F.concat(F.lit("VISA ************"), F.lpad((k % 10000).cast("string"), 4, "0"))),
+        F.coalesce(F.concat(F.lit("VISA ************"), "card"), F.lit("CASH")),
         F.concat(F.lit("REF# A"), F.lpad(k.cast("string"), 8, "0")),
     )
-    return both.select(k.alias("receipt_id"), text.alias("text"))
+    return both.select("receipt_id", text.alias("text"))
 
 
 def submissions(spark: SparkSession, sf: str) -> DataFrame:

@@ -110,6 +110,27 @@ idf AS (SELECT gram, count(*) AS df, ln((1 + (SELECT count(*) FROM stock)) / (1
 raw AS (SELECT ord, gram, tf * idf AS w FROM tf JOIN idf USING (gram)),
 weights AS (SELECT ord, gram, w / sqrt(sum(w * w) OVER (PARTITION BY ord)) AS weight FROM raw)"""
 
+
+
+def _topk(source: str) -> str:
+    """The five best catalogue rows of the texts that ``source`` selects, over stock and its gram weights."""
+    return f"""
+q AS (SELECT DISTINCT {source}),
+q_padded AS (SELECT query, ' ' || unnest(list_filter(string_split(query, ' '), lambda t: t <> '')) || ' ' AS w FROM q),
+q_grams AS (SELECT query, unnest(flatten(list_transform([2, 3, 4], lambda n: CASE WHEN n = 2 OR length(w) > n - 1 THEN list_transform(range(1, greatest(length(w) - n + 1, 1) + 1), lambda i: substr(w, i, n)) ELSE [] END))) AS gram FROM q_padded),
+q_raw AS (SELECT query, gram, t * idf AS w FROM (SELECT query, gram, count(*) AS t FROM q_grams GROUP BY ALL) JOIN idf USING (gram)),
+q_weights AS (SELECT query, gram, w / sqrt(sum(w * w) OVER (PARTITION BY query)) AS weight FROM q_raw),
+pairs AS (SELECT query, ord, sum(a.weight * b.weight) AS cosine FROM q_weights a JOIN weights b USING (gram) GROUP BY ALL),
+led AS (
+  SELECT query, ord, ingredient, predicted_label, cosine, array_to_string(list_sort(list_filter(string_split(query, ' '), lambda t: t <> '')), ' ') AS x, array_to_string(list_sort(string_split(lower(ingredient), ' ')), ' ') AS y,
+    row_number() OVER (PARTITION BY query ORDER BY cosine DESC, ord) AS lead FROM pairs JOIN stock USING (ord)
+), leaders AS (SELECT *, 2.0 * {_lcs('x', 'y')} / (length(x) + length(y)) AS ratio FROM led WHERE lead <= 5),
+bars AS (SELECT query, min(0.5 * cosine + 0.5 * ratio) AS bar FROM leaders GROUP BY 1),
+others AS (SELECT led.* FROM led JOIN bars USING (query) WHERE lead > 5 AND 0.5 * cosine + least(length(x), length(y)) / (length(x) + length(y)) >= bar - 1e-9),
+every AS (SELECT * FROM leaders UNION ALL SELECT *, 2.0 * {_lcs('x', 'y')} / (length(x) + length(y)) FROM others),
+top AS (SELECT *, 0.5 * cosine + 0.5 * ratio AS score, row_number() OVER (PARTITION BY query ORDER BY round(0.5 * cosine + 0.5 * ratio, 12) DESC, ord) AS place FROM every)"""
+
+
 _PER_CLASS = """
 classes AS (SELECT unnest(['de', 'en', 'es', 'fr']) AS label),
 per AS (
@@ -122,23 +143,21 @@ per AS (
 def _profile(table: str, columns: list[tuple[str, str]]) -> str:
     rows = []
     for c, kind in columns:
-        edge = (f"min({c})::VARCHAR", f"max({c})::VARCHAR") if kind == "numeric" else ("NULL", "NULL")
+        edge = (f"min({c})::VARCHAR", f"max({c})::VARCHAR") if kind != "other" else ("NULL", "NULL")
         some = f"(SELECT coalesce(string_agg(v, '|' ORDER BY v), '') FROM (SELECT DISTINCT {c}::VARCHAR AS v FROM {table} WHERE {c} IS NOT NULL ORDER BY v LIMIT 4))"
-        if kind == "double":
-            edge, some, kind = ("NULL", "NULL"), "NULL", "numeric"
         rows.append(f"SELECT '{c}' AS \"column\", '{kind}' AS kind, {edge[0]} AS min, {edge[1]} AS max, count(*) AS row_count, {some} AS samples FROM {table}")
     return " UNION ALL ".join(rows)
 
 
-#: Columns of the profiled tables, dates left out.
+#: Columns of the profiled tables.
 _COLUMNS = {
     "region": "r_regionkey:numeric r_name:other", "nation": "n_nationkey:numeric n_name:other n_regionkey:numeric",
-    "customer": "c_custkey:numeric c_name:other c_nationkey:numeric c_mktsegment:other c_acctbal:double", "supplier": "s_suppkey:numeric s_name:other s_nationkey:numeric s_acctbal:double",
-    "part": "p_partkey:numeric p_name:other p_brand:other p_type:other p_size:numeric p_retailprice:double",
-    "orders": "o_orderkey:numeric o_custkey:numeric o_orderstatus:other o_totalprice:double o_orderpriority:other",
+    "customer": "c_custkey:numeric c_name:other c_nationkey:numeric c_mktsegment:other c_acctbal:numeric", "supplier": "s_suppkey:numeric s_name:other s_nationkey:numeric s_acctbal:numeric",
+    "part": "p_partkey:numeric p_name:other p_brand:other p_type:other p_size:numeric p_retailprice:numeric",
+    "orders": "o_orderkey:numeric o_custkey:numeric o_orderstatus:other o_totalprice:numeric o_orderpriority:other o_orderdate:date",
     "labels": "doc_id:numeric quality:numeric toxic:numeric",
-    "lineitem": "l_orderkey:numeric l_partkey:numeric l_suppkey:numeric l_linenumber:numeric l_quantity:double l_extendedprice:double l_discount:double l_tax:double l_returnflag:other l_linestatus:other",
-    "events": "event_id:numeric user_id:numeric event_type:other value:double props:other",
+    "lineitem": "l_orderkey:numeric l_partkey:numeric l_suppkey:numeric l_linenumber:numeric l_quantity:numeric l_extendedprice:numeric l_discount:numeric l_tax:numeric l_returnflag:other l_linestatus:other l_shipdate:date",
+    "events": "event_id:numeric user_id:numeric event_type:other value:numeric props:other ts:date",
 }
 
 
@@ -168,7 +187,7 @@ def oracle_sql() -> dict[str, str]:
     sql["d02_find_duplicates"] = f"WITH {_SUBMISSIONS} SELECT bill_id, k * 10 AS dup_of, CASE v WHEN 1 THEN 'hash' ELSE 'content' END AS layer FROM versions WHERE v IN (1, 2)"
     sql["d04_resolve_batch"] = f"WITH {_SUBMISSIONS} SELECT bill_id, v IN (0, 3) AS accepted, CASE WHEN v IN (1, 2) THEN k * 10 END AS dup_of, CASE v WHEN 1 THEN 'hash' WHEN 2 THEN 'content' END AS layer FROM versions"
     sql["e02_serials"] = f"WITH {_SUBMISSIONS} SELECT bill_id, (SELECT max(k) * 10 FROM versions) + row_number() OVER (ORDER BY bill_id) AS serial_no FROM versions WHERE v > 0"
-    sql["s01_ingest_stream"] = f"WITH {_SUBMISSIONS} SELECT bill_id FROM versions WHERE v IN (0, 3)"
+    sql["s01_ingest_stream"] = f"WITH {_SUBMISSIONS} SELECT bill_id, row_number() OVER (ORDER BY bill_id) AS serial_no FROM versions WHERE v IN (0, 3)"
     sql["s02_dedup_stream"] = f"WITH {_SUBMISSIONS} SELECT md5(CASE v WHEN 2 THEN 'x' WHEN 3 THEN 'y' ELSE '' END || k) AS image_hash FROM versions WHERE v <> 1"
     sql["s03_route_stream"] = f"WITH {_CHAT} SELECT conv_id, turn, CASE WHEN coalesce({_QUESTION}, false) THEN 'question' ELSE 'help' END AS route FROM chat"
     sql["f05_last_turns"] = sql["s04_history_stream"] = "SELECT conv_id, turn FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4"
@@ -178,6 +197,9 @@ def oracle_sql() -> dict[str, str]:
     normal = "normal AS (SELECT ord, item_name, coalesce(array_to_string(list_transform(ts, lambda t: m[t]), ' '), '') AS normalized FROM parts, (SELECT map_from_entries(list(row(token, expanded))) AS m FROM expanded))"
     noisy = f"WITH {_WORDS}, {_STOCK}, {_NOISY}, {_expanded('tok')}"
     sql["d10_normalized"] = f"{noisy}, {normal} SELECT ord, normalized, normalized <> lower(trim(item_name)) AS was_normalized FROM normal"
+    sql["j04_similarity_classes"] = f"""{noisy}, {normal}, {_GRAMS}, {_topk('normalized AS query FROM normal')}
+      SELECT DISTINCT item_name AS input, normalized, ingredient AS matched_item, CASE WHEN round(score, 4) > 0.5 THEN 'accept' ELSE 'fallback' END AS decision, predicted_label AS final_label,
+        CASE WHEN round(score, 4) > 0.5 THEN 'similarity_pipeline' ELSE 'llm_fallback' END AS final_source FROM normal LEFT JOIN top ON query = normalized AND place = 1"""
     sql["i19_abbreviations"] = f"""{noisy}, raws AS (SELECT ord, unnest(string_split(item_name, ' ')) AS raw, unnest(range(len(string_split(item_name, ' ')))) AS pos FROM noisy),
       told AS (SELECT ord, pos, raw, expanded = lower(raw) AS same FROM raws JOIN expanded ON token = lower(raw)
         WHERE regexp_full_match(lower(raw), '[a-z]{{1,5}}') AND length(regexp_replace(lower(raw), '[^aeiou]', '', 'g')) <= 1)
@@ -201,14 +223,25 @@ def oracle_sql() -> dict[str, str]:
     sql["i21_sql_of_replies"] = f"WITH {_CHAT} SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN 'SELECT ' || conv_id END AS sql, md5(trim(regexp_replace(text, '(?is)<sql>.*?</sql>', ''), ' ' || chr(10))) AS rest FROM chat"
     sql["i22_formatted"] = "SELECT o_orderkey, '$' || format('{:,.2f}', o_totalprice) AS money, format('{:,}', o_orderkey * 1234) AS whole, rtrim(rtrim(format('{:,.4f}', o_custkey / 8), '0'), '.') AS fraction FROM orders"
     sql["i24_hashes"] = "SELECT page_id, md5(html) AS hash FROM pages"
-    sql["i17_top_scores"] = f"WITH {_LABELLED}, r AS (SELECT truth, doc_id::VARCHAR AS d, row_number() OVER (PARTITION BY truth ORDER BY doc_id % 17 DESC, doc_id::VARCHAR) AS p FROM predictions) SELECT truth, string_agg(d, ',' ORDER BY p) AS top3, first(d ORDER BY p) AS best FROM r WHERE p <= 3 GROUP BY 1"
+    words = ", ".join(f"('{w}', {len(w)})" for w in ("the", "der", "que", "les", "und", "una"))
+    sql["i17_top_scores"] = f"""WITH r AS (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY (length(text) - length(replace(text, w, ''))) // n DESC, w) AS p
+      FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents), (VALUES {words}) AS v(w, n)) SELECT doc_id, string_agg(w, ',' ORDER BY p) AS top3, first(w ORDER BY p) AS best FROM r WHERE p <= 3 GROUP BY 1"""
     sql["i25_label_ids"] = f"WITH {_LABELLED} SELECT label, row_number() OVER (ORDER BY label) - 1 AS id FROM (SELECT DISTINCT label FROM labelled)"
     sql["f02_split"] = f"WITH {_LABELLED}, {_SPLIT} SELECT doc_id, split FROM split"
     sql["f01_cap"] = f"WITH {_LABELLED}, {_SPLIT} SELECT doc_id, label FROM split WHERE p < 20"
     prepared = f"""WITH {_LABELLED.replace("JOIN documents USING (doc_id)", "JOIN documents USING (doc_id) WHERE doc_id % 10 <> 0")}, {_SPLIT},
       m AS (SELECT *, row_number() OVER (PARTITION BY label, split ORDER BY md5('42|' || doc_id), doc_id) AS r FROM split)"""
     sql["j09_prepared"] = f"{prepared} SELECT doc_id, label, split, split = 'train' AND r <= 20 AS downsampled FROM m"
-    sql["a11_split_files"] = f"{prepared} SELECT split, count(*) AS n FROM m GROUP BY 1"
+    sql["a11_split_files"] = f"{prepared} SELECT split, count(*) AS n FROM m GROUP BY 1 UNION ALL SELECT 'downsampled', count(*) FROM m WHERE split = 'train' AND r <= 20"
+    sql["a06_image_hashes"] = "SELECT s_suppkey::BIGINT AS s_suppkey, md5(s_name || chr(10)) AS image_hash FROM supplier"
+    sql["a07_gold_with_images"] = "SELECT s_suppkey::VARCHAR AS receipt_id, s_name AS merchant_name FROM supplier WHERE s_nationkey < 12"
+    sql["a12_run_files"] = "SELECT o_orderpriority AS model, count(*)::INT AS best_epoch, round(avg((o_orderstatus = 'F')::INT), 6) AS test_accuracy FROM orders GROUP BY 1"
+    sql["c09_broken_rows"] = "SELECT o_orderkey AS serial_no, NULL::VARCHAR AS store_name, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderpriority AS item_name, round(o_totalprice, 2) AS item_price FROM orders WHERE o_orderstatus <> 'O'"
+    sql["d12_joins_over_data"] = f"""WITH {_ITEMS}, f AS (SELECT store_name, min(invoice_date) AS day FROM items GROUP BY 1)
+      SELECT d.store_name, o_orderpriority AS priority, count(*) AS n, sum(d.item_price)::DOUBLE AS spend FROM items d JOIN orders ON serial_no = o_orderkey JOIN f ON f.store_name = d.store_name AND d.invoice_date > f.day GROUP BY 1, 2"""
+    sql["g06_top_bills"] = f"WITH {_ITEMS} SELECT serial_no, store_name, total::DOUBLE AS total FROM bills ORDER BY bills.total DESC, serial_no LIMIT 25"
+    sql["i27_functions_over_data"] = f"""WITH {_ITEMS} SELECT serial_no, item_name, count(*) AS n, upper(substr(item_name, 2, 3)) AS part, len(string_split(item_name, ' '))::INT AS words, min(day(invoice_date)) = 1 AS first_day,
+      replace(item_name, 'a', '') AS bare, serial_no::VARCHAR AS k, array_to_string(list_sort(string_split(item_name, ' ')), '-') AS sorted, serial_no AS held FROM items GROUP BY serial_no, item_name"""
     sql["e05_class_counts"] = f"WITH {_LABELLED}, {_SPLIT} SELECT label, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'val') AS val, count(*) FILTER (split = 'test') AS test, count(*) AS total, least(count(*) FILTER (split = 'train'), count(*) FILTER (split = 'val'), count(*) FILTER (split = 'test')) >= 30 AS enough FROM split GROUP BY 1"
     sql["e06_imbalance"] = f"""WITH {_LABELLED}, c AS (SELECT label, count(*) AS before, least(count(*), 100) AS after FROM labelled GROUP BY 1)
       SELECT label, before, after, before - after AS removed, round(100 * after / before, 2) AS kept_percent, round((SELECT max(before) / min(before) FROM c), 4) AS ratio_before, round((SELECT max(after) / min(after) FROM c), 4) AS ratio_after FROM c"""
@@ -228,14 +261,17 @@ def oracle_sql() -> dict[str, str]:
       s AS (SELECT *, sum(best::INT) OVER (PARTITION BY run ORDER BY epoch) AS block FROM b), t AS (SELECT *, row_number() OVER (PARTITION BY run, block ORDER BY epoch) - 1 AS since FROM s),
       e AS (SELECT run, coalesce(min(epoch) FILTER (since = 3), max(epoch)) AS stop_epoch FROM t GROUP BY 1)
       SELECT run, max(epoch) FILTER (best) AS best_epoch, max(f) FILTER (best) AS best_f1, any_value(stop_epoch) AS stop_epoch FROM t JOIN e USING (run) WHERE epoch <= stop_epoch GROUP BY 1"""
-    scored = f"""WITH {_RECEIPTS}, s AS (SELECT receipt_id, (receipt_id % 6 <> 0)::DOUBLE AS merchant_name, CASE WHEN receipt_id % 7 = 0 OR date = '' THEN NULL ELSE 1.0 END AS d, CASE WHEN time = '' THEN NULL ELSE 1.0 END AS t,
-      (receipt_id % 8 <> 0)::DOUBLE AS tax FROM truth),
+    scored = f"""WITH {_RECEIPTS}, s AS (SELECT receipt_id, (receipt_id % 6 <> 0)::DOUBLE AS merchant_name, CASE WHEN receipt_id % 7 = 0 THEN NULL WHEN date = '' THEN 0.0 ELSE 1.0 END AS d, CASE WHEN receipt_id % 2 = 1 THEN NULL WHEN time = '' THEN 0.0 ELSE 1.0 END AS t,
+      (receipt_id % 8 <> 0)::DOUBLE AS tax, CASE WHEN receipt_id % 9 = 0 AND n > 1 THEN 2 * (n - 1) / (2 * n - 1) WHEN receipt_id % 4 = 1 THEN 2 * n / (2 * n + 1) ELSE 1.0 END AS f1 FROM truth),
       c AS (SELECT *, (merchant_name + coalesce(d, 0) + coalesce(t, 0) + tax + 5) / (7 + (d IS NOT NULL)::INT + (t IS NOT NULL)::INT) AS core FROM s),
       r AS (SELECT receipt_id, merchant_name, coalesce(d, 0)::DOUBLE AS date, coalesce(t, 0)::DOUBLE AS time, 1.0::DOUBLE AS subtotal, tax, 1.0::DOUBLE AS total, 1.0::DOUBLE AS payment_method, 1.0::DOUBLE AS card_last4, 1.0::DOUBLE AS receipt_number,
-        round(core, 6) AS core_field_mean, 1.0::DOUBLE AS item_name_f1, round(0.7 * core + 0.3, 6) AS overall_score FROM c)"""
+        round(core, 6) AS core_field_mean, round(f1, 6)::DOUBLE AS item_name_f1, round(0.7 * core + 0.3 * f1, 6) AS overall_score FROM c)"""
     sql["d08_scored_receipts"] = f"{scored} SELECT * FROM r"
     names = ("merchant_name", "date", "time", "subtotal", "tax", "total", "payment_method", "card_last4", "receipt_number", "core_field_mean", "item_name_f1", "overall_score")
     sql["j08_summary"] = f"{scored} SELECT {', '.join(f'round(avg({n}), 4) AS {n}' for n in names)} FROM r"
+    sql["a10_metric_files"] = f"{scored} SELECT count(*) AS receipts, round(avg(overall_score), 4) AS mean, round(avg(tax), 4) AS tax, round(avg(overall_score), 4) AS overall_score FROM r"
+    sql["d05_topk"] = f"""WITH {_STOCK}, {_NOISY}, {_GRAMS}, {_topk('lower(item_name) AS query FROM noisy')} SELECT query, place::INT AS rank, ingredient AS item, predicted_label AS label,
+      round(round(cosine, 4), 3) AS cosine, round(round(ratio, 4), 3) AS ratio, round(round(score, 4), 3) AS hybrid FROM top WHERE place <= 5"""
     sql["e15_distinct"] = "SELECT DISTINCT c_mktsegment AS value FROM customer WHERE c_mktsegment IS NOT NULL"
     sql["g03_preview"] = "SELECT o_orderkey, (SELECT count(*) FROM orders) AS total FROM orders ORDER BY 1 LIMIT 30"
     sql |= {f"e11_profile_{t}": _profile(t, [tuple(c.split(":")) for c in cs.split()]) for t, cs in _COLUMNS.items()}
@@ -251,5 +287,7 @@ def oracle_sql() -> dict[str, str]:
     sql["f08_running"] = f"WITH {_ITEMS}, m AS (SELECT store_name, strftime(invoice_date, '%Y-%m') AS month, sum(total) AS spend FROM bills GROUP BY 1, 2) SELECT store_name, month, spend::DOUBLE AS spend, (sum(spend) OVER (PARTITION BY store_name ORDER BY month))::DOUBLE AS running FROM m"
     sql["e16_ad_hoc"] = f"""WITH {_ITEMS}, m AS (SELECT store_name, year(invoice_date)::INT AS y, sum(item_price) AS s FROM items WHERE item_price IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1)
       SELECT * FROM (SELECT store_name, y, s::DOUBLE AS s, rank() OVER (PARTITION BY y ORDER BY s DESC, store_name) AS place FROM m WHERE s > (SELECT avg(s) FROM m)) WHERE NOT (y = 1995 AND place = 1)"""
-    sql["j07_ingest"] = f"WITH {_RECEIPTS} SELECT receipt_id * 10 AS bill_id, n AS rows, (cents / 100)::DOUBLE AS items_total FROM truth UNION ALL SELECT receipt_id * 10 + 1, n, (cents / 100)::DOUBLE FROM truth WHERE receipt_id % 40 = 0 AND date = ''"
+    sql["j07_ingest"] = f"""WITH {_RECEIPTS}, {_STOCK}, c AS (SELECT l_orderkey AS receipt_id, max(predicted_label) AS category FROM lines LEFT JOIN stock ON lower(ingredient) = lower(p_name) GROUP BY 1),
+      b AS (SELECT receipt_id * 10 AS bill_id, receipt_id, n, cents FROM truth UNION ALL SELECT receipt_id * 10 + 1, receipt_id, n, cents FROM truth WHERE receipt_id % 40 = 0 AND date = '')
+      SELECT row_number() OVER (ORDER BY bill_id) AS serial_no, bill_id, n AS rows, (cents / 100)::DOUBLE AS items_total, category FROM b JOIN c USING (receipt_id)"""
     return sql

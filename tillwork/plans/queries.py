@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillwork.functions import messages as M
 from tillwork.functions import receipts as R
 from tillwork.functions import strings as S
+from tillwork.functions.folders import folder, saved
 from tillwork.operators import classify, dedup, metrics, prep, similarity, spend, vocab
 from tillwork.operators.profile import distinct_values, preview, profile, profile_lines
 from tillwork.plans import fixtures as X
@@ -25,15 +23,6 @@ FIELDS = {
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "labels")
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A folder of its own below the session's shared one."""
-    held = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not held:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
-        held = spark.sparkContext.getCheckpointDir()
-    return f"{held.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _names(items):
     return F.array_join(F.transform(items, lambda i: F.concat(i["name"], F.lit("="), i["price"])), ";")
 
@@ -60,14 +49,14 @@ def a04_bill_rows(spark, sf):
 
 def a01_stored_bills(spark, sf):
     """Bills written as parquet, read back by the bill schema, and counted."""
-    path = _folder(spark, "stored")
+    path = folder(spark, "stored")
     T.reset_bills(spark, path)
     T.append_bills(X.bill_items(spark, sf).withColumns({c: F.lit(None).cast(k) for c, k in (f.split() for f in T.BILL.split(", ")) if c in ("bill_file", "card_used", "received_at", "sender", "image_hash")}), path)
     return T.read_bills(spark, path, "parquet").agg(F.count("*").alias("rows"), F.count_distinct("serial_no").alias("bills"), F.sum("item_price").cast("double").alias("items_total"))
 
 
 def a02_any_csv(spark, sf):
-    path = _folder(spark, "csv")
+    path = folder(spark, "csv")
     spark.read.parquet(f"{sf}/nation.parquet").write.option("header", True).csv(path)
     T.read_any_csv(spark, path, "data")
     return spark.sql("SELECT n_regionkey, count(*) AS n, max(n_name) AS last FROM data GROUP BY n_regionkey")
@@ -85,15 +74,63 @@ def a08_inventory(spark, sf):
 
 
 def a09_review_queues(spark, sf):
-    path = _folder(spark, "queues")
+    path = folder(spark, "queues")
     T.append_queues(classify.queues(_routed(spark, sf)).select("queue", "doc_id"), path)
     return spark.read.json(path).groupBy("queue").agg(F.count("*").alias("n"), F.count("timestamp").alias("stamped"))
 
 
 def a11_split_files(spark, sf):
-    path = _folder(spark, "splits")
+    path = folder(spark, "splits")
     T.write_splits(j09_prepared(spark, sf), path)
-    return spark.read.parquet(path).groupBy("split").agg(F.count("*").alias("n"))
+    files = spark.read.parquet(path).select("split").unionByName(spark.read.parquet(f"{path}-downsampled").select(F.lit("downsampled").alias("split")))
+    return files.groupBy("split").agg(F.count("*").alias("n"))
+
+
+def _file_a_row(rows, path):
+    """rows (k, value) as text files, one a row."""
+    rows.write.partitionBy("k").text(path)
+    return path
+
+
+def a06_image_hashes(spark, sf):
+    path = _file_a_row(spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("value")), folder(spark, "images"))
+    return T.image_hashes(spark, path).select(F.regexp_extract("path", r"k=(\d+)", 1).cast("bigint").alias("s_suppkey"), "image_hash")
+
+
+def a07_gold_with_images(spark, sf):
+    """Gold labels in a file each; those whose image isn't there are left out."""
+    own = spark.read.parquet(f"{sf}/supplier.parquet")
+    name = F.concat(F.col("s_suppkey").cast("string"), F.lit(".png"))
+    label = F.to_json(F.struct(F.col("s_suppkey").cast("string").alias("receipt_id"), name.alias("image_file"), F.struct(F.col("s_name").alias("merchant_name")).alias("fields")))
+    path = _file_a_row(own.select(F.col("s_suppkey").alias("k"), label.alias("value")), folder(spark, "gold"))
+    images = own.where("s_nationkey < 12").select(F.concat(F.lit("file:/images/"), name).alias("path"))
+    return T.read_gold(spark, path, images).select("receipt_id", F.col("fields.merchant_name").alias("merchant_name"))
+
+
+def a10_metric_files(spark, sf):
+    path = folder(spark, "metrics")
+    per = saved(d08_scored_receipts(spark, sf), "scored")
+    T.write_metrics(per, metrics.summarize_metrics(per.drop("receipt_id")), path)
+    return spark.read.json(f"{path}/per_receipt").agg(F.count("*").alias("receipts"), F.round(F.avg("overall_score"), 4).alias("mean")).crossJoin(spark.read.json(f"{path}/summary").select("tax", "overall_score"))  # a row each
+
+
+def a12_run_files(spark, sf):
+    """Run results of the files that are there; a missing one is passed over."""
+    runs = spark.read.parquet(f"{sf}/orders.parquet").groupBy(F.col("o_orderpriority").alias("model")).agg(F.count("*").cast("int").alias("best_epoch"), F.round(F.avg((F.col("o_orderstatus") == "F").cast("int")), 6).alias("test_accuracy"))
+    path = folder(spark, "runs")
+    runs.select(F.element_at(F.split("model", "-"), 1).alias("k"), F.to_json(F.struct("*")).alias("value")).write.partitionBy("k").text(path)
+    return T.read_runs(spark, [f"{path}/k={k}" for k in (1, 2, 3, 4, 5, 9)]).select("model", "best_epoch", "test_accuracy")
+
+
+def c09_broken_rows(spark, sf):
+    """Bills in CSV files; lines of under nine columns, here those of open orders, are left out."""
+    orders, k = spark.read.parquet(f"{sf}/orders.parquet"), F.col("o_orderkey").cast("string")
+    whole = F.concat_ws(",", k, F.lit("f"), F.lit("Not found"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("Not found"), F.lit("cash"), F.lit(""), F.lit("me"), F.lit("h"), "o_orderpriority", F.concat(F.lit('"'), F.format_number("o_totalprice", 2), F.lit('"')), F.lit("Dairy"))
+    lines = orders.select(F.pmod("o_custkey", F.lit(8)).alias("p"), F.lit(1).alias("o"), F.when(F.col("o_orderstatus") == "O", F.concat_ws(",", k, F.lit("f"))).otherwise(whole).alias("value"))
+    heads = lines.select("p").distinct().select("p", F.lit(0).alias("o"), F.lit(",".join(f.split()[0] for f in T.BILL.split(", "))).alias("value"))
+    path = folder(spark, "bills")
+    lines.unionByName(heads).repartition("p").sortWithinPartitions("p", "o").select("p", "value").write.partitionBy("p").text(path)
+    return T.read_bills(spark, path).select("serial_no", "store_name", F.col("invoice_date").cast("string").alias("day"), "item_name", F.col("item_price").cast("double").alias("item_price"))
 
 
 def c01_is_question(spark, sf):
@@ -158,7 +195,7 @@ def e02_serials(spark, sf):
 def d05_topk(spark, sf):
     stock = X.inventory(spark, sf)
     top = similarity.similarity_topk(X.noisy_items(spark, sf).select(F.lower("item_name").alias("query")), similarity.build_tfidf(stock), stock)
-    return top.where("rank = 1").select("query", F.round("cosine", 3).alias("cosine"))
+    return top.select("query", "rank", "item", "label", *[F.round(c, 3).alias(c) for c in ("cosine", "ratio", "hybrid")])
 
 
 def d06_expansions(spark, sf):
@@ -264,23 +301,23 @@ def f06_early_stopping(spark, sf):
 
 
 def d08_scored_receipts(spark, sf):
-    """Extraction against gold labels made from the structured columns, a field of each damaged by turns."""
-    gold = _gold(spark, sf)
-    return metrics.score_receipts(R.extract_receipts(X.receipts(spark, sf)), gold).select(
+    """Extraction from printed text against gold labels from the structured columns, of which some fields are wrong or missing, some items lost or added."""
+    return metrics.score_receipts(R.extract_receipts(X.receipts(spark, sf)), _gold(spark, sf)).select(
         "receipt_id", *[f for f, _, _ in metrics.FIELDS], F.round("core_field_mean", 6).alias("core_field_mean"), F.round("item_name_f1", 6).alias("item_name_f1"), F.round("overall_score", 6).alias("overall_score")
     )
 
 
 def _gold(spark, sf):
-    got = R.extract_receipts(X.receipts(spark, sf))
     k = F.col("receipt_id")
-    return got.select("receipt_id", F.struct(
+    names = F.when((k % 9 == 0) & (F.size("names") > 1), F.slice("names", F.lit(1), F.size("names") - 1)).when(k % 4 == 1, F.concat(F.array(F.lit("ZZTOP EXTRA")), "names")).otherwise(F.col("names"))
+    return X.receipt_truth(spark, sf).select("receipt_id", F.struct(
         F.when(k % 6 == 0, F.lit("Elsewhere")).otherwise(F.initcap("store")).alias("merchant_name"),
-        F.when(k % 7 == 0, F.lit(None)).otherwise(F.col("date")).alias("date"),
-        F.col("time").alias("time"), F.col("subtotal").cast("string").alias("subtotal"),
-        F.when(k % 8 == 0, (F.col("tax") + 1).cast("string")).otherwise(F.col("tax").cast("string")).alias("tax"),
-        F.col("total").cast("string").alias("total"), F.lower("payment_method").alias("payment_method"), F.col("card").alias("card_last4"), F.col("receipt_number").alias("receipt_number"),
-    ).alias("fields"), F.transform("items", lambda i: F.struct(i["name"].alias("name"))).alias("items"))
+        F.when(k % 7 != 0, F.col("day").cast("string")).alias("date"),
+        F.when(k % 2 == 0, F.col("hour")).alias("time"), X.money("subtotal").alias("subtotal"),
+        F.when(k % 8 == 0, F.concat(F.lit("1"), X.money("tax"))).otherwise(X.money("tax")).alias("tax"),
+        X.money("total").alias("total"), F.when(F.col("card").isNull(), "cash").otherwise("visa").alias("payment_method"), F.coalesce("card", F.lit("cash")).alias("card_last4"),
+        F.concat(F.lit("A"), F.lpad(k.cast("string"), 8, "0")).alias("receipt_number"),
+    ).alias("fields"), F.transform(names, lambda n: F.struct(n.alias("name"))).alias("items"))
 
 
 def j08_summary(spark, sf):
@@ -316,9 +353,13 @@ def i18_routing(spark, sf):
 
 
 def i17_top_scores(spark, sf):
-    counts = X.predictions(spark, sf).groupBy("truth").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("doc_id").cast("string"), (F.col("doc_id") % 17).cast("double"))))).alias("m"))
-    top = counts.select("truth", classify.top_scores(F.col("m"), 3).alias("t"))
-    return top.select("truth", F.array_join(F.transform("t", lambda e: e["key"]), ",").alias("top3"), F.col("t")[0]["key"].alias("best"))
+    """The three of some frequent words that a document holds most often, by its own counts."""
+    held = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    word = ("the", "der", "que", "les", "und", "una")
+    count = lambda w: ((F.length("text") - F.length(F.replace("text", F.lit(w), F.lit("")))) / len(w)).cast("double")
+    scores = F.map_from_arrays(F.array(*map(F.lit, word)), F.array(*map(count, word)))
+    top = held.select("doc_id", classify.top_scores(scores, 3).alias("t"))
+    return top.select("doc_id", F.array_join(F.transform("t", lambda e: e["key"]), ",").alias("top3"), F.col("t")[0]["key"].alias("best"))
 
 
 def _routed(spark, sf):
@@ -356,7 +397,7 @@ def i24_hashes(spark, sf):
 def _profiled(name):
     def run(spark, sf):
         p = profile(spark.read.parquet(f"{sf}/{name}.parquet"))
-        return p.where("kind <> 'date'").select("column", "kind", F.when(F.col("type") != "double", F.col("min")).alias("min"), F.when(F.col("type") != "double", F.col("max")).alias("max"), "row_count", F.when(F.col("type") != "double", F.array_join("samples", "|")).alias("samples"))
+        return p.select("column", "kind", "min", "max", "row_count", F.array_join("samples", "|").alias("samples"))
 
     return run
 
@@ -421,20 +462,50 @@ def e16_ad_hoc(spark, sf):
     """)
 
 
+def d12_joins_over_data(spark, sf):
+    T.register(X.bill_items(spark, sf), "data")
+    T.register(spark.read.parquet(f"{sf}/orders.parquet"), "orders")
+    return spark.sql("""
+        WITH first AS (SELECT store_name, min(invoice_date) AS day FROM data GROUP BY store_name)
+        SELECT d.store_name, o.o_orderpriority AS priority, count(*) AS n, CAST(sum(d.item_price) AS double) AS spend
+        FROM data d JOIN orders o ON d.serial_no = o.o_orderkey JOIN first f ON f.store_name = d.store_name AND d.invoice_date > f.day GROUP BY 1, 2
+    """)
+
+
+def g06_top_bills(spark, sf):
+    T.register(X.bill_items(spark, sf), "data")
+    return spark.sql("SELECT serial_no, store_name, CAST(max(total) AS double) AS total FROM data GROUP BY 1, 2 ORDER BY total DESC, serial_no LIMIT 25")
+
+
+def i27_functions_over_data(spark, sf):
+    T.register(X.bill_items(spark, sf), "data")
+    return spark.sql("""
+        SELECT serial_no, item_name, count(*) AS n, max(upper(substr(item_name, 2, 3))) AS part, max(size(split(item_name, ' '))) AS words, max(CAST(date_trunc('MONTH', invoice_date) AS date)) = max(invoice_date) AS first_day,
+          max(replace(item_name, 'a', '')) AS bare, max(get_json_object(concat('{"k": [', serial_no, ', 1]}'), '$.k[0]')) AS k, max(array_join(array_sort(split(item_name, ' ')), '-')) AS sorted, max(map('x', serial_no)['x']) AS held
+        FROM data GROUP BY serial_no, item_name
+    """)
+
+
 def c10_date_range(spark, sf):
     T.register(X.bill_items(spark, sf), "data")
     return spark.sql("SELECT count(DISTINCT serial_no) AS bills FROM data WHERE invoice_date >= DATE '1997-03-01' - INTERVAL 1 MONTH AND invoice_date < DATE '1997-03-01'")
 
 
 def j07_ingest(spark, sf):
-    """Receipt text to stored bills: extraction, duplicate resolution, rows."""
+    """Receipt text to stored bills: extraction, duplicate resolution, serial numbers, item rows with their categories, appended to the bill table."""
     text = X.receipts(spark, sf)
     twice = text.select((F.col("receipt_id") * 10).alias("bill_id"), "text").unionByName(text.where("receipt_id % 40 = 0").select((F.col("receipt_id") * 10 + 1).alias("bill_id"), F.concat("text", F.lit("\nCOPY")).alias("text")))
     got = R.extract_receipts(twice.withColumn("image_hash", F.md5("text")))
     bills = got.select("bill_id", "image_hash", "store", F.to_date(F.nullif("date", F.lit(""))).alias("date"), F.col("total").cast("decimal(12,2)").alias("total"), "items")
+    bills = saved(bills)  # extraction runs once
     kept = dedup.resolve_batch(bills).where("accepted").select("bill_id")
-    rows = T.bill_rows(bills.join(kept, "bill_id", "left_semi"))
-    return rows.groupBy("bill_id").agg(F.count("*").alias("rows"), F.sum("item_price").cast("double").alias("items_total"))
+    numbered = dedup.assign_serials(bills.join(kept, "bill_id", "left_semi"), spark.createDataFrame([], "serial_no bigint"))
+    stock = X.inventory(spark, sf).select("ingredient", F.col("predicted_label").alias("grocery_category"))
+    rows = T.bill_rows(numbered).withColumn("ingredient", F.lower("item_name")).join(stock, "ingredient", "left")
+    path = folder(spark, "bills-table")
+    T.append_bills(rows.select("serial_no", "bill_id", "store", "date", "total", "item_name", "item_price", "grocery_category"), path)
+    held = spark.read.parquet(path)
+    return held.groupBy("serial_no", "bill_id").agg(F.count("*").alias("rows"), F.sum("item_price").cast("double").alias("items_total"), F.max("grocery_category").alias("category"))
 
 
 def _trained(spark, sf):
@@ -465,37 +536,37 @@ def j05_categorized(spark, sf):
 def s01_ingest_stream(spark, sf):
     """Submissions as a stream of four files, each resolved against what is stored: the same bills as in one batch."""
     rows = X.submissions(spark, sf)
-    stream = jobs.in_parts(rows, "bill_id", 4, _folder(spark, "arrivals"))
-    path = _folder(spark, "bills-table")
-    jobs.start_ingest_stream(stream, path, _folder(spark, "offsets")).awaitTermination()
-    return jobs.stored_bills(spark, path).select("bill_id")
+    stream = jobs.in_parts(rows, "bill_id", 4, folder(spark, "arrivals"))
+    path = folder(spark, "bills-table")
+    jobs.start_ingest_stream(stream, path, folder(spark, "offsets")).awaitTermination()
+    return jobs.stored_bills(spark, path).select("bill_id", "serial_no")
 
 
 def s02_dedup_stream(spark, sf):
     rows = X.submissions(spark, sf).select("bill_id", "image_hash", F.timestamp_seconds("bill_id").alias("arrived"))
-    stream, path = jobs.in_parts(rows, "bill_id", 2, _folder(spark, "arrivals")), _folder(spark, "first-images")
-    jobs.dedup_stream(stream, "3650 days").writeStream.format("parquet").option("path", path).option("checkpointLocation", _folder(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
+    stream, path = jobs.in_parts(rows, "bill_id", 2, folder(spark, "arrivals")), folder(spark, "first-images")
+    jobs.dedup_stream(stream, "3650 days").writeStream.format("parquet").option("path", path).option("checkpointLocation", folder(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(path).select("image_hash")
 
 
 def s03_route_stream(spark, sf):
-    stream, path = jobs.in_parts(X.chat(spark, sf), "conv_id", 2, _folder(spark, "messages")), _folder(spark, "routed")
-    jobs.route_stream(stream).writeStream.format("parquet").option("path", path).option("checkpointLocation", _folder(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
+    stream, path = jobs.in_parts(X.chat(spark, sf), "conv_id", 2, folder(spark, "messages")), folder(spark, "routed")
+    jobs.route_stream(stream).writeStream.format("parquet").option("path", path).option("checkpointLocation", folder(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(path).select("conv_id", "turn", "route")
 
 
 def s04_history_stream(spark, sf):
-    stream, path = jobs.in_parts(X.chat(spark, sf), "turn", 3, _folder(spark, "messages")), _folder(spark, "history")
-    jobs.history_stream(stream, path, _folder(spark, "offsets"), 2, "conv_id").awaitTermination()
-    return jobs.latest_history(spark, path).select("conv_id", "turn")
+    stream, path = jobs.in_parts(X.chat(spark, sf), "turn", 3, folder(spark, "messages")), folder(spark, "history")
+    jobs.history_stream(stream, path, folder(spark, "offsets"), 2, "conv_id").awaitTermination()
+    return jobs.latest_history(spark, path, "conv_id").select("conv_id", "turn")
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Receipt text to spend: extraction, duplicate resolution, similarity classification, spend by label and month."""
     bills = R.extract_receipts(X.receipts(spark, sf)).select(F.col("receipt_id").alias("bill_id"), F.lit(None).cast("string").alias("image_hash"), "store", F.to_date(F.nullif("date", F.lit(""))).alias("date"), F.col("total").cast("decimal(12,2)").alias("total"), "items")
-    bills = dedup.saved(bills)  # extraction runs once
+    bills = saved(bills)  # extraction runs once
     kept = dedup.resolve_batch(bills).where("accepted").select("bill_id")
-    rows = dedup.saved(T.bill_rows(bills.join(kept, "bill_id", "left_semi")))
+    rows = saved(T.bill_rows(bills.join(kept, "bill_id", "left_semi")))
     found = similarity.classify_by_similarity(rows, X.inventory(spark, sf), vocab.build_vocab(X.english(spark, sf), "text")).select(F.col("input").alias("item_name"), "final_label")
     named = rows.join(found, "item_name", "left")
     return named.groupBy("final_label", F.date_format("date", "yyyy-MM").alias("month")).agg(F.sum("item_price").cast("double").alias("spend"), F.count("*").alias("items"))

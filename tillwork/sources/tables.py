@@ -110,7 +110,10 @@ def write_metrics(per_receipt: DataFrame, summary: DataFrame, path: str) -> None
 
 
 def write_splits(split: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """A folder for each split; beside it, at path-downsampled, the training rows that are marked so, if any column says."""
     split.write.mode("overwrite").partitionBy("split").format(fmt).save(path)
+    if "downsampled" in split.columns:
+        split.where("downsampled").drop("downsampled").write.mode("overwrite").format(fmt).save(f"{path}-downsampled")
 
 
 def read_runs(spark: SparkSession, paths: list[str]) -> DataFrame:

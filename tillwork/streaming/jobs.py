@@ -8,26 +8,27 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.utils import AnalysisException
 
 from tillwork.functions.messages import last_turns, route_messages
-from tillwork.operators.dedup import resolve_batch
+from tillwork.operators.dedup import assign_serials, resolve_batch
 
 SUBMISSION = "bill_id bigint, image_hash string, store string, date date, total decimal(12,2)"
 
 
 def stored_bills(spark: SparkSession, path: str, schema: str = SUBMISSION) -> DataFrame:
-    """Accepted bills of the batches stored so far."""
+    """Accepted bills of the batches stored so far, with their serial numbers."""
+    whole = f"{schema}, serial_no bigint, batch bigint"
     try:
-        return spark.read.schema(f"{schema}, batch bigint").parquet(path)
+        return spark.read.schema(whole).parquet(path)
     except AnalysisException:
-        return spark.createDataFrame([], f"{schema}, batch bigint")
+        return spark.createDataFrame([], whole)
 
 
 def ingest_batch(batch: DataFrame, batch_id: int, path: str, schema: str = SUBMISSION) -> None:
-    """Stores a batch's accepted bills. A replayed batch is resolved against the batches before it and overwrites its own folder, so it has no further effect."""
+    """Stores a batch's accepted bills, numbered on from the batches before it. A replayed batch is resolved against these and overwrites its own folder, so it has no further effect."""
     spark = batch.sparkSession
     history = stored_bills(spark, path, schema).where(F.col("batch") < batch_id).drop("batch")
     rows = batch.select(*[c.split()[0] for c in schema.split(", ")])
-    accepted = resolve_batch(rows, history).where("accepted").select("bill_id")
-    rows.join(accepted, "bill_id", "left_semi").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    accepted = resolve_batch(rows, history.drop("serial_no")).where("accepted").select("bill_id")
+    assign_serials(rows.join(accepted, "bill_id", "left_semi"), history).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
 def start_ingest_stream(stream: DataFrame, table_path: str, checkpoint: str) -> StreamingQuery:
@@ -45,24 +46,28 @@ def route_stream(stream: DataFrame, text: str = "text") -> DataFrame:
 
 
 def history_batch(batch: DataFrame, batch_id: int, path: str, pairs: int = 20, session: str = "session_id", order: str = "turn") -> None:
-    """Keeps the last messages of each session: those of the newest stored state and of the batch."""
+    """Keeps the last messages of the batch's sessions: those of their newest stored states and of the batch. Other sessions are not written again."""
     spark = batch.sparkSession
     try:
-        held = spark.read.parquet(path)
-        last = held.where(F.col("state") < batch_id).agg(F.max("state")).first()[0]
-        before = held.where(F.col("state") == last).drop("state") if last is not None else batch.limit(0)
+        held = spark.read.parquet(path).where(F.col("state") < batch_id)
+        before = _newest(held.join(batch.select(session).distinct(), session, "left_semi"), session).drop("state")
     except AnalysisException:
         before = batch.limit(0)
     last_turns(before.select(batch.columns).unionByName(batch), pairs, session, order).write.mode("overwrite").parquet(f"{path}/state={batch_id}")
 
 
+def _newest(held: DataFrame, session: str) -> DataFrame:
+    """The rows of each session's newest state."""
+    last = held.groupBy(session).agg(F.max("state").alias("state"))
+    return held.join(last, [session, "state"], "left_semi")
+
+
 def history_stream(stream: DataFrame, path: str, checkpoint: str, pairs: int = 20, session: str = "session_id", order: str = "turn") -> StreamingQuery:
     return stream.writeStream.foreachBatch(lambda df, n: history_batch(df, n, path, pairs, session, order)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest_history(spark: SparkSession, path: str) -> DataFrame:
-    held = spark.read.parquet(path)
-    return held.join(held.agg(F.max("state").alias("state")), "state", "left_semi").drop("state")
+def latest_history(spark: SparkSession, path: str, session: str = "session_id") -> DataFrame:
+    return _newest(spark.read.parquet(path), session).drop("state")
 
 
 def in_parts(df: DataFrame, order: str, parts: int, path: str) -> DataFrame:
