@@ -8,13 +8,16 @@ ledger holds, a revision does both.
 
 Batches commit idempotently: a batch writes its own folders, overwriting what
 an attempt that died has left, and its commit row last; a batch id that is
-committed already is skipped. Uncommitted folders are never read.
+committed already is skipped. Uncommitted folders are never read. Batches take
+effect in the order of their commits, whatever their ids: the commit row holds
+its place, and the ledger goes by that. A store has one writer at a time.
 
 Within a batch the change of greatest (seq, op, n_tokens) counts for a document and
 tokenizer version, so repeated rows have no effect; deleting what isn't there
 has none either; inserting what is there revises it. Null keys, sources and
 languages are values like any other; a null count is 0. Empty batches commit.
-Other columns are ignored.
+Other columns are ignored, whatever their names. Texts are counted whole, however
+long, by native functions. An empty table gives no totals.
 """
 
 from __future__ import annotations
@@ -48,15 +51,20 @@ class RollupStore:
             rows = self.spark.read.schema(schema).parquet(f"{self.path}/{what}")
         except AnalysisException:  # nothing was written yet
             return self.spark.createDataFrame([], schema)
-        return rows if what == "commits" else rows.join(self.commits(), "batch_id", "left_semi")
+        return rows if what == "commits" else rows.join(self.commits(), "batch_id")
 
     def commits(self) -> DataFrame:
-        return self._read("commits", "batch_id bigint")
-
-    def ledger(self) -> DataFrame:
-        """The latest row of each document and tokenizer version; n_tokens is null after a delete."""
-        latest = F.max_by(F.struct("source", "lang", "n_tokens"), "batch_id").alias("v")
-        return self._read("ledger", LEDGER).groupBy("doc_id", "tokenizer").agg(latest).select("doc_id", "tokenizer", "v.*")
+        """batch_id and place: 1 for the first commit, and so on."""
+        return self._read("commits", "batch_id bigint, place bigint")
+
+    def ledger(self, touched: DataFrame | None = None) -> DataFrame:
+        """The latest row of each document and tokenizer version, or of those touched; n_tokens is null after a delete."""
+        rows = self._read("ledger", LEDGER)
+        if touched is not None:
+            same = F.col("o.doc_id").eqNullSafe(F.col("n.doc_id")) & F.col("o.tokenizer").eqNullSafe(F.col("n.tokenizer"))
+            rows = rows.alias("o").join(touched.alias("n"), same, "left_semi")
+        latest = F.max_by(F.struct("source", "lang", "n_tokens"), "place").alias("v")
+        return rows.groupBy("doc_id", "tokenizer").agg(latest).select("doc_id", "tokenizer", "v.*")
 
     def commit(self, batch_id: int, changes: DataFrame) -> bool:
         """Applies a batch of CHANGES rows; False if it was committed before."""
@@ -71,14 +79,13 @@ class RollupStore:
         place = f"batch_id={batch_id}"
         new.write.mode("overwrite").parquet(f"{self.path}/ledger/{place}")
         new = self.spark.read.schema(new.schema).parquet(f"{self.path}/ledger/{place}")
-        old = self.ledger().alias("o")
-        same = F.col("o.doc_id").eqNullSafe(F.col("n.doc_id")) & F.col("o.tokenizer").eqNullSafe(F.col("n.tokenizer"))
-        before = old.join(new.alias("n"), same, "left_semi").where("n_tokens is not null")
+        before = self.ledger(new).where("n_tokens is not null")
         signed = lambda rows, sign: rows.select("source", "lang", "tokenizer", F.lit(sign).cast("long").alias("d"), (sign * F.col("n_tokens")).alias("t"))
         deltas = signed(before, -1).unionByName(signed(new.where("n_tokens is not null"), 1))
         deltas = deltas.groupBy("source", "lang", "tokenizer").agg(F.sum("d").alias("n_docs"), F.sum("t").alias("n_tokens"))
         deltas.write.mode("overwrite").parquet(f"{self.path}/deltas/{place}")
-        self.spark.range(1).select(F.lit(batch_id).cast("long").alias("batch_id")).coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
+        place = self.commits().agg(F.coalesce(F.max("place"), F.lit(0)) + 1).first()[0]
+        self.spark.range(1).select(F.lit(batch_id).cast("long").alias("batch_id"), F.lit(place).cast("long").alias("place")).coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
         return True
 
     def totals(self) -> DataFrame:
