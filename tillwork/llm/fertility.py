@@ -13,14 +13,18 @@ of two of the token count) a band is the median of all documents of that class
 plus and minus ``width`` robust deviations (quartile distance / 1.349, at least
 the measure's floor, about a histogram bin or two). A class of under ``least``
 documents borrows from as many neighbouring size classes on both sides as it
-takes. A language of fewer takes its script's bands, made likewise; where the
-script is as rare, FIXED bands hold, which are wide and known for Latin only.
+takes. A language of fewer takes its script's bands, made likewise, and a script
+as rare takes those of the whole corpus, so that no text goes unjudged in a corpus
+of ``least`` documents; in a smaller one FIXED bands hold, which are wide and known
+for Latin only.
 Quartiles come from histograms of fixed bin width, so they are exact to the
 bin, the same in every run, and pre-aggregated before any shuffle.
 
 Null texts count as empty and fail the base rules; null languages are a group
 of their own; repeated rows are measured each; columns that bear an output's
-name are replaced. An empty table gives no rows and no bands.
+name are replaced. Very long texts are measured whole, one at a time. A measure
+equal to a band's edge is inside; of scripts with as many letters the first by
+name counts. An empty table gives no rows and no bands.
 """
 
 from __future__ import annotations
@@ -211,13 +215,13 @@ def _borrowed(counts: DataFrame, least: int) -> DataFrame:
 
 
 def bands(measured: DataFrame, lang: str = "lang", width: float = WIDTH, least: int = LEAST) -> DataFrame:
-    """One row per level ("lang", "script"), name and size class that has documents: lowest and highest value of each measure.
+    """One row per level ("lang", "script", "all"), name and size class that has documents: lowest and highest value of each measure.
 
     Its rows are a few for each language, as it drops names of under ``least`` documents.
     """
-    level = lambda name, column: F.struct(F.lit(name).alias("level"), F.col(column).alias("name"), _size().alias("size"))
+    level = lambda name, column: F.struct(F.lit(name).alias("level"), column.alias("name"), _size().alias("size"))
     fit = measured.where(~_base_failed()).select(
-        F.explode(F.array(level("lang", lang), level("script", "script"))).alias("g"),
+        F.explode(F.array(level("lang", F.col(lang)), level("script", F.col("script")), level("all", F.lit("")))).alias("g"),
         *[F.round(F.col(m) / step).cast("int").alias(m) for m, step, _ in MEASURES],
     )
     long = fit.select("g.*", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("bin")) for m, _, _ in MEASURES])).alias("x"))
@@ -239,8 +243,8 @@ def bands(measured: DataFrame, lang: str = "lang", width: float = WIDTH, least:
 def judge(measured: DataFrame, found: DataFrame, lang: str = "lang") -> DataFrame:
     """measured with base_failed and kept. Bands are joined as tables, a row for each language or script, so that Spark knows how small they are."""
     edges = [f"{m}_{e}" for m, _, _ in MEASURES for e in ("low", "high")]
-    out = measured.withColumn("base_failed", _base_failed()).withColumn("__size", _size())
-    for level, column in (("lang", lang), ("script", "script")):
+    out = measured.withColumn("base_failed", _base_failed()).withColumn("__size", _size()).withColumn("__every", F.lit(""))
+    for level, column in (("lang", lang), ("script", "script"), ("all", "__every")):
         by_size = F.map_from_entries(F.collect_list(F.struct("size", F.struct(*edges))))  # as many as there are powers of two
         side = found.where(F.col("level") == level).groupBy(F.col("name").alias(f"__{level}")).agg(by_size.alias(f"__{level}_bands"))
         side = written(side, "bands")
@@ -248,7 +252,7 @@ def judge(measured: DataFrame, found: DataFrame, lang: str = "lang") -> DataFram
     fixed = F.lit(None)
     for script, limits in FIXED.items():
         fixed = F.when(F.col("script") == script, F.struct(*[F.lit(x).alias(e) for e, x in zip(edges, (x for pair in limits for x in pair))])).otherwise(fixed)
-    band = F.coalesce(F.col("__lang_bands")[F.col("__size")], F.col("__script_bands")[F.col("__size")], fixed)
+    band = F.coalesce(F.col("__lang_bands")[F.col("__size")], F.col("__script_bands")[F.col("__size")], F.col("__all_bands")[F.col("__size")], fixed)
     inside = F.lit(True)
     for m, _, _ in MEASURES:
         inside &= F.col(m).between(band[f"{m}_low"], band[f"{m}_high"])
