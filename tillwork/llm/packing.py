@@ -13,9 +13,11 @@ No row is shuffled: sequences are numbered by task and position within it, so
 padding is the unevenness within groups and one partial group a task. Lost
 tasks give the same pieces again from the same input split.
 
-Null and empty texts have the end id alone. Repeated rows are packed like any
-other; null document ids stay null; other columns are ignored. An empty table
-gives no rows.
+Null and empty texts have the end id alone. Very long texts are tokenized whole
+and give one full window after another. Of partitions of equal difference the
+earlier made one goes first, so equal inputs give equal windows. Repeated rows
+are packed like any other; null document ids stay null; other columns are
+ignored, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -71,6 +73,8 @@ def _word_encoder(path: str, parts: dict[str, list[int]]):
 
     own = Tokenizer.from_file(path)
     own.encode_special_tokens = True  # their strings in a text are ordinary text
+    probes = ["ab12cd", "A1B2", "x-y.z", "100,000", "#*(a)", "e-mail@host.org", "__init__", "<s>"]
+    whole = own.encode(probes, is_pretokenized=True, add_special_tokens=False)
     cut, model = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+").findall, own.model
 
     def encode(words: list[str]) -> list:
@@ -97,6 +101,8 @@ def _word_encoder(path: str, parts: dict[str, list[int]]):
                 out[some[w]].append(x)
         return out
 
+    if encode(probes) != [[x for x, w in zip(whole.ids, whole.word_ids) if w == i] for i in range(len(probes))]:
+        raise ValueError(f"{path} cuts words in another way than this encoder does")
     return encode
 
 
