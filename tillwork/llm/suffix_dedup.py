@@ -24,8 +24,12 @@ gathers an unbounded group; rows are reduced within a chunk before each shuffle.
 
 Null texts count as empty; texts under LENGTH bytes lose nothing. doc_id is an
 integer; rows of equal doc_id don't remove each other's bytes, and a null
-doc_id counts as greater than any. Other columns pass through, but for those
+doc_id counts as greater than any. Very long texts are a pass of their own, and
+runs within them are cut to bounded length. Other columns pass through, but for those
 that bear an output's name. An empty table gives no rows.
+
+Runs and buckets are told apart by 64 bits of a polynomial value, as are windows of
+hot buckets; bytes are compared by refinement within buckets of several runs.
 """
 
 from __future__ import annotations
@@ -179,8 +183,8 @@ def _binary(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(body.tobytes())])
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, q: int = Q, chunk_bytes: int = CHUNK_BYTES, hot: int = HOT) -> DataFrame:
-    """docs with, in place of the text, n_bytes, removed (array of start and length in bytes) and kept (binary: what is left of the text)."""
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, q: int = Q, chunk_bytes: int = CHUNK_BYTES, hot: int = HOT, characters: bool = False) -> DataFrame:
+    """docs with, in place of the text, n_bytes, removed (array of start and length in bytes) and kept (binary: what is left of the text); with ``characters``, those that are cut in two go whole."""
     out = ("n_bytes", "removed", "kept")
     keep = [c for c in docs.columns if c not in (text, *out)]
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
@@ -348,6 +352,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 lost = start[(run[at] == value) & (doc > owner[at])]
                 drop(lost, np.ones(len(lost), np.int64))
             stay = np.cumsum(cover[:-1]) == 0
+            if characters and len(stay):
+                head = np.flatnonzero((w.raw & 0xC0) != 0x80)
+                whole = np.logical_and.reduceat(stay, head)
+                stay = np.repeat(whole, np.diff(np.append(head, len(stay))))
             # maximal removed runs, cut at the bounds of documents
             left = np.concatenate([[0], np.cumsum(stay)])
             lost = (~stay).astype(np.int8)
