@@ -5,23 +5,21 @@ hash bits. Documents whose fingerprints differ in at most 3 bits are linked,
 and linked documents form classes.
 
 Every distinct fingerprint gets a row of the pivot table: its Hamming distances
-to many fixed reference fingerprints, in total and within each of five blocks
-of bits. Two fingerprints that differ in at most three bits agree in two blocks
-or more, so that there all their distances are equal: the distances within two
-blocks are a bucket's key, and linked fingerprints meet in a bucket. Within a
+to many fixed reference fingerprints, in total and within each of six blocks of
+bits. Two fingerprints that differ in at most three bits agree in three blocks
+or more, so that there all their distances are equal: the distances within three
+blocks (about 32 bits) are a bucket's key, and linked fingerprints meet in a bucket. Within a
 bucket, pairs whose total distances to any reference differ by more than three
 are discarded (by the triangle inequality they are further apart than that),
 and the rest is verified. A bucket gives a spanning forest of its verified
 links rather than all of them; classes don't change by that.
 
-Two blocks have about 25 bits. Beyond ``MANY`` distinct fingerprints six blocks
-are used, three of which (32 bits) must agree; either is exact.
-
 Equal fingerprints are joined before any pair is looked at, so copies cost no
 pairs. Null and empty texts have fingerprint zero, linked like any other.
 Repeated rows are rows of the same class. A null doc_id takes part and is
-ignored for the least id of a class. Other columns don't matter. An empty table
-gives no rows.
+ignored for the least id of a class. A bit set in exactly half of the hashes is
+0. Very long texts are hashed whole, one at a time. Other columns don't matter,
+whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,7 +36,6 @@ from tillwork.llm.components import connected_components
 
 SEED, SHINGLE, BITS = 42, 3, 3
 REFERENCES = 16
-MANY = 100_000_000
 
 
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -79,8 +76,8 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, se
 class PivotTable:
     """Hamming distances to fixed references, in total and within blocks of bits."""
 
-    def __init__(self, blocks: int, bits: int = BITS, references: int = REFERENCES):
-        self.bits = bits
+    def __init__(self, bits: int = BITS, references: int = REFERENCES):
+        self.bits, blocks = bits, 2 * bits
         self.references = np.random.default_rng(7).integers(0, 1 << 64, references, dtype=np.uint64)
         edges = [64 * i // blocks for i in range(blocks + 1)]
         self.masks = [np.uint64((1 << b) - (1 << a)) for a, b in zip(edges, edges[1:])]
@@ -132,11 +129,11 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[int]:
     return kept
 
 
-def links(distinct: DataFrame, blocks: int, bits: int = BITS) -> DataFrame:
+def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
     """Distinct fingerprints to links (u, v) that connect all that are within ``bits`` bits of each other."""
 
     def explode(batches):
-        pivots = PivotTable(blocks, bits)
+        pivots = PivotTable(bits)
         for batch in batches:
             fp = np.asarray(batch.column("fingerprint")).view(np.uint64)
             for at in range(0, len(fp), 50_000):
@@ -150,7 +147,7 @@ def links(distinct: DataFrame, blocks: int, bits: int = BITS) -> DataFrame:
 
     def meet(batches):
         """Rows sorted by bucket; a bucket may go on in the next batch."""
-        pivots = PivotTable(blocks, bits)
+        pivots = PivotTable(bits)
         held = None
 
         def found(key, fp, rows):
@@ -195,8 +192,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     named = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     marked = written(fingerprints(named, shingle=shingle), "fingerprints")
     distinct = written(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    blocks = bits + 2 if distinct.count() <= MANY else bits + 3
-    roots = connected_components(links(distinct, blocks, bits), "simhash")
+    roots = connected_components(links(distinct, bits), "simhash")
     rooted = distinct.join(roots, distinct["fingerprint"] == roots["u"], "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
     rooted = written(rooted, "simhash-roots")
     classes = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
