@@ -19,12 +19,13 @@ taking one away again restores every text.
 Null texts, roles and payloads count as empty. Events of equal seq are folded in
 the order of kind and payload, messages of equal position in the order of role
 and text; repeated rows are kept as messages of their own by ``events_of_turns``.
-An empty log gives no rows. Other columns don't matter.
+Very long texts and conversations are one row each, made in time linear in their length but
+for the reading of loss spans. An empty log gives no rows. Other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Control strings. Fixed values.
@@ -52,7 +53,7 @@ def events_of_turns(turns: DataFrame) -> DataFrame:
     return repeated.select(
         "conv_id",
         F.lit(0).cast("long").alias("seq"),
-        F.struct("turn", "role", "payload", "copy").alias("message"),
+        F.struct("turn", "role", F.sha2("payload", 256).alias("of"), "copy").alias("message"),
         F.col("turn").alias("position"),
         "role",
         F.lit("delta").alias("kind"),
@@ -60,6 +61,18 @@ def events_of_turns(turns: DataFrame) -> DataFrame:
     )
 
 
+def streamed(events: DataFrame) -> DataFrame:
+    """Each whole message of an event log (a single delta) as the events that a session leaves: a draft that is regenerated, or a first part that is edited, and deltas of the rest."""
+    half = F.floor(F.length("payload") / 2).cast("int")
+    head, tail = F.substring("payload", F.lit(1), half), F.substring("payload", half + 1, F.length("payload"))
+    event = lambda seq, kind, text: F.struct(F.lit(seq).cast("long").alias("seq"), F.lit(kind).alias("kind"), text.alias("payload"))
+    draft = F.concat(tail, F.lit(" draft"))
+    anew = F.array(event(0, "delta", draft), event(1, "regenerate", F.lit("")), event(2, "delta", head), event(3, "delta", tail))
+    mended = F.array(event(0, "delta", draft), event(1, "edit", head), event(2, "delta", tail))
+    log = F.when(F.length("payload") % 2 == 0, anew).otherwise(mended)
+    return events.select("conv_id", "message", "position", "role", F.explode(log).alias("e")).select("conv_id", "e.seq", "message", "position", "role", "e.kind", "e.payload")
+
+
 def fold(events: DataFrame) -> DataFrame:
     """Final messages (conv_id, message, position, role, text) of an event log."""
     log = events.groupBy("conv_id", "message").agg(
@@ -86,17 +99,14 @@ def format_chats(events: DataFrame) -> DataFrame:
         .otherwise(F.struct(F.concat(F.lit("[ROLE] "), escape(F.regexp_replace("role", r"([\\\n])", r"\\$1")).alias("role"), F.lit("\n")).alias("head"), body.alias("body"), F.lit(" [/ROLE]").alias("tail"), F.lit(False).alias("loss")))
     )
     turns = fold(events).select("conv_id", "position", "role", "text", piece.alias("piece"))
-    chats = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("position", "role", "text", "piece"))).alias("turns"))
-    pieces = F.transform("turns", lambda t: t["piece"])
-    whole = F.concat(F.lit("<s>"), F.array_join(F.transform(pieces, lambda p: F.concat(p["head"], p["body"], p["tail"])), ""))
-    width = lambda p: F.length(p["head"]) + F.length(p["body"]) + F.length(p["tail"])
-    start = F.struct(F.lit(3).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
-
-    def step(state, p):
-        span = F.struct((state["at"] + F.length(p["head"])).alias("start"), F.length(p["body"]).alias("length"))
-        return F.struct((state["at"] + width(p)).alias("at"), F.when(p["loss"], F.array_append(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
-
-    return chats.select("conv_id", whole.alias("formatted"), F.aggregate(pieces, start, step, lambda s: s["spans"]).alias("loss_spans"))
+    width = F.length("piece.head") + F.length("piece.body") + F.length("piece.tail")
+    order = Window.partitionBy("conv_id").orderBy("position", "role", "text")
+    ends = F.sum(width.cast("long")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = turns.select("conv_id", F.row_number().over(order).alias("place"), "piece", (3 + ends - width + F.length("piece.head")).cast("int").alias("start"))
+    chats = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("place", "piece", "start"))).alias("turns"))
+    whole = F.concat(F.lit("<s>"), F.array_join(F.transform("turns", lambda t: F.concat(t["piece"]["head"], t["piece"]["body"], t["piece"]["tail"])), ""))
+    loss = F.transform(F.filter("turns", lambda t: t["piece"]["loss"]), lambda t: F.struct(t["start"].alias("start"), F.length(t["piece"]["body"]).alias("length")))
+    return chats.select("conv_id", whole.alias("formatted"), loss.alias("loss_spans"))
 
 
 _TURN = r"(?s)\[INST\] (.*?) \[/INST\]|\[ROLE\] (.*?) \[/ROLE\]| (.*?) </s>"
@@ -125,7 +135,7 @@ def op9_chat_formatting(spark, sf_dir) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     told = "</s>[INST] ok [/INST]"
     more = spark.sql("SELECT -1L AS conv_id, turn, role, text FROM VALUES (0L, 'user', '%s'), (1L, 'assistant', '%s') AS t(turn, role, text)" % (told, told))
-    chats = format_chats(events_of_turns(turns.unionByName(more)))
+    chats = format_chats(streamed(events_of_turns(turns.unionByName(more))))
     back = chats.select("conv_id", "formatted", "loss_spans", read_back(F.col("formatted")).alias("turns"))
     lossy = F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["length"])))
     loss = F.array_join(lossy, "")
