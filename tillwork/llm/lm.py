@@ -22,8 +22,10 @@ corpus but the number of rows; only class totals and the shortlist, whose
 lengths are parameters, reach the driver.
 
 Null and empty texts have the end token alone. A null doc_id counts as training.
-Repeated rows count and are scored each. Other columns don't matter. An empty
-table gives no rows; without training documents every count is 0.
+Repeated rows count and are scored each. Very long texts are chunks of their
+own. Words of equal count go onto the shortlist in their own order. Other columns
+don't matter, whatever their names. An empty table gives no rows; without training
+documents every count is 0.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwork.llm.common import group_sums, slices, split_words, table, texts, written
@@ -233,20 +235,16 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
     named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     spark = docs.sparkSession
     coded = written(_dictionaries(named, chunk_bytes), "lm-chunks")
-    by_word = Window.partitionBy("word")
-    words = coded.where("kind = 1").select(
-        "chunk", "code", "word", "suffix",
-        F.sum("n").over(by_word).alias("c"),
-        (F.row_number().over(by_word.orderBy("chunk", "code")) == 1).alias("first"),
-    )
-    words = written(words, "lm-words")
-    known = words.where("first and c > 0")
+    named_words = coded.where("kind = 1").select("chunk", "code", "word", "suffix", "n")
+    # a row a word: a common one has as many rows before as there are chunks, and none is gathered
+    words = written(named_words.groupBy("word").agg(F.sum("n").alias("c"), F.min("suffix").alias("suffix")), "lm-words")
+    known = words.where("c > 0")
     tokens, kinds = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     short = known.where(F.col("word") != END).orderBy(F.desc("c"), "word").limit(SHORTLIST).select("word").collect()
     shortlist = [r["word"] for r in short]
     listed = spark.createDataFrame([(w, i + 1) for i, w in enumerate([*shortlist])], "word string, short int")  # at most SHORTLIST rows
-    classed = words.join(F.broadcast(listed), "word", "left").withColumn("class", F.when(F.col("word") == END, 0).otherwise(F.coalesce("short", "suffix")))
-    rest = classed.where(f"first and c > 0 and class > {SHORTLIST}").groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()
+    classed = words.join(F.broadcast(listed), "word", "left").withColumn("class", F.when(F.col("word") == END, 0).otherwise(F.coalesce("short", "suffix"))).select("word", "c", "class")
+    rest = classed.where(f"c > 0 and class > {SHORTLIST}").groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()
     mass = np.ones(CLASSES)  # of a class: its tokens, its words and one for what is unseen
     for r in rest:
         mass[r["class"]] += r["c"] + r["n"]
@@ -279,7 +277,7 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
         return pa.concat_tables(made) if made else pa.table({n: pa.array([], x) for n, x in zip(names, [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()])})
 
     left = coded.where("kind = 0").select("chunk", "doc_id", "held_out", "codes").groupBy("chunk")
-    right = classed.select("chunk", "code", "c", "class").groupBy("chunk")
+    right = named_words.select((F.col("chunk") + 0).alias("chunk"), "code", "word").join(classed, "word").select("chunk", "code", "c", "class").groupBy("chunk")  # a column of its own, as both sides come from one table
     return left.cogroup(right).applyInArrow(work, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
