@@ -1,6 +1,6 @@
 import hashlib
 
-from tillwork.llm.chat import events_of_turns, escape, fold, format_chats, read_back, unescape
+from tillwork.llm.chat import escape, events_of_turns, fold, format_chats, read_back, streamed, unescape
 from pyspark.sql import functions as F
 
 TURNS = "conv_id bigint, turn bigint, role string, text string, formatted string"
@@ -39,8 +39,16 @@ def test_fold_of_deltas_edits_and_regenerations(spark):
     assert fold(events.limit(0)).collect() == [] and format_chats(events.limit(0)).collect() == []
 
 
+def test_streamed_events_fold_into_the_finished_messages(spark):
+    rows = [(1, i, "user", t, "x") for i, t in enumerate([*CONTROL, "odd", "even", "😀é"])]
+    events = streamed(events_of_turns(spark.createDataFrame(rows, TURNS)))
+    kinds = {r.kind for r in events.select("kind").distinct().collect()}
+    assert kinds == {"delta", "edit", "regenerate"} and events.count() > 3 * len(rows)
+    assert sorted((r.position, r.text) for r in fold(events).collect()) == sorted((r[1], r[3]) for r in rows)
+
+
 def test_plan_is_native(spark):
-    df = format_chats(events_of_turns(spark.createDataFrame([(1, 0, "user", "a", "")], TURNS)))
+    df = format_chats(streamed(events_of_turns(spark.createDataFrame([(1, 0, "user", "a", "")], TURNS))))
     plan = df._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert hashlib.sha256(b"").hexdigest()

@@ -51,12 +51,12 @@ def test_simhash_edge_rows(edge, empty):
     assert near_duplicates(empty).collect() == []
 
 
-@pytest.mark.parametrize("blocks", [5, 6])
-def test_links_lose_nothing(spark, blocks):
+@pytest.mark.parametrize("seed", [5, 6])
+def test_links_lose_nothing(spark, seed):
     from tillwork.llm.components import connected_components
     from tillwork.llm.simhash import links
 
-    rng = random.Random(blocks)
+    rng = random.Random(seed)
     seeds = [rng.getrandbits(64) for _ in range(40)]
     found = set(seeds)
     for s in seeds[:20]:
@@ -67,7 +67,7 @@ def test_links_lose_nothing(spark, blocks):
     found |= {hub ^ (1 << a) ^ (1 << b) for a in range(16) for b in range(16)}
     signed = lambda f: f - (1 << 64) if f >> 63 else f
     df = spark.createDataFrame([(signed(f),) for f in found], "fingerprint bigint").repartition(4)
-    edges = links(df, blocks)
+    edges = links(df)
     assert edges.count() < 20 * len(found)
     roots = {r.u: r.root for r in connected_components(edges).collect()}
     rows = [(signed(f), f) for f in sorted(found)]
@@ -88,7 +88,8 @@ def test_components_of_paths_and_loops(spark):
     assert connected_components(spark.createDataFrame([], "u bigint, v bigint")).collect() == []
 
 
-def brute_removal(rows, length=50):
+def brute_gone(rows, length=50):
+    """For each row, which bytes go."""
     last = 1 << 62
     own = {}
     data = [(last if d is None else d, (t or "").encode()) for d, t in rows]
@@ -96,11 +97,19 @@ def brute_removal(rows, length=50):
         for i in range(len(t) - length + 1):
             own[t[i : i + length]] = min(d, own.get(t[i : i + length], last + 1))
     out = []
-    for (d, t), (doc_id, _) in zip(data, rows):
+    for d, t in data:
         gone = bytearray(len(t))
         for i in range(len(t) - length + 1):
             if own[t[i : i + length]] < d:
                 gone[i : i + length] = b"\1" * length
+        out.append(gone)
+    return out
+
+
+def brute_removal(rows, length=50):
+    out = []
+    for gone, (doc_id, text) in zip(brute_gone(rows, length), rows):
+        t = (text or "").encode()
         spans = sum(1 for i, g in enumerate(gone) if g and (not i or not gone[i - 1]))
         out.append((doc_id, len(t), sum(gone), spans, hashlib.sha256(bytes(b for b, g in zip(t, gone) if not g)).hexdigest()))
     return Counter(out)

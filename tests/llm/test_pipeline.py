@@ -26,6 +26,31 @@ def test_stages_by_brute_force(spark, tmp_path):
     assert sum(p.length for p in pieces if p.doc_id == 7) == next(p.doc_tokens for p in pieces if p.doc_id == 7)
 
 
+def test_repeats_are_cut_at_whole_characters(spark):
+    """Against brute force; marks that the text held before stay, and columns of any name."""
+    import corpus_pipeline
+
+    from .test_pairs import brute_gone
+
+    passage = "é genuine \ufffd mark " * 6
+    texts = ["ü" + passage + "ab", "x" + passage + "日本 and more", "é" * 60, "à" + "é" * 60 + "ê", "plain", None, ""]
+    rows = [(i, t, "en", "s", len(t or ""), "own", i, 7) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, kept string, removed int, n_bytes int")
+    got = {r.doc_id: r for r in corpus_pipeline.suffix_array_dedup(spark, df, "").collect()}
+    for i, (t, gone) in enumerate(zip(texts, brute_gone([r[:2] for r in rows]))):
+        at, left = 0, ""
+        for c in t or "":
+            size = len(c.encode())
+            left += "" if any(gone[at : at + size]) else c
+            at += size
+        if any(gone) and not left.strip():
+            assert i not in got
+            continue
+        assert got[i].text == (None if t is None else left) and got[i].n_chars == len(left)
+        assert (got[i].kept, got[i].removed, got[i].n_bytes) == ("own", i, 7)
+    assert "\ufffd" in got[0].text and got[1].text == "x日本 and more"
+
+
 @pytest.mark.parametrize("stage", range(5))
 def test_stages_take_empty_tables(spark, stage):
     import corpus_pipeline

@@ -259,6 +259,47 @@ def test_token_count_store(spark, tmp_path):
     assert store.commit(4, spark.createDataFrame([], CHANGES)) and not store.commit(4, first)
 
 
+def test_token_counts_go_by_the_order_of_commits(spark, tmp_path):
+    from tillwork.llm.token_counts import CHANGES, RollupStore
+
+    store = RollupStore(spark, str(tmp_path / "store"))
+    one = lambda n, op: spark.createDataFrame([(1, "t", "a", "en", n, op, 0)], CHANGES)
+    totals = lambda: [(r.n_docs, r.n_tokens) for r in store.totals().collect()]
+    for batch, change, want in ((3, one(10, "insert"), [(1, 10)]), (2, one(7, "revise"), [(1, 7)]), (4, one(None, "delete"), [])):
+        assert store.commit(batch, change) and totals() == want
+    assert not store.commit(2, one(9, "insert")) and totals() == []
+
+
+def test_rules_with_long_heads_match_as_their_expressions():
+    import random
+    import time
+
+    from tillwork.llm.secret_scan import RULES, TAILS, _compiled, matches
+
+    rng = random.Random(7)
+    parts = ["eyJ", "aaaaaaaa", ".", "eyJabcdefgh", "://", "a", ":", "@", "9", "+", "/", " ", "_-_-_-_-", "http", "eyJ12345678.eyJabcdefgh.zzzzzzzzz", "ftp://u:p@"]
+    ready = [(r, c) for r, c in zip(RULES, _compiled(RULES)) if r[0] in TAILS]
+    assert len(ready) == 2
+    for _ in range(3_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 25)))
+        for rule, own in ready:
+            assert list(matches(own, text)) == [m.span() for m in re.finditer(rule[1], text)], text
+    began = time.time()
+    for text in ("x" * 2_000_000 + "://", "eyJ" * 700_000, ("a1" * 1_000_000) + "://u:p", "eyJaaaaaaaa." * 150_000, "://" * 600_000):
+        for _, own in ready:
+            list(matches(own, text))
+    assert time.time() - began < 30
+
+
+def test_redact_keeps_columns_of_any_name(spark):
+    from tillwork.llm.secret_scan import redact
+
+    text = " ".join("AKIA" + "B" * 16 for _ in range(20_000))
+    df = spark.createDataFrame([(1, text, "own"), (2, None, None)], "doc_id bigint, text string, secret_spans string")
+    got = {r.doc_id: r for r in redact(df).collect()}
+    assert got[1].text == " ".join(["[access]"] * 20_000) and got[1].secret_spans == "own" and got[2].text is None
+
+
 def test_digests_are_plain(edge):
     from tillwork.llm.secret_scan import joined, scan
 
