@@ -29,7 +29,7 @@ def _staying(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or a fertility band reject go."""
+    """Documents that the base rules or a fertility band reject go, null and empty texts among them; repeated rows fare alike."""
     return _staying(docs, quality(docs).where("kept")).select(docs.columns)
 
 
@@ -41,21 +41,29 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes that repeat an earlier document's go, and with them characters cut in two; a document goes if nothing but blanks is left."""
-    done = remove_repeats(docs)
-    cut = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")
-    text = F.when(F.size("removed") > 0, cut).otherwise(F.col("kept").cast("string"))
-    left = done.withColumn("text", text).where((F.size("removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return left.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    """Bytes that repeat an earlier document's go, and with them characters cut in two; a document goes if nothing but blanks is left.
+
+    Null and empty texts lose nothing and stay; rows of equal or no doc_id don't cut each other.
+    """
+    rest = {c: f"__{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}  # columns of any name ride along
+    row = docs.select("doc_id", "text", F.col("text").isNull().alias("__null"), *[F.col(c).alias(n) for c, n in rest.items()])
+    done = remove_repeats(row, characters=True).withColumn("__cut", F.size("removed") > 0).withColumn("__left", F.col("kept").cast("string"))
+    left = done.where(~F.col("__cut") | F.col("__left").rlike(r"[^\x20\x09-\x0D]"))
+    made = {
+        "doc_id": F.col("doc_id"),
+        "text": F.when(~F.col("__null"), F.col("__left")).alias("text"),
+        "n_chars": F.when(F.col("__cut"), F.length("__left").cast("long")).otherwise(F.col(rest["n_chars"])).alias("n_chars"),
+    }
+    return left.select(*[made[c] if c in made else F.col(rest[c]).alias(c) for c in docs.columns])
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by their kind in brackets; documents stay."""
-    return redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    """Secrets are replaced by their kind in brackets; documents stay, null and empty ones as they are."""
+    return redact(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences, with their ids (little-endian unsigned 32-bit)."""
+    """Pieces of token sequences, with their ids (little-endian unsigned 32-bit); null and empty texts are their end token."""
     return pack_documents(docs)
 
 
