@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -108,13 +111,21 @@ class WordMemo:
         self.lengths = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.int32)
 
+    def take(self) -> None:
+        """Gives the memory of another memo back to the system, as a worker may serve one stage after another."""
+        if WordMemo.used not in (None, self):
+            WordMemo.used.clear()
+            gc.collect()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed memory otherwise
+            if trim:
+                trim(0)
+        WordMemo.used = self
+
     def codes(self, words: list) -> np.ndarray:
         """A row of the memo for each word; rows hold until the next call."""
         if len(self.index) > self.most:
             self.clear()
-        if WordMemo.used not in (None, self):
-            WordMemo.used.clear()
-        WordMemo.used = self
+        self.take()
         new = list(dict.fromkeys(w for w in words if w not in self.index))
         if new:
             got = self.encode(new)

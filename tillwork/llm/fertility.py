@@ -127,7 +127,7 @@ class _Fertility:
         single = np.zeros(self.sizes[1], bool)
         single[[i for token, i in kinds.items() if len(token) == 1]] = True  # a character of the vocabulary's alphabet is a byte
         self.bytes = (np.array([self.own.is_byte(i) for i in range(self.sizes[0])]), single)
-        self.memo = WordMemo(self._both)
+        self.memo = WordMemo(self._both, 400_000)
 
     def _both(self, words: list) -> list:
         """Ids of each word by the first vocabulary, and after them those by the second, which begin where the first's end."""
@@ -169,6 +169,7 @@ def measure(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, s
 
     def work(batches):
         own = _fertility(vocabulary, second)
+        own.memo.take()
         for part in slices(batches, text):
             block = texts(part, text)
             codes, bounds, words = split_words(block)

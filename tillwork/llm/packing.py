@@ -78,7 +78,7 @@ def _word_encoder(path: str, parts: dict[str, list[int]]):
     cut, model = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+").findall, own.model
 
     def encode(words: list[str]) -> list:
-        if len(parts) > 400_000:
+        if len(parts) > 300_000:
             parts.clear()
         out: list = [None] * len(words)
         rest = []
@@ -130,6 +130,7 @@ def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         from pyspark import TaskContext
 
         words = memo(vocabulary)
+        words.take()
         sequence = TaskContext.get().partitionId() << 33
         waiting: list = []
 
