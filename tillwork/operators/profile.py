@@ -24,9 +24,10 @@ def profile(df: DataFrame, samples: int = 4) -> DataFrame:
     kinds = [(f.name, f.dataType.simpleString(), kind_of(f.dataType.simpleString())) for f in df.schema]
     text = lambda c: F.col(f"`{c}`").cast("string")
     made = [F.count("*").alias("rows")]
-    for name, _, kind in kinds:
+    for name, dtype, kind in kinds:
         some = kind != "other"
-        made += [(F.min(f"`{name}`").cast("string") if some else F.lit(None).cast("string")).alias(f"{name}|min"), (F.max(f"`{name}`").cast("string") if some else F.lit(None).cast("string")).alias(f"{name}|max")]
+        value = F.col(f"`{name}`") + F.lit(0.0) if dtype in ("float", "double") else F.col(f"`{name}`")  # no negative zero
+        made += [(F.min(value).cast("string") if some else F.lit(None).cast("string")).alias(f"{name}|min"), (F.max(value).cast("string") if some else F.lit(None).cast("string")).alias(f"{name}|max")]
     one = df.agg(*made)
     entries = F.array(*[F.struct(F.lit(n).alias("column"), F.lit(t).alias("type"), F.lit(k).alias("kind"), F.col(f"`{n}|min`").alias("min"), F.col(f"`{n}|max`").alias("max"), F.col("rows").alias("row_count")) for n, t, k in kinds])
     base = one.select(F.explode(entries).alias("e")).select("e.*")

@@ -143,7 +143,7 @@ per AS (
 def _profile(table: str, columns: list[tuple[str, str]]) -> str:
     rows = []
     for c, kind in columns:
-        edge = (f"min({c})::VARCHAR", f"max({c})::VARCHAR") if kind != "other" else ("NULL", "NULL")
+        edge = (f"min({c} + 0)::VARCHAR", f"max({c} + 0)::VARCHAR") if kind == "numeric" else (f"min({c})::VARCHAR", f"max({c})::VARCHAR") if kind == "date" else ("NULL", "NULL")
         some = f"(SELECT coalesce(string_agg(v, '|' ORDER BY v), '') FROM (SELECT DISTINCT {c}::VARCHAR AS v FROM {table} WHERE {c} IS NOT NULL ORDER BY v LIMIT 4))"
         rows.append(f"SELECT '{c}' AS \"column\", '{kind}' AS kind, {edge[0]} AS min, {edge[1]} AS max, count(*) AS row_count, {some} AS samples FROM {table}")
     return " UNION ALL ".join(rows)
@@ -271,7 +271,7 @@ def oracle_sql() -> dict[str, str]:
     sql["j08_summary"] = f"{scored} SELECT {', '.join(f'round(avg({n}), 4) AS {n}' for n in names)} FROM r"
     sql["a10_metric_files"] = f"{scored} SELECT count(*) AS receipts, round(avg(overall_score), 4) AS mean, round(avg(tax), 4) AS tax, round(avg(overall_score), 4) AS overall_score FROM r"
     sql["d05_topk"] = f"""WITH {_STOCK}, {_NOISY}, {_GRAMS}, {_topk('lower(item_name) AS query FROM noisy')} SELECT query, place::INT AS rank, ingredient AS item, predicted_label AS label,
-      round(round(cosine, 4), 3) AS cosine, round(round(ratio, 4), 3) AS ratio, round(round(score, 4), 3) AS hybrid FROM top WHERE place <= 5"""
+      round(cosine, 4) AS cosine, round(ratio, 4) AS ratio, round(score, 4) AS hybrid FROM top WHERE place <= 5"""
     sql["e15_distinct"] = "SELECT DISTINCT c_mktsegment AS value FROM customer WHERE c_mktsegment IS NOT NULL"
     sql["g03_preview"] = "SELECT o_orderkey, (SELECT count(*) FROM orders) AS total FROM orders ORDER BY 1 LIMIT 30"
     sql |= {f"e11_profile_{t}": _profile(t, [tuple(c.split(":")) for c in cs.split()]) for t, cs in _COLUMNS.items()}

@@ -195,7 +195,7 @@ def e02_serials(spark, sf):
 def d05_topk(spark, sf):
     stock = X.inventory(spark, sf)
     top = similarity.similarity_topk(X.noisy_items(spark, sf).select(F.lower("item_name").alias("query")), similarity.build_tfidf(stock), stock)
-    return top.select("query", "rank", "item", "label", *[F.round(c, 3).alias(c) for c in ("cosine", "ratio", "hybrid")])
+    return top.select("query", "rank", "item", "label", "cosine", "ratio", "hybrid")
 
 
 def d06_expansions(spark, sf):

@@ -33,7 +33,7 @@ def read_bills(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
         if fmt != "csv":
             return spark.read.schema(BILL).format(fmt).load(path)
         names = [f.split()[0] for f in BILL.split(", ")]
-        raw = spark.read.option("header", True).schema(", ".join(f"{n} string" for n in [*names, "_broken"])).option("columnNameOfCorruptRecord", "_broken").csv(path)
+        raw = spark.read.option("header", True).schema(", ".join(f"{n} string" for n in [*names, "_broken"])).option("columnNameOfCorruptRecord", "_broken").option("columnPruning", False).csv(path)  # short rows are told only where all columns are parsed
     except AnalysisException:
         return spark.createDataFrame([], BILL)
     whole = raw.where(F.col("_broken").isNull() | (F.size(F.split("_broken", ",")) >= 9))
