@@ -25,8 +25,8 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str = "bills") -> DataFrame:
+def saved(df: DataFrame, name: str = "bills", compression: str = "snappy") -> DataFrame:
     """df written to the shared folder and read again, which cuts lineage."""
     path = folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
