@@ -234,7 +234,7 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every row; learns from those not held out."""
     named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     spark = docs.sparkSession
-    coded = written(_dictionaries(named, chunk_bytes), "lm-chunks")
+    coded = written(_dictionaries(named, chunk_bytes), "lm-chunks", "zstd")  # the largest table that is kept
     named_words = coded.where("kind = 1").select("chunk", "code", "word", "suffix", "n")
     # a row a word: a common one has as many rows before as there are chunks, and none is gathered
     words = written(named_words.groupBy("word").agg(F.sum("n").alias("c"), F.min("suffix").alias("suffix")), "lm-words")
