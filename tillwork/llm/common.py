@@ -89,6 +89,15 @@ def vocab_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def give_back() -> None:
+    """Returns a worker's freed memory to the system; an idle worker would hold it else."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
 class WordMemo:
     """Distinct words met by a Python worker, with the ids that a tokenizer gave each.
 
@@ -115,10 +124,7 @@ class WordMemo:
         """Gives the memory of another memo back to the system, as a worker may serve one stage after another."""
         if WordMemo.used not in (None, self):
             WordMemo.used.clear()
-            gc.collect()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed memory otherwise
-            if trim:
-                trim(0)
+            give_back()
         WordMemo.used = self
 
     def codes(self, words: list) -> np.ndarray:

@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillwork.llm.common import WordMemo, group_sums, ragged, slices, split_words, table, texts, vocab_file, written
+from tillwork.llm.common import WordMemo, give_back, group_sums, ragged, slices, split_words, table, texts, vocab_file, written
 
 VOCABULARY, SECOND = "piece_bpe_32k.model", "byte_bpe_50k.json"
 SYMBOLS = "#*$%&|<>"
@@ -162,8 +162,8 @@ def _fertility(vocabulary: str, second: str) -> _Fertility:
     return _loaded[key]
 
 
-def measure(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, second: str = SECOND) -> DataFrame:
-    """docs with the columns of COLUMNS, over whole texts."""
+def measure(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, second: str = SECOND, stay: bool = True) -> DataFrame:
+    """docs with the columns of COLUMNS, over whole texts. stay: whether a worker keeps vocabularies and words for its next task, which is faster and takes memory meanwhile."""
     names = [c.split()[0] for c in COLUMNS.split(", ")]
     keep = [c for c in docs.columns if c not in names]
 
@@ -189,6 +189,10 @@ def measure(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, s
                 tokens2, chars / some2, single / some2, entropy2, entropy_excess(entropy2, tokens2),
             ]
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], *map(pa.array, made)], names=[*keep, *names])
+        if not stay:
+            own = WordMemo.used = None
+            _loaded.clear()
+            give_back()
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep]
     return docs.mapInArrow(work, ", ".join([*fields, COLUMNS]))
@@ -261,10 +265,10 @@ def judge(measured: DataFrame, found: DataFrame, lang: str = "lang") -> DataFram
     return out.withColumn("kept", kept).select(*measured.columns, "base_failed", "kept")
 
 
-def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", stay: bool = True) -> DataFrame:
     """doc_id, text_hash (xxhash64 of the text, to tell rows of equal doc_id), measures, base_failed and kept. Measures are written once and read twice; texts aren't."""
     named = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    measured = written(measure(named).drop("text"), "fertility")
+    measured = written(measure(named, stay=stay).drop("text"), "fertility")
     return judge(measured, written(bands(measured), "bands"))
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillwork.llm.common import WordMemo, ragged, slices, split_words, table, texts, vocab_file
+from tillwork.llm.common import WordMemo, give_back, ragged, slices, split_words, table, texts, vocab_file
 
 WINDOW = 2048
 END_ID = 1
@@ -120,10 +120,11 @@ def memo(vocabulary: str) -> WordMemo:
 PIECES = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
-def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, end_id: int = END_ID, vocabulary: str = VOCABULARY, piece: int = 512, group: int = 1500) -> DataFrame:
+def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, end_id: int = END_ID, vocabulary: str = VOCABULARY, piece: int = 512, group: int = 1500, stay: bool = True) -> DataFrame:
     """One row per piece: its place in document and sequence, and its ids as little-endian unsigned 32-bit integers.
 
-    The vocabulary must drop white space and encode words apart from each other, as word_bpe_49k does.
+    The vocabulary must drop white space and encode words apart from each other, as word_bpe_49k does. stay: whether a
+    worker keeps vocabulary and words for its next task, which is faster and takes memory meanwhile.
     """
 
     def work(batches):
@@ -176,6 +177,10 @@ def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 yield emit(full)
         if waiting:
             yield close()
+        if not stay:
+            words = WordMemo.used = None
+            _memos.clear()
+            give_back()
 
     named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return named.mapInArrow(work, PIECES)
