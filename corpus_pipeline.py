@@ -3,6 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
 kept; what it returns is written as Parquet and read again as the next one's docs.
 All but the last return the columns of ``documents``; n_chars follows the text.
+Workers serve one stage after another, so stages leave no vocabularies or words in them.
 """
 
 from __future__ import annotations
@@ -30,11 +31,15 @@ def _staying(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or a fertility band reject go, null and empty texts among them; repeated rows fare alike."""
-    return _staying(docs, quality(docs).where("kept")).select(docs.columns)
+    return _staying(docs, quality(docs, stay=False).where("kept")).select(docs.columns)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each class stays, once if its row is repeated; without ids, every text of a class that has none stays."""
+    """The document of least doc_id of each class stays, once if its row is repeated; without ids, every text of a class that has none stays.
+
+    Fingerprints are op6's: three-word shingles, linked at 3 differing bits or fewer, which catches copies of a similarity over about 0.95
+    (five-word Jaccard) and few under 0.9. Null and empty texts are one class; ties in doc_id go by the text's hash.
+    """
     found = near_duplicates(docs)
     kept = _staying(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
     return kept.dropDuplicates(["doc_id", "__hash"]).select(docs.columns)
@@ -64,7 +69,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences, with their ids (little-endian unsigned 32-bit); null and empty texts are their end token."""
-    return pack_documents(docs)
+    return pack_documents(docs, stay=False)
 
 
 STAGES = [
