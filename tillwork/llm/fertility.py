@@ -170,6 +170,7 @@ def measure(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, s
     def work(batches):
         own = _fertility(vocabulary, second)
         own.memo.take()
+        own.memo.most = 400_000 if stay else 200_000
         for part in slices(batches, text):
             block = texts(part, text)
             codes, bounds, words = split_words(block)

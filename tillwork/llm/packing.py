@@ -132,6 +132,7 @@ def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
         words = memo(vocabulary)
         words.take()
+        words.most = 600_000 if stay else 200_000
         sequence = TaskContext.get().partitionId() << 33
         waiting: list = []
 

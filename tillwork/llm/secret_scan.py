@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import re
 import string
-import uuid
 from re import _parser as sre
 
 import numpy as np
@@ -199,27 +198,38 @@ def _compiled(rules):
     return out
 
 
+def _finder(rules):
+    """A function from a record batch to the spans (start, rule, end) of each text, for use inside a task."""
+    queries = [trigram_query(r[1]) for r in rules]
+    index = BlockIndex(set().union(*map(trigrams_of, queries)))
+    ready = _compiled(rules)
+
+    def find(part: pa.RecordBatch, text: str) -> list[list[tuple]]:
+        block = texts(part, text)
+        postings = index.build(block)
+        chosen = np.array([index.candidates(q, postings) for q in queries]).T
+        found = []
+        for row, which in zip(block, chosen):
+            hits = []
+            if which.any():
+                body = row.as_py()
+                hits = [(s, k, e) for k in np.flatnonzero(which) for s, e in matches(ready[k], body)]
+            found.append(sorted(hits))
+        return found
+
+    return find
+
+
 def scan(docs: DataFrame, text: str = "text", rules=RULES, out: str = "spans") -> DataFrame:
     """docs with a column ``out``: the spans of every rule in whole texts, in code points, by start and then rule."""
     schema = docs.select("*").schema
     rules = tuple(rules)
 
     def work(batches):
-        queries = [trigram_query(r[1]) for r in rules]
-        index = BlockIndex(set().union(*map(trigrams_of, queries)))
-        ready = _compiled(rules)
+        find = _finder(rules)
+        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for part in slices(batches, text):
-            block = texts(part, text)
-            postings = index.build(block)
-            chosen = np.array([index.candidates(q, postings) for q in queries]).T
-            found = []
-            for row, which in zip(block, chosen):
-                hits = []
-                if which.any():
-                    body = row.as_py()
-                    hits = [(s, k, e) for k in np.flatnonzero(which) for s, e in matches(ready[k], body)]
-                found.append([{"kind": rules[k][0], "start": s, "end": e} for s, k, e in sorted(hits)])
-            kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+            found = [[{"kind": rules[k][0], "start": s, "end": e} for s, k, e in hits] for hits in find(part, text)]
             columns = [c for i, c in enumerate(part.columns) if part.schema.names[i] != out]
             names = [n for n in part.schema.names if n != out]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(found, kind)], names=[*names, out])
@@ -233,33 +243,32 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with every span replaced by its kind in brackets; overlapping spans become one, named by the first. Every other column stays."""
-    spans = f"spans_{uuid.uuid4().hex}"
-    found = scan(docs, text, out=spans)
+def redact(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
+    """docs with every span that scan() finds replaced by its kind in brackets; overlapping spans become one, named by the first. Every other column stays."""
+    rules = tuple(rules)
 
-    def clean(body: str, hits: list[dict]) -> str:
+    def clean(body: str, hits: list[tuple]) -> str:
         made, at = [], 0
-        for s in hits:
-            if s["start"] >= at:
-                made += [body[at : s["start"]], f"[{s['kind']}]"]
-            at = max(at, s["end"])
+        for start, k, end in hits:
+            if start >= at:
+                made += [body[at:start], f"[{rules[k][0]}]"]
+            at = max(at, end)
         return "".join([*made, body[at:]])
 
     def work(batches):
-        for batch in batches:
-            named = dict(zip(batch.schema.names, batch.columns))
-            hits = named.pop(spans)
-            some = np.flatnonzero(np.asarray(hits.value_lengths().fill_null(0)))
-            if len(some):
+        find = _finder(rules)
+        for part in slices(batches, text):
+            named = dict(zip(part.schema.names, part.columns))
+            found = find(part, text)
+            some = [i for i, hits in enumerate(found) if hits]
+            if some:
                 body = named[text]
                 mask = np.zeros(len(body), bool)
                 mask[some] = True
-                new = [clean(body[i].as_py(), hits[i].as_py()) for i in some.tolist()]
-                named[text] = pc.replace_with_mask(body, pa.array(mask), pa.array(new, body.type))
+                named[text] = pc.replace_with_mask(body, pa.array(mask), pa.array([clean(body[i].as_py(), found[i]) for i in some], body.type))
             yield pa.RecordBatch.from_arrays(list(named.values()), names=list(named))
 
-    return found.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(work, docs.schema)
 
 
 def op8_secret_scans(spark, sf_dir) -> DataFrame:
