@@ -5,6 +5,7 @@ from __future__ import annotations
 from tillwork.llm.ann import op4_nearest
 from tillwork.llm.byte_bpe import op7_byte_bpe
 from tillwork.llm.chat import OP9_SQL, op9_chat_formatting
+from tillwork.llm.exact_dedup import OP12_SQL, op12_exact_dedup
 from tillwork.llm.fertility import op2_quality_rules
 from tillwork.llm.lm import op10_lm_scoring
 from tillwork.llm.packing import op3_packing
@@ -26,8 +27,9 @@ def queries() -> dict:
         "op8_secret_scans": op8_secret_scans,
         "op9_chat_formatting": op9_chat_formatting,
         "op10_lm_scoring": op10_lm_scoring,
+        "op12_exact_dedup": op12_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_token_counts": OP1_SQL, "op9_chat_formatting": OP9_SQL}
+    return {"op1_token_counts": OP1_SQL, "op9_chat_formatting": OP9_SQL, "op12_exact_dedup": OP12_SQL}
