@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tillwork.functions.folders import folder as scratch  # noqa: F401  used by the operators
 from tillwork.functions.folders import saved as written  # noqa: F401
@@ -143,3 +144,15 @@ class WordMemo:
             base = len(self.index)
             self.index.update(zip(new, range(base, base + len(new))))
         return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+
+
+def ranked(df: DataFrame, order: list[str], name: str = "ranked") -> DataFrame:
+    """df in the order of the columns (nulls first), dealt out by ranges and saved, with __p (number of the range) and __row (increasing within it). No group has to fit into one task."""
+    dealt = df.repartitionByRange(*[F.asc_nulls_first(c) for c in order]).sortWithinPartitions(*[F.asc_nulls_first(c) for c in order])
+    return written(dealt.withColumn("__p", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id()), name)
+
+
+def crc32_sql(text: str) -> str:
+    """SQL of the CRC-32 of ASCII text, bit by bit."""
+    return f"""xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda ch: ord(ch)::BIGINT)),
+      lambda c, o: list_reduce(list_prepend(xor(c, o), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295::BIGINT)"""
