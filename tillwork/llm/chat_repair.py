@@ -307,8 +307,8 @@ letters AS (SELECT conv_id, roles, texts, unnest(string_split(audit, '')) AS let
 run AS (SELECT *, sum((letter <> 'I')::INT) OVER (PARTITION BY conv_id ORDER BY spot)::BIGINT AS row_, sum((letter <> 'D')::INT) OVER (PARTITION BY conv_id ORDER BY spot)::BIGINT AS made FROM letters),
 first AS (SELECT conv_id, coalesce(max((letter = 'K' AND roles[row_][1] = 's')::INT) FILTER (made = 1 AND letter <> 'D'), 0) AS s FROM run GROUP BY 1),
 mended AS (
-  SELECT conv_id, sha256(string_agg(CASE WHEN letter = 'K' THEN roles[row_] WHEN (made - s) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE texts[row_] END, chr(10) ORDER BY spot)) AS h
-  FROM run JOIN first USING (conv_id) WHERE letter <> 'D' GROUP BY 1
+  SELECT run.conv_id, sha256(string_agg(CASE WHEN letter = 'K' THEN roles[row_] WHEN (made - s) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE texts[row_] END, chr(10) ORDER BY spot)) AS h
+  FROM run JOIN first ON first.conv_id IS NOT DISTINCT FROM run.conv_id WHERE letter <> 'D' GROUP BY 1
 )
 SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit,
   coalesce(h, sha256('')) AS repaired_sha256
