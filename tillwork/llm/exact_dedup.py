@@ -98,7 +98,9 @@ def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     open_ = rows.select("row", "key", distinct.alias("n")).join(met, "row").where("met = n")
     reps = written(open_.groupBy("key").agg(F.min("row").alias("rep")), "candidates")
 
-    texts = source.join(reps, "key").select("rep", blocks(normal(F.col("text")), block).alias("blocks"))
+    # texts meet their candidates by a merge at any size, so that what is moved grows as the input does
+    texts = source.join(reps.hint("merge"), "key").select("rep", blocks(normal(F.col("text")), block).alias("blocks"))
+    texts = written(texts, "blocks")
     ids = identities(texts.select("rep", F.size("blocks").alias("n"), F.posexplode("blocks").alias("pos", "block")))
     # repeated rows are one candidate, so where that one has no name it stands for itself
     named = reps.join(ids, "rep", "left").select("key", F.coalesce("level", F.lit(-1)).alias("level"), F.coalesce("name", "rep").alias("name"))
