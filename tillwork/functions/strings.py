@@ -71,27 +71,84 @@ def token_f1(pred, gold) -> Column:
     return F.when((F.size(p) == 0) | (F.size(g) == 0) | (common == 0), F.lit(0.0)).otherwise(2 * precision * recall / (precision + recall))
 
 
+#: Letters in a block of bits: one bit is left for the carry, one for the sign.
+_BLOCK = 62
+_FULL = (1 << _BLOCK) - 1
+
+
+def letters(text: Column) -> Column:
+    """Code points of a text, each as a text."""
+    return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+
+
+def letter_masks(b: Column) -> Column:
+    """The text b as lcs_of_masks wants it: its length, and for each different letter the bits of its places, in blocks of 62."""
+    each = letters(b)
+    blocks = F.ceil(F.length(b) / _BLOCK).cast("int")
+
+    def places(char, chars):
+        def bits(k):
+            run = F.slice(chars, k * _BLOCK + 1, F.lit(_BLOCK))
+            return F.aggregate(F.reverse(run), F.lit(0).cast("bigint"), lambda acc, x: acc + acc + (x == char).cast("bigint"))
+
+        return F.transform(F.sequence(F.lit(0), F.greatest(blocks, F.lit(1)) - 1), bits)
+
+    # the letters are made once, as a bound variable
+    made = F.transform(F.array(each), lambda chars: F.map_from_entries(F.transform(F.array_distinct(chars), lambda c: F.struct(c, places(c, chars)))))
+    return F.struct(F.length(b).alias("length"), F.element_at(made, 1).alias("masks"))
+
+
+def lcs_of_masks(a: Column, masked: Column) -> Column:
+    """Length of the longest common subsequence of a and the text that letter_masks gave.
+
+    Bit-parallel: a bit of the state is off where a longer match ends. Each letter of a takes one addition a block,
+    with a carry from one block to the next, so the path is the same at any length.
+    """
+    blocks = F.greatest(F.ceil(masked["length"] / _BLOCK).cast("int"), F.lit(1))
+    full, none = F.lit(_FULL).cast("bigint"), F.lit(0).cast("bigint")
+
+    def step(state, hits):
+        def block(made, k):
+            v, hit = F.get(state, k), F.get(hits, k)
+            total = v + v.bitwiseAND(hit) + made["carry"]
+            kept = total.bitwiseOR(v.bitwiseAND(F.bitwise_not(hit))).bitwiseAND(full)
+            return F.struct(F.array_append(made["v"], kept).alias("v"), F.shiftright(total, _BLOCK).cast("bigint").alias("carry"))
+
+        start = F.struct(F.array().cast("array<bigint>").alias("v"), none.alias("carry"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(state) - 1), start, block)["v"]
+
+    met = F.filter(F.transform(letters(a), lambda char: F.try_element_at(masked["masks"], char)), lambda hits: hits.isNotNull())  # other letters change nothing
+    last = F.aggregate(met, F.array_repeat(full, blocks), step)
+    off = blocks * _BLOCK - F.aggregate(last, F.lit(0), lambda acc, v: acc + F.bit_count(v))
+    return F.when((F.length(a) == 0) | (masked["length"] == 0), F.lit(0)).otherwise(off)
+
+
 def lcs_length(a: Column, b: Column) -> Column:
     """Length of the longest common subsequence."""
-    letters, n = F.split(b, ""), F.length(b)
-    blank = F.transform(F.sequence(F.lit(0), n), lambda _: F.lit(0))
-
-    def row(before, char):
-        def cell(made, j):
-            better = F.greatest(F.get(before, j), F.element_at(made, -1))
-            return F.array_append(made, F.when(F.get(letters, j - 1) == char, F.get(before, j - 1) + 1).otherwise(better))
+    bound = F.transform(F.array(F.struct(a.alias("a"), letter_masks(b).alias("b"))), lambda p: lcs_of_masks(p["a"], p["b"]))
+    return F.element_at(bound, 1)
 
-        return F.aggregate(F.sequence(F.lit(1), n), F.array(F.lit(0)), cell)
 
-    full = F.element_at(F.aggregate(F.split(a, ""), blank, row), -1)
-    return F.when((F.length(a) == 0) | (n == 0), F.lit(0)).otherwise(full)
+def folded(text) -> Column:
+    """The trimmed, upper-cased text as lcs_ratio compares it; null as empty."""
+    return strip(F.upper(F.coalesce(col(text), F.lit(""))))
 
 
 def lcs_ratio(a, b) -> Column:
     """2 LCS / (m + n) of the trimmed, upper-cased texts; 0 if either is empty."""
-    x, y = (strip(F.upper(F.coalesce(col(c), F.lit("")))) for c in (a, b))
+    bound = F.transform(F.array(F.struct(folded(a).alias("x"), folded(b).alias("y"))), lambda p: _ratio(p["x"], p["y"]))
+    return F.element_at(bound, 1)
+
+
+def _ratio(x: Column, y: Column) -> Column:
     total = F.length(x) + F.length(y)
-    return F.when((F.length(x) == 0) | (F.length(y) == 0), F.lit(0.0)).otherwise(2.0 * lcs_length(x, y) / total)
+    return F.when((F.length(x) == 0) | (F.length(y) == 0), F.lit(0.0)).otherwise(2.0 * lcs_of_masks(x, letter_masks(y)) / total)
+
+
+def ratio_of_masks(a: Column, masked: Column) -> Column:
+    """lcs_ratio of a folded text and the letter_masks of another; masks are made once where one text meets many."""
+    total = F.length(a) + masked["length"]
+    return F.when((F.length(a) == 0) | (masked["length"] == 0), F.lit(0.0)).otherwise(2.0 * lcs_of_masks(a, masked) / total)
 
 
 def can_reach(a, b, ratio: float) -> Column:
@@ -100,18 +157,18 @@ def can_reach(a, b, ratio: float) -> Column:
     return F.least(x, y) >= F.greatest(x, y) * F.lit(ratio / (2 - ratio) - 1e-9)
 
 
-def _sorted_tokens(text) -> Column:
+def sorted_tokens(text) -> Column:
     return F.array_join(F.array_sort(words(F.lower(F.coalesce(col(text), F.lit(""))))), " ")
 
 
 def sorted_length(text) -> Column:
     """Length of the sorted tokens, as token_sort_ratio compares them."""
-    return F.length(F.upper(_sorted_tokens(text)))
+    return F.length(F.upper(sorted_tokens(text)))
 
 
 def token_sort_ratio(a, b) -> Column:
     """lcs_ratio of the sorted tokens, in percent."""
-    return 100 * lcs_ratio(_sorted_tokens(a), _sorted_tokens(b))
+    return 100 * lcs_ratio(sorted_tokens(a), sorted_tokens(b))
 
 
 def looks_like_abbreviation(token) -> Column:
@@ -129,6 +186,12 @@ def is_subsequence(a: Column, b: Column) -> Column:
     return F.regexp_like(b, F.array_join(F.split(a, ""), ".*"))
 
 
+def subsequences(text: Column, length: Column, most: int) -> Column:
+    """The different subsequences of a given length of a text of at most ``most`` letters: an array of 2 ** most entries at the widest."""
+    grown = F.aggregate(letters(F.substring(text, 1, most)), F.array(F.lit("")), lambda acc, c: F.array_distinct(F.concat(acc, F.transform(acc, lambda x: F.concat(x, c)))))
+    return F.filter(grown, lambda x: F.length(x) == length)
+
+
 def skeleton_score(a: Column, w: Column) -> Column:
     """|a| / |w| if a is a subsequence of w, else 0."""
     fits = (F.length(a) > 0) & (F.length(w) > 0) & is_subsequence(a, w)
