@@ -161,6 +161,24 @@ _COLUMNS = {
 }
 
 
+def _counted(train: str, test: str) -> str:
+    """Probabilities p of each label l for the rows (key, text) of ``test``, by add-one counts of 3-grams of the rows (label, text) of ``train``."""
+    grams = "unnest(CASE WHEN length(text) >= 3 THEN list_transform(range(1, length(text) - 1), lambda i: substr(lower(text), i, 3)) WHEN text <> '' THEN [lower(text)] ELSE [] END)"
+    return f"""
+learnt AS (SELECT label, g, count(*) AS c FROM (SELECT label, {grams} AS g FROM ({train}) WHERE text IS NOT NULL AND label IS NOT NULL) GROUP BY ALL),
+bases AS (SELECT label, -ln(sum(c) + (SELECT count(DISTINCT g) FROM learnt)) AS b FROM learnt GROUP BY 1),
+asked AS (SELECT key, g, count(*) AS tf FROM (SELECT key, {grams} AS g FROM ({test})) GROUP BY ALL),
+hits AS (SELECT key, label, sum(tf * ln(c + 1)) AS s FROM asked JOIN learnt USING (g) GROUP BY ALL),
+widths AS (SELECT key, sum(tf) AS n FROM asked GROUP BY 1),
+means AS (SELECT t.key, label, CASE WHEN n > 0 THEN 10 * (coalesce(s, 0) / n + b) ELSE 0 END AS m FROM (SELECT DISTINCT key FROM ({test})) t JOIN bases ON true LEFT JOIN widths USING (key) LEFT JOIN hits USING (key, label)),
+powers AS (SELECT *, exp(m - max(m) OVER (PARTITION BY key)) AS e FROM means),
+chances AS (SELECT key, label, e / sum(e) OVER (PARTITION BY key) AS p FROM powers),
+judged AS (
+  SELECT key, first(label ORDER BY p DESC, label) AS predicted_label, max(p) AS confidence, CASE WHEN max(p) >= 0.85 THEN 'auto' WHEN max(p) >= 0.6 THEN 'verify' ELSE 'human' END AS routing,
+    string_agg(label || '=' || format('{{:.6f}}', round(p, 6)), ';' ORDER BY label) AS all_scores, array_to_string(list_slice(list(label ORDER BY round(p, 6) DESC, label), 1, 3), ',') AS top3 FROM chances GROUP BY key
+)"""
+
+
 def oracle_sql() -> dict[str, str]:
     sql = {}
     fields = {"b01_store": "store", "b02_date": "date", "b03_time": "time", "b04_subtotal": "subtotal", "b05_tax": "tax", "b06_total": "total", "b07_card": "card", "b08_payment_method": "payment_method", "b09_receipt_number": "receipt_number", "b10_items": "items"}
@@ -205,6 +223,19 @@ def oracle_sql() -> dict[str, str]:
         WHERE regexp_full_match(lower(raw), '[a-z]{{1,5}}') AND length(regexp_replace(lower(raw), '[^aeiou]', '', 'g')) <= 1)
       SELECT noisy.ord, count(raw) > 0 AS has_abbreviations, coalesce(bool_or(same), false) AS has_unresolved, coalesce(string_agg(raw, ',' ORDER BY pos) FILTER (same), '') AS unresolved,
         count(DISTINCT raw) FILTER (NOT same) AS n_resolved FROM noisy LEFT JOIN told USING (ord) GROUP BY noisy.ord"""
+    named = "test AS (SELECT DISTINCT item_name AS key, normalized AS text FROM normal)"
+    sql["j05_categorized"] = f"""{noisy}, {normal}, {named}, raws AS (SELECT DISTINCT item_name, unnest(string_split(item_name, ' ')) AS raw FROM noisy),
+      stuck AS (SELECT DISTINCT item_name FROM raws JOIN expanded ON token = lower(raw) WHERE expanded = token AND regexp_full_match(token, '[a-z]{{1,5}}') AND length(regexp_replace(token, '[^aeiou]', '', 'g')) <= 1),
+      said AS (SELECT item_name, predicted_label AS verdict_label, ord % 3 <> 0 AS sure FROM noisy JOIN stock USING (ord) WHERE ord % 4 <> 1),
+      {_counted('SELECT predicted_label AS label, ingredient AS text FROM stock', 'SELECT key, text FROM test')},
+      done AS (SELECT key AS input, text AS normalized, predicted_label, confidence, routing, verdict_label, coalesce(sure, false) AS sure, stuck.item_name IS NOT NULL AS flagged
+        FROM judged JOIN test USING (key) LEFT JOIN said ON said.item_name = key LEFT JOIN stuck ON stuck.item_name = key)
+      SELECT input, normalized, predicted_label, round(confidence, 6) AS confidence, routing, verdict_label,
+        CASE WHEN routing = 'auto' THEN predicted_label WHEN routing = 'verify' AND sure THEN verdict_label ELSE 'HUMAN_REVIEW_NEEDED' END AS final_label,
+        array_to_string(list_filter([CASE WHEN routing = 'human' OR (routing = 'verify' AND NOT sure) THEN 'human_review' ELSE '' END, CASE WHEN (routing = 'verify' AND sure) OR (routing = 'auto' AND flagged) THEN 'low_confidence' ELSE '' END,
+          CASE WHEN flagged THEN 'unresolved' ELSE '' END], lambda q: q <> ''), ',') AS queues FROM done"""
+    sql["j03_scored_items"] = f"""WITH {_LABELLED}, {_SPLIT}, {_counted("SELECT label, text FROM split WHERE split = 'train'", "SELECT doc_id AS key, text FROM split WHERE split = 'test'")}
+      SELECT key AS doc_id, predicted_label, round(confidence, 6) AS confidence, routing, all_scores, top3 FROM judged"""
     sql["e12_idf"] = f"WITH {_STOCK}, {_GRAMS} SELECT gram, df, round(idf, 6) AS idf FROM idf"
     sql["i14_grams"] = f"WITH {_STOCK}, {_GRAMS} SELECT * FROM tf"
     sql["j01_weights"] = f"WITH {_STOCK}, {_GRAMS} SELECT ord, gram, round(weight, 5) AS weight FROM weights"

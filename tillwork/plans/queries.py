@@ -520,17 +520,32 @@ def j02_classifier(spark, sf):
     return metrics.classification_metrics(classify.score_items(rows.where("split = 'test'"), model), "label", "predicted_label").select("accuracy", "macro_f1")
 
 
+def _shown(scores):
+    """A score map as text, by label."""
+    return F.array_join(F.transform(F.array_sort(F.map_entries(scores)), lambda e: F.concat(e["key"], F.lit("="), F.format_number(e["value"], 6))), ";")
+
+
 def j03_scored_items(spark, sf):
-    rows = _trained(spark, sf)
-    model = classify.train_classifier(rows.where("split = 'train'"), "text", "label", features=1 << 12, iterations=5)
-    return classify.score_items(rows.where("split = 'test'"), model).groupBy("predicted_label", "routing").agg(F.count("*").alias("n"))
+    """Test documents by a model table that the train split gave: label, probability, route and the map of all probabilities."""
+    rows = saved(_trained(spark, sf), "labelled")
+    model = saved(classify.count_model(rows.where("split = 'train'"), "text", "label"), "model")
+    scored = classify.score_items(rows.where("split = 'test'"), model, "text", "doc_id")
+    top = F.array_join(F.transform(classify.top_scores(F.col("all_scores"), 3), lambda e: e["key"]), ",")
+    return scored.select("doc_id", "predicted_label", F.round("confidence", 6).alias("confidence"), "routing", _shown(F.col("all_scores")).alias("all_scores"), top.alias("top3"))
+
+
+def _verdicts(spark, sf):
+    """A reviewer's answers for the items of every other ord: the catalogue's own label, of low confidence for some."""
+    both = X.noisy_items(spark, sf).join(X.inventory(spark, sf).select("ord", "predicted_label"), "ord").where("ord % 4 <> 1")
+    return both.select(F.col("item_name").alias("input"), F.col("predicted_label").alias("verdict_label"), F.when(F.col("ord") % 3 == 0, "low").otherwise("high").alias("verdict_confidence"))
 
 
 def j05_categorized(spark, sf):
-    stock = X.inventory(spark, sf)
-    model = classify.train_classifier(stock, "ingredient", "predicted_label", features=1 << 10, iterations=10)
-    done, entered = classify.categorize(X.noisy_items(spark, sf), model, vocab.build_vocab(X.english(spark, sf), "text"))
-    return entered.groupBy("queue").agg(F.count("*").alias("n"))
+    """Items by the catalogue's model table: probability, route, verdict, final label and the review queues they enter."""
+    model = saved(classify.count_model(X.inventory(spark, sf), "ingredient", "predicted_label"), "model")
+    done, entered = classify.categorize(X.noisy_items(spark, sf), model, vocab.build_vocab(X.english(spark, sf), "text"), _verdicts(spark, sf))
+    queued = entered.groupBy("input").agg(F.array_join(F.array_sort(F.collect_list("queue")), ",").alias("queues"))
+    return done.join(queued, "input", "left").select("input", "normalized", "predicted_label", F.round("confidence", 6).alias("confidence"), "routing", "verdict_label", "final_label", F.coalesce("queues", F.lit("")).alias("queues"))
 
 
 def s01_ingest_stream(spark, sf):
@@ -556,9 +571,9 @@ def s03_route_stream(spark, sf):
 
 
 def s04_history_stream(spark, sf):
-    stream, path = jobs.in_parts(X.chat(spark, sf), "turn", 3, folder(spark, "messages")), folder(spark, "history")
-    jobs.history_stream(stream, path, folder(spark, "offsets"), 2, "conv_id").awaitTermination()
-    return jobs.latest_history(spark, path, "conv_id").select("conv_id", "turn")
+    stream, checkpoint = jobs.in_parts(X.chat(spark, sf), "turn", 3, folder(spark, "messages")), folder(spark, "history")
+    jobs.history_stream(stream, checkpoint, 2, "conv_id").awaitTermination()
+    return jobs.latest_history(spark, checkpoint, "conv_id").select("conv_id", "turn")
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import heapq
+from contextlib import contextmanager
+from itertools import chain
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
-from tillwork.functions.messages import last_turns, route_messages
+from tillwork.functions.messages import route_messages
 from tillwork.operators.dedup import assign_serials, resolve_batch
 
 SUBMISSION = "bill_id bigint, image_hash string, store string, date date, total decimal(12,2)"
@@ -45,29 +50,61 @@ def route_stream(stream: DataFrame, text: str = "text") -> DataFrame:
     return route_messages(stream, text)
 
 
-def history_batch(batch: DataFrame, batch_id: int, path: str, pairs: int = 20, session: str = "session_id", order: str = "turn") -> None:
-    """Keeps the last messages of the batch's sessions: those of their newest stored states and of the batch. Other sessions are not written again."""
-    spark = batch.sparkSession
+#: Session settings that a query with keyed state starts with. RocksDB holds the state outside the heap; without empty batches, a run over what is there ends.
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
+
+
+@contextmanager
+def _settings(spark: SparkSession, values: dict):
+    """Settings that hold while a query starts, which keeps them; others are as before."""
+    before = {k: spark.conf.get(k, None) for k in values}
     try:
-        held = spark.read.parquet(path).where(F.col("state") < batch_id)
-        before = _newest(held.join(batch.select(session).distinct(), session, "left_semi"), session).drop("state")
-    except AnalysisException:
-        before = batch.limit(0)
-    last_turns(before.select(batch.columns).unionByName(batch), pairs, session, order).write.mode("overwrite").parquet(f"{path}/state={batch_id}")
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
 
+class LastTurns(StatefulProcessor):
+    """Keeps the last ``keep`` rows of a session, in order, for ``ttl`` milliseconds from when they were kept last."""
 
-def _newest(held: DataFrame, session: str) -> DataFrame:
-    """The rows of each session's newest state."""
-    last = held.groupBy(session).agg(F.max("state").alias("state"))
-    return held.join(last, [session, "state"], "left_semi")
+    def __init__(self, schema: StructType, order: str, keep: int, ttl: int):
+        self.schema, self.order, self.keep, self.ttl = schema, order, keep, ttl
 
+    def init(self, handle) -> None:
+        self.turns = handle.getListState("turns", self.schema, self.ttl)
 
-def history_stream(stream: DataFrame, path: str, checkpoint: str, pairs: int = 20, session: str = "session_id", order: str = "turn") -> StreamingQuery:
-    return stream.writeStream.foreachBatch(lambda df, n: history_batch(df, n, path, pairs, session, order)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def handleInputRows(self, key, rows, timerValues):
+        names = self.schema.names
+        at = names.index(self.order)
+        seen = chain((tuple(r) for r in self.turns.get()), (tuple(r[n] for n in names) for r in rows))
+        last = heapq.nlargest(self.keep, seen, key=lambda r: (r[at] is not None, r[at]))  # holds ``keep`` rows, however many come
+        self.turns.put(last[::-1])
+        yield Row(session=key[0], held=len(last))
 
+    def close(self) -> None:
+        pass
 
-def latest_history(spark: SparkSession, path: str, session: str = "session_id") -> DataFrame:
-    return _newest(spark.read.parquet(path), session).drop("state")
+
+def history_stream(stream: DataFrame, checkpoint: str, pairs: int = 20, session: str = "session_id", order: str = "turn", days: float = 30) -> StreamingQuery:
+    """Keeps each session's last 2 * pairs messages as keyed state: a batch reads and writes the sessions it has messages of, and a session that is silent for ``days`` is forgotten."""
+    held = StructType([f for f in stream.schema if f.name != session])
+    processor = LastTurns(held, order, 2 * pairs, int(days * 86_400_000))
+    with _settings(stream.sparkSession, _STATE):
+        kept = stream.groupBy(session).transformWithState(processor, f"session {stream.schema[session].dataType.simpleString()}, held int", "Update", "ProcessingTime")
+        return kept.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_history(spark: SparkSession, checkpoint: str, session: str = "session_id") -> DataFrame:
+    """The messages that history_stream holds, by its state."""
+    state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "turns").load()
+    alive = state.where(F.col("list_element.ttlExpirationMs") > F.unix_millis(F.current_timestamp()))
+    return alive.select(F.col(f"key.{session}").alias(session), "list_element.value.*")
 
 
 def in_parts(df: DataFrame, order: str, parts: int, path: str) -> DataFrame:
@@ -78,9 +115,3 @@ def in_parts(df: DataFrame, order: str, parts: int, path: str) -> DataFrame:
     for i in range(parts):
         df.where(part == i).coalesce(1).write.mode("overwrite").parquet(f"{path}/part={i}")
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(path)
-
-
-def first_per_window(df: DataFrame, time: str, key: str) -> DataFrame:
-    """Batch counterpart of dedup_stream where the watermark covers everything: the first row of each key."""
-    w = Window.partitionBy(key).orderBy(time)
-    return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
