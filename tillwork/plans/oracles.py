@@ -205,7 +205,6 @@ def oracle_sql() -> dict[str, str]:
     sql["d02_find_duplicates"] = f"WITH {_SUBMISSIONS} SELECT bill_id, k * 10 AS dup_of, CASE v WHEN 1 THEN 'hash' ELSE 'content' END AS layer FROM versions WHERE v IN (1, 2)"
     sql["d04_resolve_batch"] = f"WITH {_SUBMISSIONS} SELECT bill_id, v IN (0, 3) AS accepted, CASE WHEN v IN (1, 2) THEN k * 10 END AS dup_of, CASE v WHEN 1 THEN 'hash' WHEN 2 THEN 'content' END AS layer FROM versions"
     sql["e02_serials"] = f"WITH {_SUBMISSIONS} SELECT bill_id, (SELECT max(k) * 10 FROM versions) + row_number() OVER (ORDER BY bill_id) AS serial_no FROM versions WHERE v > 0"
-    sql["s01_ingest_stream"] = f"WITH {_SUBMISSIONS} SELECT bill_id, row_number() OVER (ORDER BY bill_id) AS serial_no FROM versions WHERE v IN (0, 3)"
     sql["s02_dedup_stream"] = f"WITH {_SUBMISSIONS} SELECT md5(CASE v WHEN 2 THEN 'x' WHEN 3 THEN 'y' ELSE '' END || k) AS image_hash FROM versions WHERE v <> 1"
     sql["s03_route_stream"] = f"WITH {_CHAT} SELECT conv_id, turn, CASE WHEN coalesce({_QUESTION}, false) THEN 'question' ELSE 'help' END AS route FROM chat"
     sql["f05_last_turns"] = sql["s04_history_stream"] = "SELECT conv_id, turn FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4"
@@ -318,7 +317,17 @@ def oracle_sql() -> dict[str, str]:
     sql["f08_running"] = f"WITH {_ITEMS}, m AS (SELECT store_name, strftime(invoice_date, '%Y-%m') AS month, sum(total) AS spend FROM bills GROUP BY 1, 2) SELECT store_name, month, spend::DOUBLE AS spend, (sum(spend) OVER (PARTITION BY store_name ORDER BY month))::DOUBLE AS running FROM m"
     sql["e16_ad_hoc"] = f"""WITH {_ITEMS}, m AS (SELECT store_name, year(invoice_date)::INT AS y, sum(item_price) AS s FROM items WHERE item_price IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1)
       SELECT * FROM (SELECT store_name, y, s::DOUBLE AS s, rank() OVER (PARTITION BY y ORDER BY s DESC, store_name) AS place FROM m WHERE s > (SELECT avg(s) FROM m)) WHERE NOT (y = 1995 AND place = 1)"""
-    sql["j07_ingest"] = f"""WITH {_RECEIPTS}, {_STOCK}, c AS (SELECT l_orderkey AS receipt_id, max(predicted_label) AS category FROM lines LEFT JOIN stock ON lower(ingredient) = lower(p_name) GROUP BY 1),
-      b AS (SELECT receipt_id * 10 AS bill_id, receipt_id, n, cents FROM truth UNION ALL SELECT receipt_id * 10 + 1, receipt_id, n, cents FROM truth WHERE receipt_id % 40 = 0 AND date = '')
-      SELECT row_number() OVER (ORDER BY bill_id) AS serial_no, bill_id, n AS rows, (cents / 100)::DOUBLE AS items_total, category FROM b JOIN c USING (receipt_id)"""
+    # item names are the catalogue's, so each is normalised and judged once
+    tok = "tok AS (SELECT unnest(string_split(lower(ingredient), ' ')) AS token FROM stock)"
+    sql["j07_ingest"] = sql["s01_ingest_stream"] = f"""WITH {_RECEIPTS}, {_STOCK}, {_WORDS[1:]}, {tok}, {_expanded('tok')},
+      named AS (SELECT upper(ingredient) AS key, array_to_string(list_transform(string_split(lower(ingredient), ' '), lambda t: m[t]), ' ') AS text FROM stock, (SELECT map_from_entries(list(row(token, expanded))) AS m FROM expanded)),
+      stuck AS (SELECT DISTINCT upper(ingredient) AS key FROM (SELECT ingredient, unnest(string_split(lower(ingredient), ' ')) AS token FROM stock) JOIN expanded USING (token)
+        WHERE expanded = token AND regexp_full_match(token, '[a-z]{{1,5}}') AND length(regexp_replace(token, '[^aeiou]', '', 'g')) <= 1),
+      {_counted('SELECT predicted_label AS label, ingredient AS text FROM stock', 'SELECT key, text FROM named')},
+      b AS (SELECT *, receipt_id * 10 AS bill_id FROM truth UNION ALL SELECT *, receipt_id * 10 + 1 FROM truth WHERE receipt_id % 40 = 0 AND date = ''),
+      numbered AS (SELECT *, row_number() OVER (ORDER BY bill_id) AS serial_no FROM b)
+      SELECT serial_no, bill_id, bill_id || '.jpg' AS bill_file, store AS store_name, nullif(date, '') AS invoice_date, total, card AS card_used, bill_id AS received_at, '+' || (bill_id % 97) AS sender, md5(bill_id::VARCHAR) AS image_hash,
+        upper(p_name) AS item_name, (lines.cents / 100)::DOUBLE AS item_price, CASE WHEN routing = 'auto' THEN predicted_label ELSE 'HUMAN_REVIEW_NEEDED' END AS grocery_category, routing, round(confidence, 6) AS confidence,
+        array_to_string(list_filter([CASE WHEN routing <> 'auto' THEN 'human_review' ELSE '' END, CASE WHEN routing = 'auto' AND stuck.key IS NOT NULL THEN 'low_confidence' ELSE '' END, CASE WHEN stuck.key IS NOT NULL THEN 'unresolved' ELSE '' END], lambda q: q <> ''), ',') AS queues
+      FROM numbered JOIN lines ON l_orderkey = receipt_id JOIN judged ON judged.key = upper(p_name) LEFT JOIN stuck ON stuck.key = upper(p_name)"""
     return sql

@@ -12,7 +12,7 @@ from tillwork.functions.folders import folder, saved
 from tillwork.operators import classify, dedup, metrics, prep, similarity, spend, vocab
 from tillwork.operators.profile import distinct_values, preview, profile, profile_lines
 from tillwork.plans import fixtures as X
-from tillwork.sources import tables as T
+from tillwork.sources import bill_store, tables as T
 from tillwork.streaming import jobs
 
 FIELDS = {
@@ -491,21 +491,33 @@ def c10_date_range(spark, sf):
     return spark.sql("SELECT count(DISTINCT serial_no) AS bills FROM data WHERE invoice_date >= DATE '1997-03-01' - INTERVAL 1 MONTH AND invoice_date < DATE '1997-03-01'")
 
 
-def j07_ingest(spark, sf):
-    """Receipt text to stored bills: extraction, duplicate resolution, serial numbers, item rows with their categories, appended to the bill table."""
+def _submitted(spark, sf):
+    """Receipts as they arrive, with file, sender, time and image hash; every 40th is sent again with another image."""
     text = X.receipts(spark, sf)
     twice = text.select((F.col("receipt_id") * 10).alias("bill_id"), "text").unionByName(text.where("receipt_id % 40 = 0").select((F.col("receipt_id") * 10 + 1).alias("bill_id"), F.concat("text", F.lit("\nCOPY")).alias("text")))
-    got = R.extract_receipts(twice.withColumn("image_hash", F.md5("text")))
-    bills = got.select("bill_id", "image_hash", "store", F.to_date(F.nullif("date", F.lit(""))).alias("date"), F.col("total").cast("decimal(12,2)").alias("total"), "items")
-    bills = saved(bills)  # extraction runs once
-    kept = dedup.resolve_batch(bills).where("accepted").select("bill_id")
-    numbered = dedup.assign_serials(bills.join(kept, "bill_id", "left_semi"), spark.createDataFrame([], "serial_no bigint"))
-    stock = X.inventory(spark, sf).select("ingredient", F.col("predicted_label").alias("grocery_category"))
-    rows = T.bill_rows(numbered).withColumn("ingredient", F.lower("item_name")).join(stock, "ingredient", "left")
-    path = folder(spark, "bills-table")
-    T.append_bills(rows.select("serial_no", "bill_id", "store", "date", "total", "item_name", "item_price", "grocery_category"), path)
-    held = spark.read.parquet(path)
-    return held.groupBy("serial_no", "bill_id").agg(F.count("*").alias("rows"), F.sum("item_price").cast("double").alias("items_total"), F.max("grocery_category").alias("category"))
+    k = F.col("bill_id")
+    return twice.select(k, F.concat(k.cast("string"), F.lit(".jpg")).alias("bill_file"), F.concat(F.lit("+"), (k % 97).cast("string")).alias("sender"), F.timestamp_seconds(k).alias("received_at"), F.md5(k.cast("string")).alias("image_hash"), "text")
+
+
+def _ingest_options(spark, sf):
+    model = saved(classify.count_model(X.inventory(spark, sf), "ingredient", "predicted_label"), "model")
+    return {"model": model, "words": saved(vocab.build_vocab(X.english(spark, sf), "text"), "words")}
+
+
+def _stored(spark, path):
+    """Every item row of the store, with the queues that it is in."""
+    queues = bill_store.read(spark, path, "queues", jobs.QUEUED).select("serial_no", "item_name", "queue").distinct()
+    queues = queues.groupBy("serial_no", "item_name").agg(F.array_join(F.array_sort(F.collect_list("queue")), ",").alias("queues"))  # of three at most
+    items = bill_store.read(spark, path, "items", jobs.ITEMS).join(queues, ["serial_no", "item_name"], "left")
+    shown = {"invoice_date": F.col("invoice_date").cast("string"), "total": F.col("total").cast("double"), "item_price": F.col("item_price").cast("double"), "received_at": F.unix_timestamp("received_at"), "confidence": F.round("confidence", 6), "queues": F.coalesce("queues", F.lit(""))}
+    return items.withColumns(shown).drop("version")
+
+
+def j07_ingest(spark, sf):
+    """Receipt text to stored bills in one commit: extraction, duplicate resolution, serial numbers, item rows with modelled categories, review queues."""
+    path = folder(spark, "bill-store")
+    jobs.ingest_receipts(_submitted(spark, sf), 0, path, **_ingest_options(spark, sf))
+    return _stored(spark, path)
 
 
 def _trained(spark, sf):
@@ -549,12 +561,11 @@ def j05_categorized(spark, sf):
 
 
 def s01_ingest_stream(spark, sf):
-    """Submissions as a stream of four files, each resolved against what is stored: the same bills as in one batch."""
-    rows = X.submissions(spark, sf)
-    stream = jobs.in_parts(rows, "bill_id", 4, folder(spark, "arrivals"))
-    path = folder(spark, "bills-table")
-    jobs.start_ingest_stream(stream, path, folder(spark, "offsets")).awaitTermination()
-    return jobs.stored_bills(spark, path).select("bill_id", "serial_no")
+    """The same receipts as a stream of two files, each resolved against what is stored: the same bills, items and queues as in one batch."""
+    stream = jobs.in_parts(_submitted(spark, sf), "bill_id", 2, folder(spark, "arrivals"))
+    path = folder(spark, "bill-store")
+    jobs.start_ingest_stream(stream, path, folder(spark, "offsets"), jobs.ingest_receipts, **_ingest_options(spark, sf)).awaitTermination()
+    return _stored(spark, path)
 
 
 def s02_dedup_stream(spark, sf):

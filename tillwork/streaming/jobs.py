@@ -10,35 +10,77 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 from pyspark.sql.types import StructType
-from pyspark.sql.utils import AnalysisException
 
+from tillwork.functions.folders import saved
 from tillwork.functions.messages import route_messages
+from tillwork.functions.receipts import extract_receipts
+from tillwork.operators.classify import categorize
 from tillwork.operators.dedup import assign_serials, resolve_batch
+from tillwork.sources import bill_store
+from tillwork.sources.tables import bill_rows
 
 SUBMISSION = "bill_id bigint, image_hash string, store string, date date, total decimal(12,2)"
+#: What is stored of an accepted bill, of its items, and of the items that enter a review queue.
+BILLS = f"{SUBMISSION}, serial_no bigint, bill_file string, sender string, received_at timestamp, time string, subtotal double, tax double, card string, payment_method string, receipt_number string"
+ITEMS = (
+    "serial_no bigint, bill_id bigint, bill_file string, store_name string, invoice_date date, total decimal(12,2), card_used string, received_at timestamp, sender string, image_hash string, "
+    "item_name string, item_price decimal(12,2), grocery_category string, routing string, confidence double"
+)
+QUEUED = "queue string, serial_no bigint, item_name string, normalized string, predicted_label string, confidence double, routing string"
+RECEIPT = "bill_id bigint, bill_file string, sender string, received_at timestamp, image_hash string, text string"
+
+
+def _columns(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
 
 
 def stored_bills(spark: SparkSession, path: str, schema: str = SUBMISSION) -> DataFrame:
     """Accepted bills of the batches stored so far, with their serial numbers."""
-    whole = f"{schema}, serial_no bigint, batch bigint"
-    try:
-        return spark.read.schema(whole).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], whole)
+    return bill_store.read(spark, path, "bills", f"{schema}, serial_no bigint")
 
 
-def ingest_batch(batch: DataFrame, batch_id: int, path: str, schema: str = SUBMISSION) -> None:
-    """Stores a batch's accepted bills, numbered on from the batches before it. A replayed batch is resolved against these and overwrites its own folder, so it has no further effect."""
-    spark = batch.sparkSession
-    history = stored_bills(spark, path, schema).where(F.col("batch") < batch_id).drop("batch")
-    rows = batch.select(*[c.split()[0] for c in schema.split(", ")])
-    accepted = resolve_batch(rows, history.drop("serial_no")).where("accepted").select("bill_id")
-    assign_serials(rows.join(accepted, "bill_id", "left_semi"), history).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+def _accepted(rows: DataFrame, spark: SparkSession, path: str, log: list[dict]) -> DataFrame:
+    """Bills that neither the stored ones nor earlier ones of the batch have, numbered on from the stored ones."""
+    history = bill_store.read(spark, path, "bills", f"{SUBMISSION}, serial_no bigint", log)
+    accepted = resolve_batch(rows.select(*_columns(SUBMISSION)), history.select(*_columns(SUBMISSION))).where("accepted").select("bill_id")
+    return assign_serials(rows.join(accepted, "bill_id", "left_semi"), history)
 
 
-def start_ingest_stream(stream: DataFrame, table_path: str, checkpoint: str) -> StreamingQuery:
-    """Resolves each micro-batch of submissions against all stored bills and stores what is accepted."""
-    return stream.writeStream.foreachBatch(lambda df, n: ingest_batch(df, n, table_path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def ingest_batch(batch: DataFrame, batch_id: int, path: str, source: str = "stream") -> int:
+    """Stores a batch's accepted submissions; a replayed batch has no further effect, and writers at once don't meet in a version (sources.bill_store)."""
+    spark, rows = batch.sparkSession, saved(batch.select(*_columns(SUBMISSION)), "batch")
+    return bill_store.commit(spark, path, f"{source}-{batch_id}", lambda log: {"bills": _accepted(rows, spark, path, log)})
+
+
+def ingest_receipts(batch: DataFrame, batch_id: int, path: str, model: DataFrame, words: DataFrame, verdicts: DataFrame | None = None, source: str = "stream") -> int:
+    """Receipts (RECEIPT) to stored bills, item rows with categories, and review queues, in one commit.
+
+    Fields are extracted once. Each attempt resolves the batch against the bills stored by then and numbers the accepted
+    ones. Item names are categorised once each, by a model table and a vocabulary, with a reviewer's verdicts if there are any.
+    """
+    spark = batch.sparkSession
+    got = extract_receipts(batch.select(*_columns(RECEIPT), F.col("bill_id").alias("receipt_id")))
+    typed = got.withColumn("date", F.to_date(F.nullif("date", F.lit("")))).withColumn("total", F.col("total").cast("decimal(12,2)"))
+    rows = saved(typed.select(*[c for c in _columns(BILLS) if c != "serial_no"], "items"), "extracted")
+    names = bill_rows(rows.select("items")).select("item_name").distinct()
+    done, entered = categorize(names, model, words, verdicts)
+    done = saved(done.select("input", "normalized", "predicted_label", "confidence", "routing", "final_label"), "categorised")
+    entered = saved(entered.select("input", "queue"), "entered")
+
+    def build(log):
+        bills = saved(_accepted(rows, spark, path, log), "accepted")
+        items = bill_rows(bills).join(done, F.col("item_name") == F.col("input"), "left")
+        items = items.withColumns({"store_name": F.col("store"), "invoice_date": F.col("date"), "card_used": F.col("card"), "grocery_category": F.col("final_label")})
+        items = saved(items.select(*_columns(ITEMS), "input", "normalized", "predicted_label"), "items")
+        queued = items.join(entered, "input").select("queue", *[c for c in _columns(QUEUED) if c != "queue"])
+        return {"bills": bills.select(*_columns(BILLS)), "items": items.select(*_columns(ITEMS)), "queues": queued}
+
+    return bill_store.commit(spark, path, f"{source}-{batch_id}", build)
+
+
+def start_ingest_stream(stream: DataFrame, table_path: str, checkpoint: str, ingest=ingest_batch, **options) -> StreamingQuery:
+    """Resolves each micro-batch against all stored bills and stores what is accepted. ingest: ingest_batch for submissions, ingest_receipts (with its options) for receipts."""
+    return stream.writeStream.foreachBatch(lambda df, n: ingest(df, n, table_path, **options) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def dedup_stream(stream: DataFrame, watermark: str, time: str = "arrived", key: str = "image_hash") -> DataFrame:
