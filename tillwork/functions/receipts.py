@@ -50,6 +50,10 @@ def _upper_lines(text) -> Column:
     return F.transform(lines(text), F.upper)
 
 
+#: Columns that extract_receipts makes once for all fields: lines, and lines in upper case.
+_LINES, _UPPER = "__lines", "__upper"
+
+
 def _holds(line: Column, words) -> Column:
     found = F.lit(False)
     for w in words:
@@ -76,9 +80,10 @@ def detect_store(text) -> Column:
 def extract_date(text) -> Column:
     """yyyy-MM-dd of the first hit that parses, all hits of a pattern before the next pattern's; empty if none."""
     flat = F.regexp_replace(F.translate(_text(text), "|,", "  "), r"\s+", " ")
-    hits = F.concat(*[F.regexp_extract_all(flat, F.lit(f"(?i){p}"), F.lit(0)) for p in DATE_PATTERNS])
-    dates = F.transform(hits, lambda h: F.coalesce(*[as_date(h, f) for f in DATE_FORMATS]))
-    return F.coalesce(F.date_format(_first(F.filter(dates, lambda d: d.isNotNull())), "yyyy-MM-dd"), F.lit(""))
+    hits = lambda p: F.regexp_extract_all(flat, F.lit(f"(?i){p}"), F.lit(0))
+    dates = lambda p: F.transform(hits(p), lambda h: F.coalesce(*[as_date(h, f) for f in DATE_FORMATS]))
+    first = F.coalesce(*[_first(F.filter(dates(p), lambda d: d.isNotNull())) for p in DATE_PATTERNS])  # a later pattern is looked at only where none before gave a date
+    return F.coalesce(F.date_format(first, "yyyy-MM-dd"), F.lit(""))
 
 
 def extract_time(text) -> Column:
@@ -86,26 +91,26 @@ def extract_time(text) -> Column:
     return F.coalesce(*found, F.lit(""))
 
 
-def _labelled(text, good) -> Column:
-    money = F.transform(F.filter(_upper_lines(text), good), lambda x: F.regexp_extract(x, MONEY, 0))
+def _labelled(upper, good) -> Column:
+    money = F.transform(F.filter(upper, good), lambda x: F.regexp_extract(x, MONEY, 0))
     return _amount(_first(F.filter(money, lambda m: m != "")))
 
 
-def extract_subtotal(text) -> Column:
-    return _labelled(text, lambda x: _holds(x, ("SUBTOTAL", "SUB TOTAL", "SUB-TOTAL")))
+def extract_subtotal(text, upper: Column | None = None) -> Column:
+    return _labelled(_upper_lines(text) if upper is None else upper, lambda x: _holds(x, ("SUBTOTAL", "SUB TOTAL", "SUB-TOTAL")))
 
 
-def extract_tax(text) -> Column:
-    return _labelled(text, lambda x: x.rlike(r"\bTAX\b") & ~x.contains("TOTAL"))
+def extract_tax(text, upper: Column | None = None) -> Column:
+    return _labelled(_upper_lines(text) if upper is None else upper, lambda x: x.rlike(r"\bTAX\b") & ~x.contains("TOTAL"))
 
 
-def extract_total(text, rule: str = "max") -> Column:
+def extract_total(text, rule: str = "max", upper: Column | None = None) -> Column:
     """Greatest amount in (0, 20000) on keyword lines, else on any line. rule="last_total": the last line with TOTAL and no SUBTOTAL, where there is one."""
 
     def amounts(some):
         return F.filter(F.flatten(F.transform(some, lambda x: F.transform(F.regexp_extract_all(F.regexp_replace(x, ",", ""), F.lit(r"\d+\.\d{2}"), F.lit(0)), lambda m: m.try_cast("double")))), lambda v: (v > 0) & (v < 20000))
 
-    every = _upper_lines(text)
+    every = _upper_lines(text) if upper is None else upper
     found = F.coalesce(F.array_max(amounts(F.filter(every, lambda x: _holds(x, TOTAL_WORDS)))), F.array_max(amounts(every)))
     if rule == "last_total":
         own = F.filter(every, lambda x: x.rlike(r"\bTOTAL\b") & ~x.rlike(r"SUB[ -]?TOTAL"))
@@ -113,12 +118,12 @@ def extract_total(text, rule: str = "max") -> Column:
     return found
 
 
-def extract_card_last4(text) -> Column:
+def extract_card_last4(text, made: Column | None = None) -> Column:
     def of(line):
         keyed = F.when(_holds(F.upper(line), CARD_WORDS), F.nullif(F.regexp_extract(line, r"\d{4}", 0), F.lit("")))
         return F.coalesce(keyed, F.nullif(F.regexp_extract(line, r"[Xx*]{4,}(\d{4})", 1), F.lit("")))
 
-    return F.coalesce(_first(F.filter(F.transform(lines(text), of), lambda c: c.isNotNull())), F.lit("cash"))
+    return F.coalesce(_first(F.filter(F.transform(lines(text) if made is None else made, of), lambda c: c.isNotNull())), F.lit("cash"))
 
 
 def extract_payment_method(text) -> Column:
@@ -130,19 +135,20 @@ def extract_receipt_number(text) -> Column:
     return F.coalesce(*[F.nullif(F.regexp_extract(_text(text), p, 1), F.lit("")) for p in NUMBER_PATTERNS], F.lit(""))
 
 
-def extract_items(text) -> Column:
+def extract_items(text, made: Column | None = None) -> Column:
     """Array of (name, price) of money lines that hold no skip word."""
-    money = F.filter(lines(text), lambda x: x.rlike(MONEY) & ~_holds(F.upper(x), SKIP_WORDS))
+    money = F.filter(lines(text) if made is None else made, lambda x: x.rlike(MONEY) & ~_holds(F.upper(x), SKIP_WORDS))
     items = F.transform(money, lambda x: F.struct(F.btrim(F.regexp_replace(x, MONEY, ""), F.lit(" .-@#*/\\")).alias("name"), F.regexp_extract(x, MONEY, 0).alias("price")))
     return F.filter(items, lambda i: F.length(i["name"]) >= 2)
 
 
 def extract_receipts(receipts: DataFrame, text: str = "text", total_rule: str = "max") -> DataFrame:
-    """receipts with every field; one select, no Python."""
-    t = F.col(text)
-    return receipts.select(
+    """receipts with every field; no Python. Lines are split and trimmed once for all fields."""
+    t, made, upper = F.col(text), F.col(_LINES), F.col(_UPPER)
+    split = receipts.withColumn(_LINES, lines(t)).withColumn(_UPPER, F.transform(_LINES, F.upper))
+    return split.select(
         *[c for c in receipts.columns if c != text],
-        detect_store(t).alias("store"), extract_date(t).alias("date"), extract_time(t).alias("time"), extract_subtotal(t).alias("subtotal"), extract_tax(t).alias("tax"),
-        extract_total(t, total_rule).alias("total"), extract_card_last4(t).alias("card"), extract_payment_method(t).alias("payment_method"),
-        extract_receipt_number(t).alias("receipt_number"), extract_items(t).alias("items"),
+        detect_store(t).alias("store"), extract_date(t).alias("date"), extract_time(t).alias("time"), extract_subtotal(t, upper).alias("subtotal"), extract_tax(t, upper).alias("tax"),
+        extract_total(t, total_rule, upper).alias("total"), extract_card_last4(t, made).alias("card"), extract_payment_method(t).alias("payment_method"),
+        extract_receipt_number(t).alias("receipt_number"), extract_items(t, made).alias("items"),
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
@@ -18,25 +18,29 @@ def kind_of(spark_type: str) -> str:
 def profile(df: DataFrame, samples: int = 4) -> DataFrame:
     """One row per column: type, kind, the first samples in sorted order, min and max of numbers and dates, and row_count.
 
-    One pass gives the aggregates and another the samples: rows become (column, value)
-    rows, and every task keeps the least values of each column before any shuffle.
+    Each pass over the rows is one aggregation without keys, so a task sends one row, whatever the table holds: the first
+    pass gives counts, bounds and each column's least value as text, each further one the least value after the last.
     """
     kinds = [(f.name, f.dataType.simpleString(), kind_of(f.dataType.simpleString())) for f in df.schema]
     text = lambda c: F.col(f"`{c}`").cast("string")
     made = [F.count("*").alias("rows")]
-    for name, dtype, kind in kinds:
-        some = kind != "other"
+    for i, (name, dtype, kind) in enumerate(kinds):
         value = F.col(f"`{name}`") + F.lit(0.0) if dtype in ("float", "double") else F.col(f"`{name}`")  # no negative zero
-        made += [(F.min(value).cast("string") if some else F.lit(None).cast("string")).alias(f"{name}|min"), (F.max(value).cast("string") if some else F.lit(None).cast("string")).alias(f"{name}|max")]
-    one = df.agg(*made)
-    entries = F.array(*[F.struct(F.lit(n).alias("column"), F.lit(t).alias("type"), F.lit(k).alias("kind"), F.col(f"`{n}|min`").alias("min"), F.col(f"`{n}|max`").alias("max"), F.col("rows").alias("row_count")) for n, t, k in kinds])
-    base = one.select(F.explode(entries).alias("e")).select("e.*")
-    named = F.array(*[F.struct(F.lit(n).alias("column"), text(n).alias("value")) for n, _, _ in kinds])
-    values = df.select(F.explode(named).alias("v")).select("v.*").where("value is not null").distinct()
-    order = F.row_number().over(Window.partitionBy("column").orderBy("value"))
-    firsts = values.withColumn("n", order).where(F.col("n") <= samples)
-    lists = firsts.groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("samples"))  # at most ``samples`` values a column
-    return base.join(lists, "column", "left").withColumn("samples", F.coalesce("samples", F.array().cast("array<string>")))
+        if kind != "other":
+            made += [F.min(value).cast("string").alias(f"lo{i}"), F.max(value).cast("string").alias(f"hi{i}")]
+        made.append(F.min(text(name)).alias(f"s{i}"))
+    first = df.agg(*made).first().asDict()
+    found = [[first[f"s{i}"]] if first[f"s{i}"] is not None else [] for i in range(len(kinds))]
+    for n in range(1, samples):
+        going = [i for i, seen in enumerate(found) if len(seen) == n]
+        if not going:
+            break
+        after = df.agg(*[F.min(F.when(text(kinds[i][0]) > F.lit(found[i][-1]), text(kinds[i][0]))).alias(f"s{i}") for i in going]).first()
+        for i in going:
+            if after[f"s{i}"] is not None:
+                found[i].append(after[f"s{i}"])
+    rows = [(name, dtype, kind, first.get(f"lo{i}"), first.get(f"hi{i}"), first["rows"], found[i]) for i, (name, dtype, kind) in enumerate(kinds)]
+    return df.sparkSession.createDataFrame(rows, "column string, type string, kind string, min string, max string, row_count bigint, samples array<string>")
 
 
 def profile_lines(profiled: DataFrame) -> DataFrame:
