@@ -59,8 +59,10 @@ SPANS = "array<struct<kind:string,start:int,end:int>>"
 def trigram_query(pattern: str):
     """The Boolean query of a pattern: None (no demand), ("tri", t), ("and", parts) or ("or", parts).
 
-    Letters are folded to lower case. Only literal runs count; a class counts
-    as a literal when its members fold to one character.
+    ASCII letters are folded to lower case, as the index folds them; characters
+    beyond ASCII make no demand, nor do letters that a rule which ignores case
+    also finds in such a character (k, s, i). Only literal runs count; a class
+    counts as a literal when its members fold to one character.
     """
 
     def both(parts, how):
@@ -69,15 +71,13 @@ def trigram_query(pattern: str):
         parts = [p for p in dict.fromkeys(parts) if p is not None]
         return None if not parts else parts[0] if len(parts) == 1 else (how, tuple(parts))
 
-    def one(op, arg):
-        if op is sre.LITERAL:
-            return chr(arg).lower()
-        if op is sre.IN and all(o is sre.LITERAL for o, _ in arg):
-            folded = {chr(a).lower() for _, a in arg}
-            return folded.pop() if len(folded) == 1 else None
-        return None
+    def one(op, arg, loose):
+        codes = [arg] if op is sre.LITERAL else [a for _, a in arg] if op is sre.IN and all(o is sre.LITERAL for o, _ in arg) else []
+        folded = {chr(a).lower() if a < 128 else "" for a in codes}
+        char = folded.pop() if len(folded) == 1 else ""
+        return None if not char or loose and char in "ksi" else char
 
-    def walk(items):
+    def walk(items, loose):
         found, run = [], b""
 
         def close():
@@ -86,23 +86,24 @@ def trigram_query(pattern: str):
             run = b""
 
         for op, arg in items:
-            if (char := one(op, arg)) is not None:
+            if (char := one(op, arg, loose)) is not None:
                 run += char.encode()
                 continue
-            if op in (sre.MAX_REPEAT, sre.MIN_REPEAT, sre.POSSESSIVE_REPEAT) and arg[0] == arg[1] and len(arg[2]) == 1 and one(*arg[2][0]):
-                run += one(*arg[2][0]).encode() * arg[0]
+            if op in (sre.MAX_REPEAT, sre.MIN_REPEAT, sre.POSSESSIVE_REPEAT) and arg[0] == arg[1] and len(arg[2]) == 1 and one(*arg[2][0], loose):
+                run += one(*arg[2][0], loose).encode() * arg[0]
                 continue
             close()
             if op is sre.SUBPATTERN:
-                found.append(walk(arg[-1]))
+                found.append(walk(arg[-1], bool((loose or arg[1] & re.IGNORECASE) and not arg[2] & re.IGNORECASE)))
             elif op is sre.BRANCH:
-                found.append(both([walk(x) for x in arg[1]], "or"))
+                found.append(both([walk(x, loose) for x in arg[1]], "or"))
             elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT, sre.POSSESSIVE_REPEAT) and arg[0] > 0:
-                found.append(walk(arg[2]))
+                found.append(walk(arg[2], loose))
         close()
         return both(found, "and")
 
-    return walk(sre.parse(pattern))
+    parsed = sre.parse(pattern)
+    return walk(parsed, bool(parsed.state.flags & re.IGNORECASE))
 
 
 def trigrams_of(query) -> set[bytes]:
