@@ -136,7 +136,7 @@ class LastTurns(StatefulProcessor):
 def history_stream(stream: DataFrame, checkpoint: str, pairs: int = 20, session: str = "session_id", order: str = "turn", days: float = 30) -> StreamingQuery:
     """Keeps each session's last 2 * pairs messages as keyed state: a batch reads and writes the sessions it has messages of, and a session that is silent for ``days`` is forgotten."""
     held = StructType([f for f in stream.schema if f.name != session])
-    processor = LastTurns(held, order, 2 * pairs, int(days * 86_400_000))
+    processor = LastTurns(held, order, 2 * pairs, max(1, int(days * 86_400_000)))
     with _settings(stream.sparkSession, _STATE):
         kept = stream.groupBy(session).transformWithState(processor, f"session {stream.schema[session].dataType.simpleString()}, held int", "Update", "ProcessingTime")
         return kept.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
