@@ -2,9 +2,10 @@
 
 A store holds, for every committed batch, a ledger (the latest count of each
 document and tokenizer version that the batch touched) and additive deltas by
-source, language and tokenizer version. Totals are sums of deltas, so a batch
-costs what it changes: an insert adds its count, a delete takes away what the
-ledger holds, a revision does both.
+source, language and tokenizer version. Totals are sums of deltas, and a batch
+adds as many deltas as it changes: an insert adds its count, a delete takes away
+what the ledger holds, a revision does both. To find what the ledger holds, a
+batch reads the keys of all earlier ledgers once; they aren't compacted.
 
 Batches commit idempotently: a batch writes its own folders, overwriting what
 an attempt that died has left, and its commit row last; a batch id that is
