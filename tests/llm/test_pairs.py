@@ -251,3 +251,32 @@ def test_short_queries_are_held_against_all_nodes(spark):
 def test_fixture_has_every_case():
     rows = edge_rows()
     assert any(r[0] is None for r in rows) and any(r[1] is None for r in rows) and len(rows) > len(set(rows))
+
+
+def test_nearest_without_queries_builds_nothing(spark, monkeypatch):
+    from tillwork.llm import ann
+
+    monkeypatch.setattr(ann, "build_graph", lambda *a: 1 / 0)
+    rows = spark.createDataFrame([(i * 100 + 1, [float(i), 1.0]) for i in range(300)], "vec_id bigint, embedding array<double>")
+    assert ann.nearest(rows, F.col("vec_id") % 100 == 0).collect() == []
+    assert ann.nearest(rows.limit(0), F.col("vec_id") % 100 == 0).collect() == []
+
+
+def test_nearest_where_no_graph_leads_to_the_neighbours(spark, monkeypatch):
+    """The degree has a ceiling; beyond it the queries are answered by brute force."""
+    import numpy as np
+
+    from tillwork.llm import ann
+
+    degrees = []
+    real = ann.build_graph
+    monkeypatch.setattr(ann, "build_graph", lambda points, degree, graph: degrees.append(degree) or real(points, degree, graph))
+    monkeypatch.setattr(ann, "measured_recall", lambda *a: (0.5, 16))
+    monkeypatch.setattr(ann, "DEGREE", 12)
+    x = np.random.default_rng(1).normal(size=(300, 16))
+    rows = spark.createDataFrame([(i * 10, [float(v) for v in x[i]]) for i in range(300)], "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in ann.nearest(rows, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert degrees[-1] == 36 and len(degrees) <= 4
+    assert got == {i * 10: [int(j) * 10 for j in np.argsort(((x - x[i]) ** 2).sum(1), kind="stable") if j != i][:10] for i in range(0, 300, 10)}
