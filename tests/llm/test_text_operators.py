@@ -305,3 +305,26 @@ def test_digests_are_plain(edge):
 
     r = scan(edge.where("doc_id = 14")).select(joined(F.col("spans")).alias("s")).first()
     assert hashlib.sha256(r.s.encode()).hexdigest() and r.s.startswith("access:0:20") and zlib.crc32(b"") == 0
+
+
+def test_rules_beyond_ascii_and_without_case(spark):
+    """Every match of the expression is a candidate of the index, whatever its letters fold to."""
+    import re
+
+    from tillwork.llm.secret_scan import scan
+
+    rules = (("school", "ÉCOLE-[0-9]+", 0, 0), ("loose", "(?i:secret)-[0-9]+", 0, 0), ("all", "(?i)token=[a-z]+", 0, 0), ("kelvin", "(?i)kiss[0-9]", 0, 0), ("strict", "Kiss[0-9]", 0, 0))
+    texts = ["see ÉCOLE-123", "ſecret-123 SECRET-4", "TOKEN=ab toKen=x", "Kiſs1 kiss2 KISS3 Kiss4", "école-1", "", None, "é" * 50 + "ÉCOLE-9"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    got = {r.doc_id: sorted((s.kind, s.start, s.end) for s in r.spans) for r in scan(docs, rules=rules).collect()}
+    assert got == {i: sorted((k, m.start(), m.end()) for k, p, _, _ in rules for m in re.finditer(p, t or "")) for i, t in enumerate(texts)}
+
+
+def test_least_count_of_windows():
+    from tillwork.llm.packing import differencing, pack
+
+    for sizes, most in (([400] * 1500, 304), ([512] * 1100 + [300] * 400, 378), ([2048] * 5, 5), ([], 0), ([1], 1)):
+        windows = pack(sizes, 2048)
+        assert len(windows) <= most and sorted(i for w in windows for i in w) == list(range(len(sizes)))
+        assert all(sum(sizes[i] for i in w) <= 2048 for w in windows)
+    assert differencing([400] * 1500, 299)[0][0] > 2048

@@ -59,21 +59,18 @@ def differencing(sizes: list[int], k: int) -> tuple[list[int], list[list[int]]]:
 def pack(sizes: list[int], capacity: int) -> list[list[int]]:
     """Pieces of each window; no window exceeds the capacity, which no piece does."""
     k = low = max(1, -(-sum(sizes) // capacity))
-    step, held = 1, None
-    while held is None:  # the count rises while a window exceeds the capacity
+    sums, windows = differencing(sizes, k)
+    while sums and sums[0] > capacity:  # the count rises while a window exceeds the capacity
+        low, k = k + 1, max(k + 1, k * sums[0] // capacity)
         sums, windows = differencing(sizes, k)
-        if not sums or sums[0] <= capacity:
-            held = windows
-        else:
-            low, k, step = k + 1, k + step, 2 * step
-    while low < k:  # and falls back between the last that failed and the one that fits
+    while k - low > k >> 6:  # and falls back where that was too much: equal pieces exceed it by far at first
         middle = (low + k) // 2
-        sums, windows = differencing(sizes, middle)
+        sums, fewer = differencing(sizes, middle)
         if sums[0] <= capacity:
-            k, held = middle, windows
+            k, windows = middle, fewer
         else:
             low = middle + 1
-    return held
+    return windows
 
 
 def _word_encoder(path: str, parts: dict[str, list[int]]):
