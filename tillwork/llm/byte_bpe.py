@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillwork.llm.common import WordMemo, ragged, slices, table, texts, vocab_file
+from tillwork.llm.common import WordMemo, laid_out, ragged, slices, table, texts, vocab_file
 
 LONG_WORD = 160
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -79,7 +79,7 @@ class Coder:
         names = pa.table({"t": pa.array(list(self.ranks.values()), pa.int32()), "h": [k.hex() for k in self.ranks]})  # noqa: F841
         self.con.execute("CREATE TABLE vocab AS SELECT * FROM names")
         self.bytes = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
-        self.memo = WordMemo(self.words, 800_000)
+        self.memo = WordMemo(lambda new: laid_out(self.words(new)), 800_000)
 
     def words(self, new: list[str]) -> list:
         data = [w.encode() for w in new]

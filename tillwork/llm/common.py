@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +67,18 @@ def split_words(text: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return codes, bounds, words
 
 
+def strings(words: pa.Array) -> list[str]:
+    """The values of an array without nulls; quicker than to_pylist."""
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
+def laid_out(lists: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and length of each list in the array of all, and that array."""
+    lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+    flat = np.fromiter((i for ids in lists for i in ids), np.int32, int(lengths.sum()))
+    return np.cumsum(lengths) - lengths, lengths, flat
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Positions start..start+length-1 of every run, one run after another."""
     total = int(lengths.sum())
@@ -102,7 +115,8 @@ def give_back() -> None:
 class WordMemo:
     """Distinct words met by a Python worker, with the ids that a tokenizer gave each.
 
-    ``encode`` maps a list of new words to lists of ids. The memo starts anew
+    ``encode`` maps a list of new words to each one's start and length in an
+    array of ids, and that array. The memo starts anew
     beyond ``most`` words or once another one was in use, which bounds the memory
     of a worker; results don't depend on it. ``forget`` is called then, too.
     """
@@ -133,17 +147,19 @@ class WordMemo:
         if len(self.index) > self.most:
             self.clear()
         self.take()
-        new = list(dict.fromkeys(w for w in words if w not in self.index))
-        if new:
-            got = self.encode(new)
-            lengths = np.fromiter(map(len, got), np.int64, len(got))
-            flat = np.fromiter((i for ids in got for i in ids), np.int32, int(lengths.sum()))
-            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
+        rows = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(rows < 0)
+        if len(missing):
+            unknown = [words[i] for i in missing.tolist()]
+            new = list(dict.fromkeys(unknown))
+            starts, lengths, flat = self.encode(new)
+            self.starts = np.concatenate([self.starts, len(self.ids) + starts])
             self.lengths = np.concatenate([self.lengths, lengths])
             self.ids = np.concatenate([self.ids, flat])
             base = len(self.index)
             self.index.update(zip(new, range(base, base + len(new))))
-        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+            rows[missing] = np.fromiter(map(self.index.__getitem__, unknown), np.int64, len(unknown))
+        return rows
 
 
 def ranked(df: DataFrame, order: list[str], name: str = "ranked") -> DataFrame:

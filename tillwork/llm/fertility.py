@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillwork.llm.common import WordMemo, give_back, group_sums, ragged, slices, split_words, table, texts, vocab_file, written
+from tillwork.llm.common import WordMemo, give_back, group_sums, laid_out, ragged, slices, split_words, strings, table, texts, vocab_file, written
 
 VOCABULARY, SECOND = "piece_bpe_32k.model", "byte_bpe_50k.json"
 SYMBOLS = "#*$%&|<>"
@@ -127,7 +127,7 @@ class _Fertility:
         single = np.zeros(self.sizes[1], bool)
         single[[i for token, i in kinds.items() if len(token) == 1]] = True  # a character of the vocabulary's alphabet is a byte
         self.bytes = (np.array([self.own.is_byte(i) for i in range(self.sizes[0])]), single)
-        self.memo = WordMemo(self._both, 400_000)
+        self.memo = WordMemo(lambda words: laid_out(self._both(words)), 400_000)
 
     def _both(self, words: list) -> list:
         """Ids of each word by the first vocabulary, and after them those by the second, which begin where the first's end."""
@@ -174,7 +174,7 @@ def measure(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, s
         for part in slices(batches, text):
             block = texts(part, text)
             codes, bounds, words = split_words(block)
-            known = own.memo.codes(words.to_pylist())[codes] if len(codes) else codes.astype(np.int64)
+            known = own.memo.codes(strings(words))[codes] if len(codes) else codes.astype(np.int64)
             (tokens, fallback, entropy), (tokens2, single, entropy2) = own.measure(known, bounds)
             chars = group_sums(np.asarray(pc.utf8_length(words), np.int64)[codes] if len(codes) else codes, bounds)
             symbols = sum(np.asarray(pc.count_substring(block, s), np.int64) for s in SYMBOLS)

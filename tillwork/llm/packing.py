@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillwork.llm.common import WordMemo, give_back, ragged, slices, split_words, table, texts, vocab_file
+from tillwork.llm.common import WordMemo, give_back, ragged, slices, split_words, strings, table, texts, vocab_file
 
 WINDOW = 2048
 END_ID = 1
@@ -80,35 +80,52 @@ def _word_encoder(path: str, parts: dict[str, list[int]]):
 
     own = Tokenizer.from_file(path)
     own.encode_special_tokens = True  # their strings in a text are ordinary text
-    probes = ["ab12cd", "A1B2", "x-y.z", "100,000", "#*(a)", "e-mail@host.org", "__init__", "<s>"]
-    whole = own.encode(probes, is_pretokenized=True, add_special_tokens=False)
     cut, model = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+").findall, own.model
 
-    def encode(words: list[str]) -> list:
+    def ids_of(part: str) -> tuple[int, ...]:
+        if (known := parts.get(part)) is None:
+            known = parts[part] = tuple([t.id for t in model.tokenize(part)])
+        return known
+
+    def by_tokenizer(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = own.encode(words, is_pretokenized=True, add_special_tokens=False)
+        return np.bincount(np.array(got.word_ids, np.int64), minlength=len(words)), np.array(got.ids, np.int32)
+
+    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if len(parts) > 300_000:
             parts.clear()
-        out: list = [None] * len(words)
-        rest = []
+        flat: list[int] = []
+        ends, rest = [], []
         for i, word in enumerate(words):
-            if not (word.isascii() and word.isprintable()) or "'" in word:
+            if word.isascii() and word.isprintable() and "'" not in word:
+                low = word.lower()
+                if (known := parts.get(low)) is not None:  # a part is cut into itself alone
+                    flat += known
+                elif low.isalpha():
+                    flat += ids_of(low)
+                else:
+                    for part in cut(low):
+                        flat += ids_of(part)
+            else:
                 rest.append(i)
-                continue
-            ids: list[int] = []
-            for part in cut(word.lower()):
-                if (known := parts.get(part)) is None:
-                    known = parts[part] = [t.id for t in model.tokenize(part)]
-                ids += known
-            out[i] = ids
-        for at in range(0, len(rest), 4096):
-            some = rest[at : at + 4096]
-            for i in some:
-                out[i] = []
-            got = own.encode([words[i] for i in some], is_pretokenized=True, add_special_tokens=False)
-            for x, w in zip(got.ids, got.word_ids):
-                out[some[w]].append(x)
-        return out
-
-    if encode(probes) != [[x for x, w in zip(whole.ids, whole.word_ids) if w == i] for i in range(len(probes))]:
+            ends.append(len(flat))
+        lengths = np.diff(np.array(ends, np.int64), prepend=0)
+        starts = np.array(ends, np.int64) - lengths
+        ids = [np.array(flat, np.int32)]
+        at = len(flat)
+        for first in range(0, len(rest), 4096):  # their ids follow those of all others
+            some = rest[first : first + 4096]
+            many, got = by_tokenizer([words[i] for i in some])
+            lengths[some] = many
+            starts[some] = at + np.cumsum(many) - many
+            ids.append(got)
+            at += len(got)
+        return starts, lengths, np.concatenate(ids)
+
+    probes = ["ab12cd", "A1B2", "x-y.z", "100,000", "#*(a)", "e-mail@host.org", "__init__", "<s>"]
+    many, whole = by_tokenizer(probes)
+    starts, lengths, ids = encode(probes)
+    if not (np.array_equal(lengths, many) and np.array_equal(ids[ragged(starts, lengths)], whole)):
         raise ValueError(f"{path} cuts words in another way than this encoder does")
     return encode
 
@@ -163,7 +180,7 @@ def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
         for part in slices(batches):
             codes, ends, found = split_words(texts(part))
-            known = words.codes(found.to_pylist())[codes] if len(codes) else codes.astype(np.int64)
+            known = words.codes(strings(found))[codes] if len(codes) else codes.astype(np.int64)
             lengths = words.lengths[known]
             ids = words.ids[ragged(words.starts[known], lengths)].astype("<u4")
             bounds = np.concatenate([[0], np.cumsum(lengths)])[ends]
