@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillwork.llm.common import ragged, slices, table, texts
+from tillwork.llm.common import give_back, ragged, slices, table, texts
 
 LENGTH, Q = 50, 20
 CHUNK_BYTES = 8 << 20
@@ -175,6 +175,7 @@ def _views(t: pa.Table, text: str, length: int, q: int):
         for part in slices([batch], text):
             ids = np.asarray(pc.fill_null(part.column("__doc"), _LAST))
             yield part, ids, Windows(texts(part, text), length, q)
+    give_back()  # a worker holds one chunk at a time
 
 
 def _binary(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
