@@ -86,9 +86,14 @@ def a11_split_files(spark, sf):
     return files.groupBy("split").agg(F.count("*").alias("n"))
 
 
+#: Tasks that write files of a row each; a small table is one input partition, and a file takes some milliseconds.
+FILE_TASKS = 96
+
+
 def _file_a_row(rows, path):
-    """rows (k, value) as text files, one a row."""
-    rows.write.partitionBy("k").text(path)
+    """rows (value), or (k, value) with k in the path, as text files, one a row, made by many tasks at once. Without k no folders are made."""
+    spread = rows.repartition(FILE_TASKS).write.option("maxRecordsPerFile", 1)
+    (spread.partitionBy("k") if "k" in rows.columns else spread).text(path)
     return path
 
 
