@@ -23,3 +23,8 @@ def test_files_are_made_by_many_tasks(spark, tmp_path):
     files = _written(Q._file_a_row(rows, f"{tmp_path}/keyed"))
     assert sorted(open(f).read() for f in files) == sorted(f"{i}\n" for i in range(40)) and len(_tasks(files)) > 10
     assert all(re.search(r"k=(\d+)", f).group(1) == open(f).read().strip() for f in files)
+
+
+def test_files_without_a_key_need_no_folders(spark, tmp_path):
+    files = _written(Q._file_a_row(spark.range(300).coalesce(1).select(F.col("id").cast("string").alias("value")), f"{tmp_path}/flat"))
+    assert sorted(open(f).read() for f in files) == sorted(f"{i}\n" for i in range(300)) and {os.path.dirname(f) for f in files} == {f"{tmp_path}/flat"} and len(_tasks(files)) > 10

@@ -107,7 +107,7 @@ def a07_gold_with_images(spark, sf):
     own = spark.read.parquet(f"{sf}/supplier.parquet")
     name = F.concat(F.col("s_suppkey").cast("string"), F.lit(".png"))
     label = F.to_json(F.struct(F.col("s_suppkey").cast("string").alias("receipt_id"), name.alias("image_file"), F.struct(F.col("s_name").alias("merchant_name")).alias("fields")))
-    path = _file_a_row(own.select(F.col("s_suppkey").alias("k"), label.alias("value")), folder(spark, "gold"))
+    path = _file_a_row(own.select(label.alias("value")), folder(spark, "gold"))
     images = own.where("s_nationkey < 12").select(F.concat(F.lit("file:/images/"), name).alias("path"))
     return T.read_gold(spark, path, images).select("receipt_id", F.col("fields.merchant_name").alias("merchant_name"))
 
