@@ -5,6 +5,9 @@ import re
 
 from pyspark.sql import functions as F
 
+from tillwork.functions import receipts as R
+from tillwork.functions import strings as S
+from tillwork.operators import dedup, metrics
 from tillwork.plans import queries as Q
 
 SF = "/root/testdata/sf0.001"
@@ -28,3 +31,13 @@ def test_files_are_made_by_many_tasks(spark, tmp_path):
 def test_files_without_a_key_need_no_folders(spark, tmp_path):
     files = _written(Q._file_a_row(spark.range(300).coalesce(1).select(F.col("id").cast("string").alias("value")), f"{tmp_path}/flat"))
     assert sorted(open(f).read() for f in files) == sorted(f"{i}\n" for i in range(300)) and {os.path.dirname(f) for f in files} == {f"{tmp_path}/flat"} and len(_tasks(files)) > 10
+
+
+def _plan(spark, column):
+    return spark.range(1).select(column)._jdf.queryExecution().analyzed().toString()
+
+
+def test_names_are_cut_into_tokens_once(spark):
+    arrays = [F.array(F.lit("a"), F.lit("b")), F.array(F.lit("b"))]
+    assert _plan(spark, metrics.match_items(*arrays).alias("m")).count("upper(") <= 2  # once a side, not once a pair and use
+    assert _plan(spark, S.token_f1(F.lit("a"), F.lit("b")).alias("f")).count("upper(") <= 2

@@ -63,12 +63,29 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
+def once(value: Column, use) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def tokens(text) -> Column:
+    """The token list that token_f1 compares."""
+    return words(norm_str(text))
+
+
+def f1_of_tokens(p: Column, g: Column) -> Column:
+    """token_f1 of two token lists; lists are made once where one meets many."""
+
+    def of(common):
+        precision, recall = common / F.size(p), common / F.size(g)
+        return F.when(common == 0, F.lit(0.0)).otherwise(2 * precision * recall / (precision + recall))
+
+    return once(F.size(F.array_intersect(p, g)).cast("double"), of)
+
+
 def token_f1(pred, gold) -> Column:
     """Harmonic mean of shares of common different tokens in the token lists of either side."""
-    p, g = words(norm_str(pred)), words(norm_str(gold))
-    common = F.size(F.array_intersect(p, g)).cast("double")
-    precision, recall = common / F.size(p), common / F.size(g)
-    return F.when((F.size(p) == 0) | (F.size(g) == 0) | (common == 0), F.lit(0.0)).otherwise(2 * precision * recall / (precision + recall))
+    return once(F.struct(tokens(pred).alias("p"), tokens(gold).alias("g")), lambda t: f1_of_tokens(t["p"], t["g"]))
 
 
 #: Letters in a block of bits: one bit is left for the carry, one for the sign.
