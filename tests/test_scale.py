@@ -41,3 +41,21 @@ def test_names_are_cut_into_tokens_once(spark):
     arrays = [F.array(F.lit("a"), F.lit("b")), F.array(F.lit("b"))]
     assert _plan(spark, metrics.match_items(*arrays).alias("m")).count("upper(") <= 2  # once a side, not once a pair and use
     assert _plan(spark, S.token_f1(F.lit("a"), F.lit("b")).alias("f")).count("upper(") <= 2
+
+
+def test_dates_are_read_by_the_formats_of_their_pattern(spark):
+    assert _plan(spark, R.extract_date(F.lit("x")).alias("d")).count("translate(") == 1
+    # every format on every hit, as dates were read before
+    every = ("M/d/yyyy", "M/d/yy", "yyyy-M-d", "M-d-yyyy", "M-d-yy", "MMM d yyyy", "MMMM d yyyy", "d MMM yyyy", "d MMMM yyyy", "MMM/d/yyyy", "MMMM/d/yyyy")
+    texts = [a.replace("#", sep) for sep in "/-" for a in ("02#29#2023", "2#29#24", "13#05#2024", "1#5#70", "1#5#68", "1#5#0070", "12#31#1999 1#2#03", "2024#02#30 3#4#2024")]
+    texts += [t for m in ("JAN", "jan", "January", "SEPT", "sept", "MAY", "Mayo") for t in (f"{m} 5 2024", f"5 {m} 2024", f"{m}/5/2024", f"{m} 31, 2023", f"30 {m}|1999")]
+    rows = spark.createDataFrame([(t,) for t in [*texts, "", None, "2024-13-01 or JUN 31 2024, JUN 30 2024"]], "text string")
+    flat = F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), "|,", "  "), r"\s+", " ")
+    each = [F.filter(F.transform(F.regexp_extract_all(flat, F.lit(f"(?i){p}"), F.lit(0)), lambda h: F.coalesce(*[S.as_date(h, f) for f in every])), lambda d: d.isNotNull()) for p, _ in R.DATES]
+    slow = F.coalesce(F.date_format(F.coalesce(*[F.try_element_at(d, F.lit(1)) for d in each]), "yyyy-MM-dd"), F.lit(""))
+    got = rows.select("text", R.extract_date("text").alias("fast"), slow.alias("slow")).collect()
+    assert [(r.text, r.fast) for r in got] == [(r.text, r.slow) for r in got] and sum(r.fast != "" for r in got) > 15
+
+
+def test_a_line_is_made_upper_case_once(spark):
+    assert _plan(spark, R.extract_items(F.lit("x")).alias("i")).count("upper(") == 1
