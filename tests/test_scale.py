@@ -9,6 +9,7 @@ from tillwork.functions import receipts as R
 from tillwork.functions import strings as S
 from tillwork.operators import dedup, metrics
 from tillwork.plans import queries as Q
+from tillwork.streaming import jobs
 
 SF = "/root/testdata/sf0.001"
 
@@ -59,3 +60,34 @@ def test_dates_are_read_by_the_formats_of_their_pattern(spark):
 
 def test_a_line_is_made_upper_case_once(spark):
     assert _plan(spark, R.extract_items(F.lit("x")).alias("i")).count("upper(") == 1
+
+
+def _twice(spark, path):
+    """The tables with every order twice, under another key, so that different orders agree in date, total and store."""
+    for t in ("part", "supplier"):
+        os.symlink(f"{SF}/{t}.parquet", f"{path}/{t}.parquet")
+    for t, key in (("orders", "o_orderkey"), ("lineitem", "l_orderkey")):
+        rows = spark.read.parquet(f"{SF}/{t}.parquet")
+        top = spark.read.parquet(f"{SF}/orders.parquet").agg(F.max("o_orderkey")).first()[0] + 1
+        rows.unionByName(rows.withColumn(key, F.col(key) + top)).write.parquet(f"{path}/{t}.parquet")
+    return str(path)
+
+
+def test_different_orders_are_no_duplicates(spark, tmp_path):
+    sf = _twice(spark, tmp_path)
+    kinds = {1: "hash", 2: "content"}
+    found = {r.bill_id: (r.dup_of, r.layer) for r in Q.d02_find_duplicates(spark, sf).collect()}
+    assert found and found == {b: (b - b % 10, kinds[b % 10]) for b in found} and {b % 10 for b in found} == {1, 2}
+    done = Q.d04_resolve_batch(spark, sf).collect()
+    assert len(done) > 3000 and all((r.accepted, r.dup_of, r.layer) == ((True, None, None) if r.bill_id % 10 in (0, 3) else (False, r.bill_id - r.bill_id % 10, kinds[r.bill_id % 10])) for r in done)
+
+
+def test_receipt_numbers_tell_bills_apart(spark, tmp_path):
+    rows = [(1, "h1", "SHOP", "A1"), (2, "h2", "SHOP", "A2"), (3, "h3", "SHOPS", "A1"), (4, "h4", "SHOP", None), (5, "h5", "SHOP", " A2 "), (6, "h2", "ELSEWHERE", "A9"), (7, "h7", "SHOP", "")]
+    df = spark.createDataFrame(rows, "bill_id bigint, image_hash string, store string, receipt_number string").withColumns({"date": F.lit("2024-01-01").cast("date"), "total": F.lit("5.00").cast("decimal(12,2)")})
+    want = {1: None, 2: None, 3: 1, 4: 1, 5: 2, 6: 2, 7: 1}
+    assert {r.bill_id: r.dup_of for r in dedup.resolve_batch(df).collect()} == want
+    assert {r.bill_id: r.dup_of for r in dedup.find_duplicates(df.where("bill_id > 2"), df.where("bill_id < 3")).collect()} == {k: v for k, v in want.items() if k > 2}
+    assert {r.bill_id for r in dedup.resolve_batch(df.drop("receipt_number")).where("accepted").collect()} == {1, 6}  # without numbers date, total and store decide; 2 was never stored, so 6 is the first of its image
+    taken = jobs._accepted(df.where("bill_id > 1"), spark, f"{tmp_path}/store", [])  # what an ingest stores
+    assert {r.bill_id for r in taken.collect()} == {2, 3}
