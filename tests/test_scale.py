@@ -91,3 +91,16 @@ def test_receipt_numbers_tell_bills_apart(spark, tmp_path):
     assert {r.bill_id for r in dedup.resolve_batch(df.drop("receipt_number")).where("accepted").collect()} == {1, 6}  # without numbers date, total and store decide; 2 was never stored, so 6 is the first of its image
     taken = jobs._accepted(df.where("bill_id > 1"), spark, f"{tmp_path}/store", [])  # what an ingest stores
     assert {r.bill_id for r in taken.collect()} == {2, 3}
+
+
+def test_a_range_of_a_stream_has_many_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "FILE_ROWS", 10)
+    df = spark.range(100).repartition(3).withColumn("arrived", F.timestamp_seconds("id")).withColumn("image_hash", (F.col("id") % 60).cast("string"))
+    stream = jobs.in_parts(df, "id", 2, f"{tmp_path}/in")
+    files = _written(f"{tmp_path}/in")
+    assert [sum(f"part={i}/" in f for f in files if f.endswith(".parquet")) for i in range(2)] == [5, 5]
+    query = jobs.start_dedup_stream(stream, "3650 days", f"{tmp_path}/out", f"{tmp_path}/ck")
+    query.awaitTermination()
+    assert [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]] == [50, 50]  # a range a batch
+    assert "RocksDB" in str(query.recentProgress[-1]["stateOperators"]) or "rocksdb" in str(query.recentProgress[-1]["stateOperators"])
+    assert sorted(int(r.image_hash) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == list(range(60))

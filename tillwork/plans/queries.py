@@ -584,7 +584,7 @@ def s01_ingest_stream(spark, sf):
 def s02_dedup_stream(spark, sf):
     rows = X.submissions(spark, sf).select("bill_id", "image_hash", F.timestamp_seconds("bill_id").alias("arrived"))
     stream, path = jobs.in_parts(rows, "bill_id", 2, folder(spark, "arrivals")), folder(spark, "first-images")
-    jobs.dedup_stream(stream, "3650 days").writeStream.format("parquet").option("path", path).option("checkpointLocation", folder(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
+    jobs.start_dedup_stream(stream, "3650 days", path, folder(spark, "offsets")).awaitTermination()
     return spark.read.parquet(path).select("image_hash")
 
 
