@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tillwork.functions import receipts as R
 from tillwork.functions import strings as S
-from tillwork.operators import dedup, metrics
+from tillwork.operators import dedup, metrics, training
 from tillwork.plans import queries as Q
 from tillwork.streaming import jobs
 
@@ -104,3 +104,11 @@ def test_a_range_of_a_stream_has_many_files(spark, tmp_path, monkeypatch):
     assert [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]] == [50, 50]  # a range a batch
     assert "RocksDB" in str(query.recentProgress[-1]["stateOperators"]) or "rocksdb" in str(query.recentProgress[-1]["stateOperators"])
     assert sorted(int(r.image_hash) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == list(range(60))
+
+
+def test_texts_move_once_to_be_counted(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(training, "saved", lambda df, name="": seen.append(df) or df)
+    training.hashed_rows(spark.createDataFrame([(1, "abcd"), (2, "ab"), (3, "")], "id bigint, t string"), "id", "t", 64)
+    assert seen[0]._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {(r.key, r.n) for r in seen[0].groupBy("key").agg(F.sum("tf").alias("n")).collect()} == {(1, 2), (2, 1)}

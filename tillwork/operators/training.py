@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillwork.functions.folders import saved
-from tillwork.operators.classify import _judged, gram_counts
+from tillwork.operators.classify import _judged, grams
 from tillwork.operators.metrics import classification_metrics, early_stopping
 
 #: Feature of the intercept.
@@ -27,7 +27,9 @@ BIAS = -1
 
 def hashed_rows(df: DataFrame, key: str, text: str, features: int, idf: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(key, ids, values) of unit vectors of hashed 3-grams, and (id, idf), fitted on these rows unless it is given."""
-    counts = saved(gram_counts(df, key, text).groupBy("key", F.pmod(F.xxhash64("feature"), F.lit(features)).cast("int").alias("id")).agg(F.sum("tf").alias("tf")), "hashed")
+    # texts move once, and their n-grams are counted where they are, as numbers
+    placed = grams(df.select(F.col(key).alias("key"), F.col(text).alias("text")).repartition("key"), "key", "text")
+    counts = saved(placed.groupBy("key", F.pmod(F.xxhash64("feature"), F.lit(features)).cast("int").alias("id")).agg(F.count("*").alias("tf")), "hashed")
     if idf is None:
         n = counts.agg(F.count_distinct("key").alias("n"))
         seen = counts.groupBy("id").agg(F.count("*").alias("df")).join(F.broadcast(n))  # one row
