@@ -130,6 +130,21 @@ def test_repeated_words_survive_hash_ties():
     assert repeated_words(codes, bounds).tolist() == [16, 9, 0]
 
 
+def test_words_of_latin_letters_are_cut_as_the_tokenizer_cuts_them():
+    from tokenizers import Tokenizer
+
+    from tillwork.llm.packing import _word_encoder
+
+    path, parts = public_tokenizers.path("word_bpe_49k.json"), {}
+    encode, whole = _word_encoder(path, parts), Tokenizer.from_file(path)
+    letters = [chr(c) for c in range(0xC0, 0x250)]
+    words = ["r\u00e9eux,", "\u00c9T\u00c9!!", *letters, *[f"A{x}9{x}{y}.{y}" for x, y in zip(letters, letters[7:])], "e\u0301t\u00e9", "\u00e9'll", "\u03a3\u03a3", "\u6f22\u00e9"]
+    starts, lengths, ids = encode(words)
+    for word, start, length in zip(words, starts, lengths):
+        assert ids[start : start + length].tolist() == whole.encode(word, add_special_tokens=False).ids, word
+    assert {"r\u00e9eux", "\u00e9t\u00e9"} <= set(parts)  # without the whole tokenizer, which takes several times as long
+
+
 def test_packing_holds_every_id_once(edge, empty):
     from tokenizers import Tokenizer
 

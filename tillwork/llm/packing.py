@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +36,16 @@ from tillwork.llm.common import WordMemo, give_back, ragged, slices, split_words
 WINDOW = 2048
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
+_SUM = itemgetter(0)
+#: Letters beyond ASCII that normalising leaves as they are but for a one-to-one lower case: Latin-1 and Latin Extended-A, without the dotted capital I.
+LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+#: What byte-level vocabularies write for the bytes of the Latin-1 characters that don't stand for themselves.
+_BYTES = dict(zip([*range(0x21), *range(0x7F, 0xA1), 0xAD], range(0x100, 0x144)))
 
 
 def differencing(sizes: list[int], k: int) -> tuple[list[int], list[list[int]]]:
     """Largest differencing into k windows: sums of those in use, fullest first, and the pieces of each."""
-    heap = [(-s, i, [(s, (i,))]) for i, s in enumerate(sizes)]
+    heap = [(-s, i, [(-s, (i,))]) for i, s in enumerate(sizes)]  # sums are negated, so that plain order has the fullest first
     heapq.heapify(heap)
     serial = len(sizes)
     while len(heap) > 1:
@@ -48,12 +54,11 @@ def differencing(sizes: list[int], k: int) -> tuple[list[int], list[list[int]]]:
         apart = len(a) - shared
         merged = a[:apart] + b[: len(b) - shared]
         merged += [(x[0] + y[0], x[1] + y[1]) for x, y in zip(a[apart:], reversed(b))]
-        merged.sort(key=lambda w: -w[0])
-        spread = merged[0][0] - (merged[-1][0] if len(merged) == k else 0)
-        heapq.heappush(heap, (-spread, serial, merged))
+        merged.sort(key=_SUM)
+        heapq.heappush(heap, (merged[0][0] - (merged[-1][0] if len(merged) == k else 0), serial, merged))
         serial += 1
     last = heap[0][2] if heap else []
-    return [w[0] for w in last], [list(w[1]) for w in last]
+    return [-w[0] for w in last], [list(w[1]) for w in last]
 
 
 def pack(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -74,17 +79,19 @@ def pack(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 def _word_encoder(path: str, parts: dict[str, list[int]]):
-    """Ids of words by the tokenizer. Words of printable ASCII are cut as its pattern cuts them and each part is
-    given to its model once, which spares them the tokenizer's normalising; all others go through the whole tokenizer."""
+    """Ids of words by the tokenizer. Words of printable ASCII and Latin letters are cut as its pattern cuts them and each part
+    is given to its model once, which spares them the tokenizer's normalising; all others go through the whole tokenizer."""
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(path)
     own.encode_special_tokens = True  # their strings in a text are ordinary text
-    cut, model = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+").findall, own.model
+    cut, model = re.compile(f"[a-z{LATIN}]+|[0-9]|[^a-z0-9{LATIN}]+").findall, own.model
+    plain = re.compile(f"[!-&(-~{LATIN}]+").fullmatch  # without the apostrophe, which begins parts of its own
 
     def ids_of(part: str) -> tuple[int, ...]:
         if (known := parts.get(part)) is None:
-            known = parts[part] = tuple([t.id for t in model.tokenize(part)])
+            written = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTES)
+            known = parts[part] = tuple([t.id for t in model.tokenize(written)])
         return known
 
     def by_tokenizer(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +104,7 @@ def _word_encoder(path: str, parts: dict[str, list[int]]):
         flat: list[int] = []
         ends, rest = [], []
         for i, word in enumerate(words):
-            if word.isascii() and word.isprintable() and "'" not in word:
+            if plain(word):
                 low = word.lower()
                 if (known := parts.get(low)) is not None:  # a part is cut into itself alone
                     flat += known
@@ -122,7 +129,7 @@ def _word_encoder(path: str, parts: dict[str, list[int]]):
             at += len(got)
         return starts, lengths, np.concatenate(ids)
 
-    probes = ["ab12cd", "A1B2", "x-y.z", "100,000", "#*(a)", "e-mail@host.org", "__init__", "<s>"]
+    probes = ["ab12cd", "A1B2", "x-y.z", "100,000", "#*(a)", "e-mail@host.org", "__init__", "<s>", "\u00c9t\u00e9s,", "\u015a\u017bx9\u00df", "\u0178\u0149\u0100!\u017f"]
     many, whole = by_tokenizer(probes)
     starts, lengths, ids = encode(probes)
     if not (np.array_equal(lengths, many) and np.array_equal(ids[ragged(starts, lengths)], whole)):
