@@ -52,7 +52,7 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """
     rest = {c: f"__{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}  # columns of any name ride along
     row = docs.select("doc_id", "text", F.col("text").isNull().alias("__null"), *[F.col(c).alias(n) for c, n in rest.items()])
-    done = remove_repeats(row, characters=True, chunk_bytes=4 << 20).withColumn("__cut", F.size("removed") > 0).withColumn("__left", F.col("kept").cast("string"))
+    done = remove_repeats(row, characters=True, chunk_bytes=4 << 20, pass_bytes=512 << 10).withColumn("__cut", F.size("removed") > 0).withColumn("__left", F.col("kept").cast("string"))
     left = done.where(~F.col("__cut") | F.col("__left").rlike(r"[^\x20\x09-\x0D]"))
     made = {
         "doc_id": F.col("doc_id"),

@@ -122,6 +122,33 @@ def removal(df, **options):
     return Counter((r.doc_id, r.n_bytes, sum(s.length for s in r.removed), len(r.removed), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in rows)
 
 
+@pytest.mark.parametrize("options", [{"pass_bytes": 700}, {"pass_bytes": 700, "hot": 0}])
+def test_small_passes_remove_the_same(spark, options):
+    text = "".join(chr(97 + (i * i * 7 + i // 3) % 26) for i in range(600))
+    df = spark.createDataFrame([(i, text[i % 7 * 40 : i % 7 * 40 + 120 + i % 11 * 20]) for i in range(60)], "doc_id long, text string")
+    assert removal(df, **options) == removal(df)
+
+
+def test_a_pass_over_a_chunk_takes_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tillwork.llm import suffix_dedup
+
+    rng = np.random.default_rng(3)
+    some = ["".join(map(chr, rng.integers(97, 123, 40_000))) for _ in range(50)]
+    t = pa.table({"text": some, "__doc": pa.array(range(50), pa.int64())})
+    suffix_dedup._held.clear()
+    tracemalloc.start()
+    for _, _, w in suffix_dedup._views(t, "text", 50, 20, 512 << 10):
+        w.runs()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    suffix_dedup._held.clear()
+    assert peak < 60e6
+
+
 @pytest.mark.parametrize("options", [{}, {"hot": 0}, {"chunk_bytes": 4000}, {"hot": 2, "chunk_bytes": 3000}])
 def test_suffix_dedup_edge_rows(edge, empty, options):
     assert removal(edge, **options) == brute_removal([r[:2] for r in edge_rows()])

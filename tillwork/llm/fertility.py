@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillwork.llm.common import WordMemo, give_back, group_sums, laid_out, ragged, slices, split_words, strings, table, texts, vocab_file, written
+from tillwork.llm.common import SLICE_BYTES, WordMemo, give_back, group_sums, laid_out, ragged, slices, split_words, strings, table, texts, vocab_file, written
 
 VOCABULARY, SECOND = "piece_bpe_32k.model", "byte_bpe_50k.json"
 SYMBOLS = "#*$%&|<>"
@@ -171,7 +171,7 @@ def measure(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, s
         own = _fertility(vocabulary, second)
         own.memo.take()
         own.memo.most = 400_000 if stay else 200_000
-        for part in slices(batches, text):
+        for part in slices(batches, text, SLICE_BYTES if stay else SLICE_BYTES // 2):
             block = texts(part, text)
             codes, bounds, words = split_words(block)
             known = own.memo.codes(strings(words))[codes] if len(codes) else codes.astype(np.int64)

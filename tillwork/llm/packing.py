@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillwork.llm.common import WordMemo, give_back, ragged, slices, split_words, strings, table, texts, vocab_file
+from tillwork.llm.common import SLICE_BYTES, WordMemo, give_back, ragged, slices, split_words, strings, table, texts, vocab_file
 
 WINDOW = 2048
 END_ID = 1
@@ -185,7 +185,7 @@ def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             waiting = []
             return emit(rows)
 
-        for part in slices(batches):
+        for part in slices(batches, "text", SLICE_BYTES if stay else SLICE_BYTES // 2):
             codes, ends, found = split_words(texts(part))
             known = words.codes(strings(found))[codes] if len(codes) else codes.astype(np.int64)
             lengths = words.lengths[known]

@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillwork.llm.common import give_back, ragged, slices, table, texts
+from tillwork.llm.common import SLICE_BYTES, give_back, ragged, slices, table, texts
 
 LENGTH, Q = 50, 20
 CHUNK_BYTES = 8 << 20
@@ -170,9 +170,9 @@ def _np(t, name):
     return np.asarray(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c)
 
 
-def _views(t: pa.Table, text: str, length: int, q: int):
+def _views(t: pa.Table, text: str, length: int, q: int, most: int = SLICE_BYTES):
     for batch in t.combine_chunks().to_batches():
-        for part in slices([batch], text):
+        for part in slices([batch], text, most):
             ids = np.asarray(pc.fill_null(part.column("__doc"), _LAST))
             yield part, ids, Windows(texts(part, text), length, q)
     give_back()  # a worker holds one chunk at a time
@@ -184,8 +184,10 @@ def _binary(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(body.tobytes())])
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, q: int = Q, chunk_bytes: int = CHUNK_BYTES, hot: int = HOT, characters: bool = False) -> DataFrame:
-    """docs with, in place of the text, n_bytes, removed (array of start and length in bytes) and kept (binary: what is left of the text); with ``characters``, those that are cut in two go whole."""
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, q: int = Q, chunk_bytes: int = CHUNK_BYTES, hot: int = HOT, characters: bool = False, pass_bytes: int = SLICE_BYTES) -> DataFrame:
+    """docs with, in place of the text, n_bytes, removed (array of start and length in bytes) and kept (binary: what is left of the text); with ``characters``, those that are cut in two go whole.
+
+    A chunk is what is reduced before a shuffle; a pass of ``pass_bytes`` takes some hundred times as much memory."""
     out = ("n_bytes", "removed", "kept")
     keep = [c for c in docs.columns if c not in (text, *out)]
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
@@ -234,7 +236,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         wanted, heat = wanted[order], mine.column("hot").combine_chunks().to_numpy(zero_copy_only=False)[order]
         chunk = mine.column("chunk")[0].as_py()
         made = []
-        for _, ids, w in _views(t, text, length, q):
+        for _, ids, w in _views(t, text, length, q, pass_bytes):
             at = np.minimum(np.searchsorted(wanted, w.bucket), len(wanted) - 1)
             hit = wanted[at] == w.bucket
             for warm in (False, True):
@@ -249,10 +251,14 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 by = np.lexsort((doc, value, key))
                 key, value, doc = key[by], value[by], doc[by]
                 fresh = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (value[1:] != value[:-1])]))
-                least, most = doc[fresh], np.maximum.reduceat(doc, fresh)
-                most = pa.array(most, mask=most == least)
-                made.append(pa.table([key[fresh].view(np.int64), value[fresh].view(np.int64), np.full(len(fresh), warm), least, most, np.full(len(fresh), chunk, np.int32)], schema=schema))
-        return pa.concat_tables(made) if made else schema.empty_table()
+                made.append(pa.table([key[fresh].view(np.int64), value[fresh].view(np.int64), np.full(len(fresh), warm), doc[fresh], np.maximum.reduceat(doc, fresh), np.full(len(fresh), chunk, np.int32)], schema=schema))
+        if not made:
+            return schema.empty_table()
+        found = pa.concat_tables(made)
+        if len(made) > 1 and pass_bytes < SLICE_BYTES:  # small passes leave more equal runs to each other
+            found = found.group_by(["key", "run", "hot", "chunk"], use_threads=False).aggregate([("least", "min"), ("most", "max")]).rename_columns(["key", "run", "hot", "chunk", "least", "most"]).select(schema.names)
+        other = pc.not_equal(found.column("most"), found.column("least"))
+        return found.set_column(4, schema.field("most"), pc.if_else(other, found.column("most"), pa.scalar(None, pa.int64())))
 
     def owners(batches):
         """For each chunk that has to know: run and its owner; and, of buckets with several runs, which chunk has to show an owner's bytes."""
@@ -282,7 +288,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         order = np.argsort(run)
         run, key, owner = run[order], _np(asked, "key")[order], _np(asked, "owner")[order]
         chunk, shown, made = asked.column("chunk")[0].as_py(), np.zeros(len(run), bool), []
-        for _, ids, w in _views(t, text, length, q):
+        for _, ids, w in _views(t, text, length, q, pass_bytes):
             value = w.runs()
             at = np.minimum(np.searchsorted(run, value), len(run) - 1)
             hit = np.flatnonzero((run[at] == value) & (ids[w.doc] == owner[at]) & ~shown[at])
@@ -300,7 +306,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             first = np.flatnonzero(np.concatenate([[True], (run[1:] != run[:-1]) | (key[1:] != key[:-1])]))
             gone = np.zeros(len(first), np.int64)
             shown = t.column("body").combine_chunks().take(pa.array(first))
-            for some in _blocks(np.arange(len(first)), key[first]):
+            for some in _blocks(np.arange(len(first)), key[first], pass_bytes // 100):
                 gone[some] = _overlaps(shown.take(pa.array(some)), owner[first][some], length)
             gone = np.repeat(gone, np.diff(np.append(first, len(run))))
             say = gone != 0
@@ -308,6 +314,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 yield pa.RecordBatch.from_arrays([pa.array(x[say]) for x in (chunk, run, np.zeros(len(run), bool), owner, gone)], names=["chunk", "run", "hot", "owner", "gone"])
 
         yield from _carried(batches, "key", work)
+        give_back()
 
     names = [*keep, *out]
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
@@ -326,7 +333,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             known[warm] = run, owner, gone
         span = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
         made = []
-        for part, ids, w in _views(t, text, length, q):
+        for part, ids, w in _views(t, text, length, q, pass_bytes):
             cover = np.zeros(len(w.raw) + 1, np.int32)
 
             def drop(starts, counts):
