@@ -2,12 +2,15 @@
 
 import os
 import re
+from collections import Counter
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import HashingTF
 from pyspark.sql import functions as F
 
 from tillwork.functions import receipts as R
 from tillwork.functions import strings as S
-from tillwork.operators import dedup, metrics, training
+from tillwork.operators import classify, dedup, metrics, training
 from tillwork.plans import queries as Q
 from tillwork.streaming import jobs
 
@@ -112,3 +115,41 @@ def test_texts_move_once_to_be_counted(spark, monkeypatch):
     training.hashed_rows(spark.createDataFrame([(1, "abcd"), (2, "ab"), (3, "")], "id bigint, t string"), "id", "t", 64)
     assert seen[0]._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert {(r.key, r.n) for r in seen[0].groupBy("key").agg(F.sum("tf").alias("n")).collect()} == {(1, 2), (2, 1)}
+
+
+ODD = ["", "a", "a\0", "a\0\0", "é😀", "Σ", "aaaaaaa", "😀😀😀😀日本語日本語", "İstanbul ß", "line\nline\r\n", "the cat sat on the mat " * 400]
+
+
+def _cut(text):
+    return [text[i : i + 3] for i in range(len(text) - 2)] or [text]
+
+
+def test_texts_are_cut_once_for_a_fit(spark, monkeypatch):
+    seen = []
+    kept = classify.saved
+    monkeypatch.setattr(classify, "saved", lambda df, name="": seen.append((df, kept(df, name))) or seen[-1][1])
+    rows = [(t, "ab"[i % 2]) for i, t in enumerate(ODD)]
+    df = spark.createDataFrame([*rows, (None, "a"), ("x", None), ("unweighted", "c")], "text string, label string")
+    weights = spark.createDataFrame([("a", 1.5), ("b", 0.5), (None, 9.0)], "label string, weight double")
+    model = classify.train_classifier(df, "text", "label", weights, features=1 << 12, iterations=3)
+    (planned, table), = seen
+    plan = planned._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Exchange hashpartitioning(label" not in plan, "a class's rows are not gathered in one task"
+    assert set(table.columns) == {"label", "weight", "tf"}, "what the fit reads again holds no texts"
+    lower = [(r.l, r.label) for r in df.select(F.lower("text").alias("l"), "label").dropna().where("label <> 'c'").collect()]
+    terms = spark.createDataFrame([(_cut(t), x) for t, x in lower], "grams array<string>, label string")
+    want = HashingTF(inputCol="grams", outputCol="tf", numFeatures=1 << 12).transform(terms)
+    flat = lambda rows: Counter((r.label, str(r.tf)) for r in rows.select("label", "tf").collect())
+    assert flat(table) == flat(want)
+    assert {(r.label, r.weight) for r in table.collect()} == {("a", 1.5), ("b", 0.5)}
+    scored = classify.score_items(df, model).collect()
+    assert len(scored) == len(ODD) + 3 and {r.text for r in scored} == {*ODD, None, "x", "unweighted"} and all(set(r.all_scores) == {"a", "b"} for r in scored)
+
+
+def test_a_fitted_model_is_kept_and_read(spark, tmp_path):
+    df = spark.createDataFrame([("olive oil", "Oils"), ("corn oil", "Oils"), ("whole milk", "Dairy"), ("butter milk", "Dairy")], "text string, label string")
+    model = classify.train_classifier(df, "text", "label", features=256, iterations=5)
+    model.write().overwrite().save(f"{tmp_path}/model")
+    again = PipelineModel.load(f"{tmp_path}/model")
+    shown = lambda m: sorted((r.text, r.predicted_label, r.confidence) for r in classify.score_items(df, m).collect())
+    assert shown(again) == shown(model)
