@@ -153,3 +153,22 @@ def test_a_fitted_model_is_kept_and_read(spark, tmp_path):
     again = PipelineModel.load(f"{tmp_path}/model")
     shown = lambda m: sorted((r.text, r.predicted_label, r.confidence) for r in classify.score_items(df, m).collect())
     assert shown(again) == shown(model)
+
+
+def test_grams_are_counted_within_their_row(spark, monkeypatch):
+    from tillwork.operators import grams
+
+    monkeypatch.setattr(grams, "LETTERS", 10)
+    seen = []
+    kept = classify.saved
+    monkeypatch.setattr(classify, "saved", lambda df, name="": seen.append(df) or kept(df, name))
+    model = spark.createDataFrame([("a", "", -1.0), ("b", "", -1.0), ("a", "the", 2.0)], "label string, feature string, weight double")
+    df = spark.createDataFrame([*enumerate(ODD), (99, None)], "id int, text string")
+    classify.score_items(df, model, "text", "id")
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan and "Exchange" not in plan, "no task groups by row and n-gram"
+    lower = {r.id: r.l for r in df.select("id", F.lower(F.coalesce("text", F.lit(""))).alias("l")).collect()}
+    want = {(i, g): n for i, t in lower.items() for g, n in Counter(_cut(t)).items() if g}
+    got = [((r.key, r.feature), r.tf) for r in seen[0].collect()]
+    assert dict(got) == want and len(got) == len(want)
+    assert {(r.key, r.feature): r.tf for r in classify.gram_counts(df.withColumn("id", F.lit(1)), "id", "text").collect()} == {(1, g): n for g, n in sum((Counter(_cut(t)) for t in lower.values() if t), Counter()).items()}
