@@ -1,9 +1,11 @@
 """That work is dealt over tasks and grows no faster than its input."""
 
+import math
 import os
 import re
 from collections import Counter
 
+import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import HashingTF
 from pyspark.sql import functions as F
@@ -172,3 +174,27 @@ def test_grams_are_counted_within_their_row(spark, monkeypatch):
     got = [((r.key, r.feature), r.tf) for r in seen[0].collect()]
     assert dict(got) == want and len(got) == len(want)
     assert {(r.key, r.feature): r.tf for r in classify.gram_counts(df.withColumn("id", F.lit(1)), "id", "text").collect()} == {(1, g): n for g, n in sum((Counter(_cut(t)) for t in lower.values() if t), Counter()).items()}
+
+
+def test_vectors_of_a_classifier_are_made_within_rows(spark, monkeypatch):
+    seen = []
+    kept = training.saved
+    monkeypatch.setattr(training, "saved", lambda df, name="": seen.append(df) or kept(df, name))
+    rows = [*enumerate(ODD), (1, "a"), (5, "the end"), (99, None), (None, "no key")]  # two keys come twice
+    vectors, idf = training.hashed_rows(spark.createDataFrame(rows, "id int, text string"), "id", "text", 1 << 12)
+    for df in (*seen, vectors):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "collect_list" not in plan and "Generate" not in plan, "a row's n-grams are not dealt over rows and gathered again"
+    # brute force, with the numbers that SQL gives n-grams
+    number = F.pmod(F.xxhash64("g"), F.lit(1 << 12)).cast("int")
+    cut = spark.createDataFrame([(k, g) for k, t in spark.createDataFrame(rows, "id int, text string").select("id", F.lower("text")).collect() for g in _cut(t or "") if g], "k int, g string").select("k", number.alias("i")).collect()
+    want = {k: Counter(r.i for r in cut if r.k == k) for k in {r.k for r in cut}}
+    n, df = len([k for k in want if k is not None]), Counter(i for c in want.values() for i in c)
+    assert {r.id: r.idf for r in idf.collect()} == pytest.approx({i: math.log((1 + n) / (1 + x)) + 1 for i, x in df.items()})
+    made = {r.key: dict(zip(r.ids, r["values"])) for r in vectors.collect()}
+    assert made.keys() == want.keys()
+    for k, c in want.items():
+        x = {i: (1 + math.log(tf)) * (math.log((1 + n) / (1 + df[i])) + 1) for i, tf in c.items()}
+        assert made[k] == pytest.approx({i: v / math.sqrt(sum(y * y for y in x.values())) for i, v in x.items()})
+    few = spark.createDataFrame([(1, "aaaaaaa"), (2, "qzx")], "id int, text string")
+    assert [r.key for r in training.hashed_rows(few, "id", "text", 1 << 12, idf)[0].collect()] == [1], "n-grams that were not fitted have no weight"

@@ -18,32 +18,68 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillwork.functions.folders import saved
-from tillwork.operators.classify import _judged, grams
+from tillwork.operators.classify import _judged
+from tillwork.operators.grams import hashed_counts
 from tillwork.operators.metrics import classification_metrics, early_stopping
 
 #: Feature of the intercept.
 BIAS = -1
+#: Entries of vectors that a numpy pass weighs at a time. Fixed value.
+ENTRIES = 1 << 20
 
 
 def hashed_rows(df: DataFrame, key: str, text: str, features: int, idf: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(key, ids, values) of unit vectors of hashed 3-grams, and (id, idf), fitted on these rows unless it is given."""
-    # texts move once, and their n-grams are counted where they are, as numbers
-    placed = grams(df.select(F.col(key).alias("key"), F.col(text).alias("text")).repartition("key"), "key", "text")
-    counts = saved(placed.groupBy("key", F.pmod(F.xxhash64("feature"), F.lit(features)).cast("int").alias("id")).agg(F.count("*").alias("tf")), "hashed")
+    counts = saved(hashed_counts(df, key, text, features), "hashed")
     if idf is None:
-        n = counts.agg(F.count_distinct("key").alias("n"))
-        seen = counts.groupBy("id").agg(F.count("*").alias("df")).join(F.broadcast(n))  # one row
-        idf = saved(seen.select("id", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")), "idf")
-    weighed = counts.join(idf, "id").select("key", "id", ((1 + F.log("tf")) * F.col("idf")).alias("value"))
-    rows = weighed.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("id", "value"))).alias("x"))  # ``features`` entries at most
-    norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda acc, e: acc + e["value"] * e["value"]))
-    return rows.select("key", F.transform("x", lambda e: e["id"]).alias("ids"), F.transform("x", lambda e: e["value"] / norm).alias("values")), idf
+        n = counts.agg(F.count("key").alias("n"))
+
+        def held(batches):
+            found = np.zeros(features, np.int64)
+            for batch in batches:
+                found += np.bincount(batch.column("ids").flatten(), minlength=features)
+            ids = np.flatnonzero(found)
+            yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(found[ids])], ["id", "df"])
 
+        # a task sends ``features`` rows at most
+        seen = counts.select("ids").mapInArrow(held, "id int, df long").groupBy("id").agg(F.sum("df").alias("df")).join(F.broadcast(n))  # one row
+        idf = saved(seen.select("id", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")), "idf")
+    weight = np.full(features, np.nan)
+    for r in idf.collect():  # ``features`` rows at most
+        weight[r["id"]] = r["idf"]
 
-def _sparse(batch):
-    ids, values = batch.column("ids"), batch.column("values")
-    bounds = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(ids)))])
-    return np.asarray(ids.flatten()), np.asarray(values.flatten()), bounds
+    def weigh(batches):
+        for batch in batches:
+            for part in _parts(batch):
+                ids, tf, bounds = _lists(part, "ids", "counts")
+                known = ~np.isnan(weight[ids])
+                size = np.diff(np.concatenate([[0], np.cumsum(known)])[bounds])
+                met = pa.array(size > 0)  # rows without an n-gram that has a weight have no vector
+                ids, size = ids[known], size[size > 0]
+                value = (1 + np.log(tf[known])) * weight[ids]
+                begin = np.cumsum(size) - size
+                if len(size):
+                    value /= np.repeat(np.sqrt(np.add.reduceat(value * value, begin)), size)
+                ends = pa.array(np.append(begin, len(ids)), pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column("key").filter(met), *(pa.ListArray.from_arrays(ends, pa.array(x)) for x in (ids, value))], ["key", "ids", "values"])
+
+    return counts.select("key", "ids", "counts").mapInArrow(weigh, f"key {counts.schema['key'].dataType.simpleString()}, ids array<int>, values array<double>"), idf
+
+
+def _parts(batch):
+    """Rows of a batch in runs of some ENTRIES ids."""
+    ends = np.cumsum(np.asarray(pc.list_value_length(batch.column("ids")), np.int64))
+    begin = 0
+    while begin < batch.num_rows:
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + ENTRIES, "right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
+def _lists(batch, *names):
+    """The values of list columns of equal lengths, and the bounds of each row's."""
+    bounds = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(batch.column(names[0])), np.int64))])
+    return *(np.asarray(batch.column(c).flatten()) for c in names), bounds
 
 
 def _softmax(scores):
@@ -57,18 +93,19 @@ def _epoch(rows: DataFrame, weights: np.ndarray, rate: float, decay: float) -> t
     classes = weights.shape[0]
 
     def run(batches):
-        own, loss, n = given.value.copy(), 0.0, 0
+        own, loss, n = np.ascontiguousarray(given.value.T), 0.0, 0  # a feature's weights lie together
         for batch in batches:
-            ids, values, bounds = _sparse(batch)
+            ids, values, bounds = _lists(batch, "ids", "values")
             for i, (y, w) in enumerate(zip(batch.column("y").to_pylist(), batch.column("weight").to_pylist())):
                 at, x = ids[bounds[i] : bounds[i + 1]], values[bounds[i] : bounds[i + 1]]
-                p = _softmax(own[:, at] @ x + own[:, -1])
+                held = own[at]
+                p = _softmax(x @ held + own[-1])
                 loss, n = loss - w * float(np.log(max(p[y], 1e-300))), n + 1
                 p[y] -= 1
-                own[:, at] -= rate * w * (np.outer(p, x) + decay * own[:, at])
-                own[:, -1] -= rate * w * p
+                own[at] = held - rate * w * (x[:, None] * p + decay * held)
+                own[-1] -= rate * w * p
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array(range(own.shape[1]), pa.int32()), pa.array(list(own.T * n)), pa.array([n] * own.shape[1]), pa.array([loss] * own.shape[1])], ["id", "w", "n", "loss"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(own)), pa.int32()), pa.array(list(own * n)), pa.array([n] * len(own)), pa.array([loss] * len(own))], ["id", "w", "n", "loss"])
 
     moved = rows.mapInArrow(run, "id int, w array<double>, n long, loss double")
     summed = moved.groupBy("id").agg(F.array(*[F.sum(F.col("w")[c]) for c in range(classes)]).alias("w"), F.sum("n").alias("n"), F.sum("loss").alias("loss"))
@@ -85,10 +122,10 @@ def _predicted(rows: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFra
     given = rows.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
-        w = given.value
+        w = np.ascontiguousarray(given.value.T)
         for batch in batches:
-            ids, values, bounds = _sparse(batch)
-            p = [_softmax(w[:, ids[a:b]] @ values[a:b] + w[:, -1]) for a, b in zip(bounds[:-1], bounds[1:])]
+            ids, values, bounds = _lists(batch, "ids", "values")
+            p = [_softmax(values[a:b] @ w[ids[a:b]] + w[-1]) for a, b in zip(bounds[:-1], bounds[1:])]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(p, pa.list_(pa.float64()))], [*keep, "p"])
 
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)
