@@ -198,3 +198,20 @@ def test_vectors_of_a_classifier_are_made_within_rows(spark, monkeypatch):
         assert made[k] == pytest.approx({i: v / math.sqrt(sum(y * y for y in x.values())) for i, v in x.items()})
     few = spark.createDataFrame([(1, "aaaaaaa"), (2, "qzx")], "id int, text string")
     assert [r.key for r in training.hashed_rows(few, "id", "text", 1 << 12, idf)[0].collect()] == [1], "n-grams that were not fitted have no weight"
+
+
+def test_only_lines_with_amounts_are_looked_at_for_amounts(spark):
+    for f in (R.extract_total, R.extract_tax, R.extract_subtotal, R.extract_items):
+        assert "split(" not in _plan(spark, f(F.lit("x")).alias("f")), "lines without amounts are not cut out, trimmed and made upper case"
+    assert _plan(spark, R.extract_date(F.lit("x")).alias("d")).count("Contains(") == 3, "a pattern is not looked for where its sign is missing"
+    lines = ["Total 12.3,4", "TAX 5,.12", "tax 1,2.00 ", "SUB TOTAL\t3.50\r", "due 1.2,3", " Oil 4.99 ea", "x 1.00", " \u0085", "milk", "ZUCKER 20,001.50", "Balance 20,001.50", "FUSS ß 2.25", "a b 7.75"]
+    texts = ["\n".join(lines[i:j]) for i in range(len(lines)) for j in range(i, len(lines) + 1)]
+    rows = spark.createDataFrame([(t,) for t in {*texts, "no amounts", "\n\n"}] + [(None,)], "text string")
+    # all lines of the text, as they were looked at before
+    every = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
+    upper = F.transform(every, F.upper)
+    fast = [R.extract_total("text"), R.extract_total("text", "last_total"), R.extract_tax("text"), R.extract_subtotal("text"), R.extract_items("text")]
+    slow = [R.extract_total("text", upper=upper), R.extract_total("text", "last_total", upper), R.extract_tax("text", upper), R.extract_subtotal("text", upper), R.extract_items("text", every)]
+    names = lambda columns: F.struct(*[c.alias(f"c{i}") for i, c in enumerate(columns)])
+    got = rows.select("text", names(fast).alias("fast"), names(slow).alias("slow")).collect()
+    assert [(r.text, r.fast) for r in got] == [(r.text, r.slow) for r in got] and len({str(r.fast.c4) for r in got}) > 5
