@@ -3,6 +3,7 @@
 import math
 import os
 import re
+import tempfile
 from collections import Counter
 
 import pytest
@@ -215,3 +216,28 @@ def test_only_lines_with_amounts_are_looked_at_for_amounts(spark):
     names = lambda columns: F.struct(*[c.alias(f"c{i}") for i, c in enumerate(columns)])
     got = rows.select("text", names(fast).alias("fast"), names(slow).alias("slow")).collect()
     assert [(r.text, r.fast) for r in got] == [(r.text, r.slow) for r in got] and len({str(r.fast.c4) for r in got}) > 5
+
+
+def test_an_ingest_leaves_its_store_only(spark, tmp_path):
+    from tillwork.functions import folders
+
+    shuffles = lambda: {f for d, _, fs in os.walk(spark.conf.get("spark.local.dir", None) or tempfile.gettempdir()) if "blockmgr" in d for f in fs if f.startswith("shuffle_")}
+    before, stood = set(os.listdir(folders.shared_dir(spark).removeprefix("file:"))), shuffles()
+    folders.saved(spark.range(1000).repartition(3, "id"), "lasting")
+    assert not shuffles() - stood, "shuffle files of a finished write are gone"
+    text = spark.createDataFrame([(i, f"Shop {i}\n2024-01-0{i}\nMILK {i}.00\nTOTAL {i}.00") for i in range(1, 6)], "k bigint, text string")
+    batch = text.select(F.col("k").alias("bill_id"), *[F.lit(None).cast(t).alias(c) for c, t in (f.split() for f in jobs.RECEIPT.split(", ")) if c not in ("bill_id", "text")], "text")
+    model = classify.count_model(spark.createDataFrame([("milk", "Dairy")], "t string, label string"), "t", "label")
+    words = Q.vocab.build_vocab(spark.createDataFrame([("milk",)], "text string"), "text")
+    kept = set(os.listdir(folders.shared_dir(spark).removeprefix("file:")))
+    jobs.ingest_receipts(batch, 0, f"{tmp_path}/store", model, words)
+    jobs.in_parts(batch.select("bill_id", "text"), "bill_id", 2, f"{tmp_path}/in")
+    after = set(os.listdir(folders.shared_dir(spark).removeprefix("file:")))
+    assert after == kept and len(before) < len(kept), "tables kept on the way are gone"
+    assert jobs.bill_store.read(spark, f"{tmp_path}/store", "items", jobs.ITEMS).count() == 5
+    assert sum(spark.read.parquet(f"{tmp_path}/in/part={i}").count() for i in range(2)) == 5
+    with folders.passing(spark):
+        with folders.passing(spark):
+            gone, stays = folders.saved(spark.range(2)), folders.saved(spark.range(3), outlive=True)
+        assert stays.count() == 3 and set(os.listdir(folders.shared_dir(spark).removeprefix("file:"))) - after and gone.inputFiles()
+    assert set(os.listdir(folders.shared_dir(spark).removeprefix("file:"))) == after
