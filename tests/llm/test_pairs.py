@@ -307,3 +307,35 @@ def test_nearest_where_no_graph_leads_to_the_neighbours(spark, monkeypatch):
         got.setdefault(r.query_id, []).append(r.vec_id)
     assert degrees[-1] == 36 and len(degrees) <= 4
     assert got == {i * 10: [int(j) * 10 for j in np.argsort(((x - x[i]) ** 2).sum(1), kind="stable") if j != i][:10] for i in range(0, 300, 10)}
+
+
+def test_the_nearest_of_a_round_are_chosen_by_three_sorts(monkeypatch):
+    import numpy as np
+
+    from tillwork.llm import ann
+
+    rng = np.random.default_rng(3)
+    n, degree, sample, seed = 4000, 7, 4, 2
+    u = np.sort(rng.choice([-5, 0, 3, 1 << 40, (1 << 62) + 1], n))
+    w = rng.choice(np.concatenate([np.arange(60), [-(1 << 60), 1 << 61]]), n)
+    d = rng.choice(np.array([0.0, -0.0, 1e-30, 0.5, 0.5000001, 7.0, 1e30], np.float32), n)
+    fresh = rng.random(n) < 0.8
+    sorts = []
+    real = np.argsort
+    monkeypatch.setattr(np, "lexsort", lambda *a, **k: 1 / 0)  # a sort a key, as it was
+    monkeypatch.setattr(np, "argsort", lambda *a, **k: sorts.append(1) or real(*a, **k))
+    with np.errstate(over="ignore"):
+        got = ann._chosen(u, w, d, fresh, degree, sample, seed)
+    assert len(sorts) <= 3
+    # brute force
+    best, known = {}, set()
+    for a, b, x, f in zip(u.tolist(), w.tolist(), d.tolist(), fresh.tolist()):
+        best[a, b] = min(x, best.get((a, b), x))
+        known |= set() if f else {(a, b)}
+    want, lots = [], {}
+    for a in sorted({a for a, _ in best}):
+        near = sorted((x, b) for (c, b), x in best.items() if c == a)[:degree]
+        lot = lambda b: (((a * 0x9E3779B1 + b * 0x85EBCA77 + seed * 0xC2B2AE3D) & (1 << 64) - 1) * 0x27D4EB2F) & 0xFFFFFFFF  # noqa: E731, B023
+        of = {f: sorted((b for _, b in near if ((a, b) not in known) == f), key=lot)[:sample] for f in (True, False)}
+        want += [(a, b, x, (a, b) not in known, b in of[(a, b) not in known]) for x, b in near]
+    assert list(zip(*(x.tolist() for x in got))) == want
